@@ -34,13 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _choose(on: Column, cases: dict[str, str], default: str) -> Column:
-    out = F.lit(default)
-    for value, result in cases.items():
-        out = F.when(on == value, F.lit(result)).otherwise(out)
-    return out
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a UTC instant and the number ``k`` of their properties."""
     return as_events(table(spark, sf_dir, "events"))
@@ -57,31 +50,30 @@ def as_events(df: DataFrame) -> DataFrame:
     )
 
 
+def _case(on: str, cases: dict[str, str], default: str) -> str:
+    whens = " ".join(f"WHEN '{value}' THEN '{result}'" for value, result in cases.items())
+    return f"CASE {on} {whens} ELSE '{default}' END"
+
+
 def telemetry_columns(rows: DataFrame) -> DataFrame:
     """Events as telemetry with the payload still as a struct, ``payload``."""
-    sensor = F.col("sensor_type")
-    has_value = F.col("k") % 20 != 19
-    scalar = F.when(
-        sensor == "pressure", F.when(F.col("raw") < 60, F.lit(4.0)).otherwise(F.lit(9.0) + F.col("k") % 3)
-    ).otherwise(F.col("raw"))
-    vibrates = sensor == "vibration"
-    device_type = F.element_at(F.array(*map(F.lit, DEVICE_TYPES)), (F.col("user_id") % 4 + 1).cast("int"))
-    port = F.when(sensor == "temperature", F.col("k") % 2).otherwise(F.lit(0))
-    return rows.withColumn("sensor_type", _choose(F.col("event_type"), SENSOR_OF_EVENT, "pressure")).select(
+    types = ", ".join(f"'{name}'" for name in DEVICE_TYPES)
+    has_value, vibrates = "k % 20 <> 19", "sensor_type = 'vibration'"
+    pressure = "CASE WHEN raw < 60 THEN 4.0D ELSE 9.0D + k % 3 END"
+    return rows.selectExpr("*", f"{_case('event_type', SENSOR_OF_EVENT, 'pressure')} AS sensor_type").selectExpr(
         "event_id",
         "time",
-        F.concat(F.lit("device-"), F.col("user_id")).alias("device_id"),
-        device_type.alias("device_type"),
-        F.concat_ws("-", sensor, port).alias("sensor_id"),
+        "concat('device-', user_id) AS device_id",
+        f"element_at(array({types}), cast(user_id % 4 + 1 AS int)) AS device_type",
+        "concat_ws('-', sensor_type, if(sensor_type = 'temperature', k % 2, 0)) AS sensor_id",
         "sensor_type",
-        _choose(sensor, UNIT_OF_SENSOR, "bar").alias("unit"),
-        F.struct(
-            F.when(has_value & ~vibrates, scalar).alias("value"),
-            F.when(has_value & vibrates, F.col("raw") / 40.0).alias("x"),
-            F.when(has_value & vibrates, F.col("k") / 100.0).alias("y"),
-            F.when(has_value & vibrates, F.lit(0.5)).alias("z"),
-            F.when(~has_value, F.col("raw")).alias("reading"),
-        ).alias("payload"),
+        f"{_case('sensor_type', UNIT_OF_SENSOR, 'bar')} AS unit",
+        f"""named_struct(
+            'value', CASE WHEN {has_value} AND NOT {vibrates} THEN if(sensor_type = 'pressure', {pressure}, raw) END,
+            'x', CASE WHEN {has_value} AND {vibrates} THEN raw / 40.0D END,
+            'y', CASE WHEN {has_value} AND {vibrates} THEN k / 100.0D END,
+            'z', CASE WHEN {has_value} AND {vibrates} THEN 0.5D END,
+            'reading', CASE WHEN NOT {has_value} THEN raw END) AS payload""",
         "k",
         "raw",
     )

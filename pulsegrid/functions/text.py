@@ -27,16 +27,24 @@ def limit_text(limit: Column) -> Column:
     return limit.cast("string")
 
 
+def two_decimals(value: Column) -> Column:
+    """Two decimals of the exact binary value, ties to even: 2.675 is 2.67 and 0.125 is 0.12.
+
+    ``format_string`` with ``%.2f`` rounds the shortest decimal text half up and differs there.
+    """
+    return F.call_function("format_number", value, F.lit("0.00"))
+
+
 def breach_message(sensor_type: Column, value: Column, limit: Column) -> Column:
-    return F.format_string("%s value %.2f exceeds limit %s", sensor_type, value, limit_text(limit))
+    return F.concat(sensor_type, F.lit(" value "), two_decimals(value), F.lit(" exceeds limit "), limit_text(limit))
 
 
 def rapid_message(sensor_type: Column, delta: Column) -> Column:
-    return F.format_string("%s changed by %.2f in one reading", sensor_type, delta)
+    return F.concat(sensor_type, F.lit(" changed by "), two_decimals(delta), F.lit(" in one reading"))
 
 
 def stuck_message(sensor_id: Column, value: Column, readings: int) -> Column:
-    return F.format_string(f"%s stuck at %.2f for {readings} readings", sensor_id, value)
+    return F.concat(sensor_id, F.lit(" stuck at "), two_decimals(value), F.lit(f" for {readings} readings"))
 
 
 def _first(line: Column, pattern: str, group: int) -> Column:

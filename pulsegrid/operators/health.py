@@ -61,7 +61,7 @@ def throughput_delta(
     The first sample has nothing to compare with and counts from 0, without a rate.
     """
     # the count breaks ties, so the order is total for a count that grows
-    out = with_previous(samples, keys, (time, count), F.struct(F.col(time).alias("at"), F.col(count).alias("n")), 1, hot_rows)
+    out = with_previous(samples, keys, (time, count), f"named_struct('at', {time}, 'n', {count})", 1, hot_rows)
     seconds = (F.unix_micros(time) - F.unix_micros(F.col("prev_1.at"))) / 1_000_000
     delta = F.col(count) - F.coalesce(F.col("prev_1.n"), F.lit(0))
     return (

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A series up to this many rows is sorted by one task. At most rows/HOT_ROWS series can be above it,
@@ -25,40 +25,38 @@ def previous_columns(depth: int) -> list[str]:
     return [f"{PREVIOUS}{i}" for i in range(1, depth + 1)]
 
 
-def _lags(partition: Sequence[str], order: Sequence[str], value: Column, depth: int, prefix: str) -> dict[str, Column]:
-    window = Window.partitionBy(*partition).orderBy(*order)
-    return {f"{prefix}{i}": F.lag(value, i).over(window) for i in range(1, depth + 1)}
+def _window(partition: Sequence[str], order: Sequence[str]) -> str:
+    by = f"PARTITION BY {', '.join(partition)} " if partition else ""
+    return f"({by}ORDER BY {', '.join(order)})"
 
 
-def _whole(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, depth: int) -> DataFrame:
-    return df.withColumns(_lags(keys, order, value, depth, PREVIOUS))
+def _lags(partition: Sequence[str], order: Sequence[str], value: str, depth: int, prefix: str) -> list[str]:
+    window = _window(partition, order)
+    return [f"lag({value}, {i}) OVER {window} AS {prefix}{i}" for i in range(1, depth + 1)]
 
 
-def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, depth: int) -> DataFrame:
-    chunk, group = "_chunk", "_group"
-    in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
+def _whole(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, depth: int) -> DataFrame:
+    return df.selectExpr("*", *_lags(keys, order, value, depth, PREVIOUS))
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, depth: int) -> DataFrame:
+    in_chunk = [*keys, "_chunk"]
     first = (
         df.repartitionByRange(*keys, *order)
-        .withColumn(chunk, F.spark_partition_id())
-        .withColumns(
-            {
-                **_lags([*keys, chunk], order, value, depth, PREVIOUS),
-                "_head": F.lag(F.lit(1), depth).over(in_chunk).isNull(),
-                "_tail": F.lead(F.lit(1), depth).over(in_chunk).isNull(),
-            }
+        .withColumn("_chunk", F.spark_partition_id())
+        .selectExpr(
+            "*",
+            *_lags(in_chunk, order, value, depth, PREVIOUS),
+            f"lag(1, {depth}) OVER {_window(in_chunk, order)} IS NULL AS _head",
+            f"lead(1, {depth}) OVER {_window(in_chunk, order)} IS NULL AS _tail",
         )
     )
     # Rows beside a cut meet in one group per series, 2 * depth rows per chunk; the other rows stay in
     # the group of their chunk and keep what they have.
-    regrouped = first.withColumn(group, F.when(F.col("_head") | F.col("_tail"), F.lit(-1)).otherwise(F.col(chunk)))
-    second = regrouped.withColumns(_lags([*keys, group], order, value, depth, "_edge_"))
-    return second.select(
-        *df.columns,
-        *[
-            F.when(F.col("_head"), F.col(f"_edge_{i}")).otherwise(F.col(f"{PREVIOUS}{i}")).alias(f"{PREVIOUS}{i}")
-            for i in range(1, depth + 1)
-        ],
-    )
+    regrouped = first.selectExpr("*", "if(_head OR _tail, -1, _chunk) AS _group")
+    second = regrouped.selectExpr("*", *_lags([*keys, "_group"], order, value, depth, "_edge_"))
+    found = [f"if(_head, _edge_{i}, {PREVIOUS}{i}) AS {PREVIOUS}{i}" for i in range(1, depth + 1)]
+    return second.selectExpr(*[f"`{name}`" for name in df.columns], *found)
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -70,24 +68,23 @@ def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: str | Column,
+    value: str,
     depth: int = 1,
     hot_rows: int | None = HOT_ROWS,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``prev_1`` .. ``prev_depth``: the value 1 .. depth rows earlier in the series, null before its start.
 
-    ``order`` must be a total order inside a series. ``sizes`` is what the hot series are counted on;
+    ``value`` is a SQL expression. ``order`` must be a total order inside a series. ``sizes`` is what the hot series are counted on;
     give the raw table where ``df`` is costly to compute, since a count from above is enough. Without
     ``keys`` the whole table is one series and always goes the chunked way. ``hot_rows=None`` promises
     that no series is large.
     """
-    of = F.col(value) if isinstance(value, str) else value
     if not keys:
-        return _chunked(df, keys, order, of, depth)
+        return _chunked(df, keys, order, value, depth)
     if hot_rows is None:
-        return _whole(df, keys, order, of, depth)
+        return _whole(df, keys, order, value, depth)
     hot = F.broadcast(hot_keys(df if sizes is None else sizes, keys, hot_rows))
-    ordinary = _whole(df.join(hot, list(keys), "left_anti"), keys, order, of, depth)
-    large = _chunked(df.join(hot, list(keys), "left_semi"), keys, order, of, depth)
+    ordinary = _whole(df.join(hot, list(keys), "left_anti"), keys, order, value, depth)
+    large = _chunked(df.join(hot, list(keys), "left_semi"), keys, order, value, depth)
     return ordinary.unionByName(large)

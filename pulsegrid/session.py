@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "zstd",
+    # no call-site capture for every column expression built in Python
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

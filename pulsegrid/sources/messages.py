@@ -20,9 +20,19 @@ from pulsegrid.functions.text import ISO_MICROS, iso_timestamp
 _DECODE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    A filter on an ordinary computed column is pushed below its projection together with a copy of
+    the expression, so JSON would be parsed again for the filter. Rows generated from a one-element
+    array are a boundary the optimizer leaves in place, and stay inside whole-stage code generation.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
+
+
 def decode(records: DataFrame, layout: str, value: str = "value") -> DataFrame:
     """The records with the decoded message as struct column ``msg``."""
-    return records.withColumn("msg", F.from_json(F.col(value), layout, _DECODE))
+    return once(records, msg=F.from_json(F.col(value), layout, _DECODE))
 
 
 def _undecodable(msg: Column) -> Column:
@@ -36,7 +46,7 @@ def _missing(msg: Column, fields: list[str]) -> Column:
     return missing
 
 
-def telemetry_error(msg: Column, time: Column, check_value: bool = False) -> Column:
+def telemetry_error(msg: Column, time: Column, payload_text: Column, check_value: bool = False) -> Column:
     """Error name of a telemetry message, null for a good one.
 
     The landing path stores any payload object; ``check_value`` adds the errors of reading the
@@ -47,7 +57,7 @@ def telemetry_error(msg: Column, time: Column, check_value: bool = False) -> Col
         F.when(_undecodable(msg), "JSONDecodeError")
         .when(_missing(msg, required), "KeyError")
         .when(time.isNull(), "ValueError")
-        .when(~F.to_json(msg["value"]).startswith("{"), "TypeError")
+        .when(~payload_text.startswith("{"), "TypeError")
     )
     if check_value:
         error = F.coalesce(error, conversion_error(msg["value"], msg["sensorType"]))
@@ -59,16 +69,20 @@ def parse_telemetry(records: DataFrame, check_value: bool = False, as_text: bool
 
     ``value`` is the payload as JSON text (the stored form), or VARIANT with ``as_text=False``.
     """
-    decoded = decode(records, schemas.TELEMETRY_MESSAGE).withColumn("time", iso_timestamp(F.col("msg.timestamp")))
-    msg = F.col("msg")
+    msg, text = F.col("msg"), F.col("_text")
+    decoded = (
+        decode(records, schemas.TELEMETRY_MESSAGE)
+        .withColumn("time", iso_timestamp(msg["timestamp"]))
+        .withColumn("_text", F.to_json(msg["value"]))
+    )
     sequence = F.col("sequence") if "sequence" in records.columns else F.lit(None).cast("bigint")
-    payload = F.to_json(msg["value"]) if as_text else msg["value"]
-    return decoded.select(
+    checked = once(decoded, error_type=telemetry_error(msg, F.col("time"), text, check_value))
+    return checked.select(
         F.coalesce(sequence, msg["eventId"]).alias("event_id"),
         "time",
         *[msg[wire].alias(column) for wire, column in schemas.TELEMETRY_FIELDS.items()],
-        payload.alias("value"),
-        telemetry_error(msg, F.col("time"), check_value).alias("error_type"),
+        (text if as_text else msg["value"]).alias("value"),
+        "error_type",
         F.col("value").alias("raw"),
     )
 
@@ -112,7 +126,7 @@ def explode_batches(records: DataFrame, value: str = "value") -> DataFrame:
 def parse_alerts(records: DataFrame) -> DataFrame:
     """Alert messages as rows plus ``error_type`` and ``raw``; threshold and value may be absent."""
     msg = F.col("msg")
-    decoded = decode(records, schemas.ALERT_MESSAGE).withColumn("created_at", iso_timestamp(msg["createdAt"]))
+    decoded = once(decode(records, schemas.ALERT_MESSAGE), created_at=iso_timestamp(msg["createdAt"]))
     error = (
         F.when(_undecodable(msg), "JSONDecodeError")
         .when(_missing(msg, [*schemas.ALERT_FIELDS, "createdAt"]), "KeyError")
@@ -174,9 +188,7 @@ def with_reading(
     """
     is_text = dict(telemetry.dtypes)[value] == "string"
     payload = F.try_parse_json(F.col(value)) if is_text else F.col(value)
-    out = (
-        telemetry.withColumn("_payload", payload)
-        .withColumn("v", reading_value(F.col("_payload"), F.col("sensor_type"), scalar_keys))
-        .drop("_payload", value)
-    )
+    out = once(
+        telemetry.withColumn("_payload", payload), v=reading_value(F.col("_payload"), F.col("sensor_type"), scalar_keys)
+    ).drop("_payload", value)
     return out if keep_null else out.where(F.col("v").isNotNull())
