@@ -19,11 +19,29 @@ def newest(df: DataFrame, time: str = "time", tie: Sequence[str] = (), limit: in
 
 
 def newest_per(
-    df: DataFrame, keys: Sequence[str], k: int, time: str = "time", tie: Sequence[str] = (), rank: str = "recency"
+    df: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    time: str = "time",
+    tie: Sequence[str] = (),
+    rank: str = "recency",
+    spread: int = 1,
 ) -> DataFrame:
-    """The newest ``k`` rows of every key with their rank; at most ``k`` rows per key and task are shuffled."""
-    window = Window.partitionBy(*keys).orderBy(F.desc(time), *[F.desc(name) for name in tie])
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    """The newest ``k`` rows of every key with their rank; at most ``k`` rows per key and task are shuffled.
+
+    With few keys and very many tasks that is still ``k`` x tasks rows for the task of a key. ``spread``
+    first takes the newest ``k`` of that many random parts of each key, so the last step sees
+    ``k * spread`` rows per key.
+    """
+    order = [F.desc(time), *[F.desc(name) for name in tie]]
+    rows = df
+    if spread > 1:
+        part = F.pmod(F.xxhash64(time, *tie), F.lit(spread))
+        within = Window.partitionBy(*keys, "_part").orderBy(*order)
+        rows = df.withColumn("_part", part).withColumn("_rank", F.row_number().over(within))
+        rows = rows.where(F.col("_rank") <= k).drop("_part", "_rank")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def unacknowledged(alerts: DataFrame, tie: Sequence[str] = ("alert_id",)) -> DataFrame:

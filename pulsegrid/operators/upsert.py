@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,22 +24,19 @@ def merge_upsert(
     """``current`` (one row per key) after the upsert of ``incoming``: last write wins.
 
     ``keep`` names columns that an update leaves alone: the stored value stays, and only a new key
-    takes the one that comes in.
+    takes the one that comes in. The join uses the partitioning by key that picking the latest
+    version has left, so the incoming rows are shuffled once.
     """
-    latest = upsert_latest(incoming, keys, version).select(*current.columns)
-    old, new = current.alias("old"), latest.alias("new")
-    same = reduce(lambda a, b: a & b, [F.col(f"old.{key}").eqNullSafe(F.col(f"new.{key}")) for key in keys])
-    updated = F.col("new._present").isNotNull()
-    joined = old.withColumn("_present", F.lit(True)).alias("old").join(
-        new.withColumn("_present", F.lit(True)).alias("new"), same, "full_outer"
-    )
-    stored = F.col("old._present").isNotNull()
+    names = [name for name in current.columns if name not in keys]
+    old = current.select(*keys, F.struct(*names).alias("_old"))
+    new = upsert_latest(incoming, keys, version).select(*keys, F.struct(*names).alias("_new"))
 
     def merged(name: str):
-        use_new = (updated & ~stored) if name in keep else updated
-        return F.when(use_new, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name)
+        first, second = ("_old", "_new") if name in keep else ("_new", "_old")
+        return F.when(F.col(first).isNotNull(), F.col(f"{first}.{name}")).otherwise(F.col(f"{second}.{name}")).alias(name)
 
-    return joined.select(*[merged(name) for name in current.columns])
+    joined = old.join(new, list(keys), "full_outer")
+    return joined.select(*[F.col(name) if name in keys else merged(name) for name in current.columns])
 
 
 def deduplicate(telemetry: DataFrame, keys: Sequence[str] = ("device_id", "sensor_id", "time", "event_id")) -> DataFrame:

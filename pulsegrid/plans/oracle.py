@@ -344,6 +344,12 @@ def oracle_sql() -> dict[str, str]:
         "recent_kpis": _with(_tumbling("1 hour"), """SELECT device_id, kpi_name, recency::int AS recency, window_start, sensor_id,
             kpi_value FROM (SELECT *, row_number() OVER (PARTITION BY device_id, kpi_name
             ORDER BY window_start DESC, sensor_id DESC) AS recency FROM tumbling) WHERE recency <= 3"""),
+        "recent_kpis_by_name": _with(_tumbling("1 hour"), """SELECT kpi_name, recency::int AS recency, window_start, device_id,
+            sensor_id, kpi_value FROM (SELECT *, row_number() OVER (PARTITION BY kpi_name
+            ORDER BY window_start DESC, device_id DESC, sensor_id DESC) AS recency FROM tumbling) WHERE recency <= 20"""),
+        "recent_alerts_by_severity": _with(alerts, """SELECT severity, recency::int AS recency, created_at, alert_id, device_id FROM (
+            SELECT *, row_number() OVER (PARTITION BY severity ORDER BY created_at DESC, alert_id DESC) AS recency
+            FROM alerts) WHERE recency <= 100"""),
         "recent_alerts": _with(alerts, """SELECT device_id, severity, recency::int AS recency, created_at, alert_id, alert_type FROM (
             SELECT *, row_number() OVER (PARTITION BY device_id, severity ORDER BY created_at DESC, alert_id DESC) AS recency
             FROM alerts) WHERE recency <= 10"""),

@@ -437,7 +437,7 @@ def recent_by_device(spark, sf_dir):
 @query
 def recent_by_sensor_type(spark, sf_dir):
     """Newest hundred rows of every sensor type."""
-    rows = recent.newest_per(data.telemetry(spark, sf_dir), ("sensor_type",), 100, tie=("event_id",))
+    rows = recent.newest_per(data.telemetry(spark, sf_dir), ("sensor_type",), 100, tie=("event_id",), spread=16)
     return rows.select("sensor_type", "recency", "event_id", "time", "device_id")
 
 
@@ -450,6 +450,22 @@ def recent_kpis(spark, sf_dir):
     )
 
 
+@query
+def recent_kpis_by_name(spark, sf_dir):
+    """Newest twenty hourly KPI rows of every name."""
+    rows = kpi.kpis_tumbling(readings(spark, sf_dir), "1 hour")
+    return recent.newest_per(rows, ("kpi_name",), 20, "window_start", ("device_id", "sensor_id"), spread=16).select(
+        "kpi_name", "recency", "window_start", "device_id", "sensor_id", "kpi_value"
+    )
+
+
+@query
+def recent_alerts_by_severity(spark, sf_dir):
+    """Newest hundred alerts of every severity."""
+    rows = recent.newest_per(all_alerts(spark, sf_dir), ("severity",), 100, "created_at", ("alert_id",), spread=16)
+    return rows.select("severity", "recency", "created_at", "alert_id", "device_id")
+
+
 @query
 def recent_alerts(spark, sf_dir):
     """Newest ten alerts per device and severity."""
@@ -563,8 +579,8 @@ def metric_threshold_checks(spark, sf_dir):
 @query
 def metric_alerts_stored(spark, sf_dir):
     """Alerts stored: two deliveries of each message, one row per alert."""
-    once = alerts.to_rows(all_alerts(spark, sf_dir))
-    stored = once.unionByName(once).dropDuplicates(["alert_id", "created_at"])
+    twice = alerts.to_rows(all_alerts(spark, sf_dir)).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    stored = twice.dropDuplicates(["alert_id", "created_at"])
     return metrics.metric(stored, "alerts_stored_total")
 
 
@@ -701,7 +717,8 @@ def late_rows_report(spark, sf_dir):
 def telemetry_dedup(spark, sf_dir):
     """Telemetry after part of it was delivered twice."""
     rows = data.telemetry_columns(data.events(spark, sf_dir)).drop("payload", "raw")
-    delivered = rows.unionByName(rows.where(F.col("k") % 3 == 0)).drop("k")
+    times = F.when(F.col("k") % 3 == 0, F.lit(2)).otherwise(F.lit(1))
+    delivered = rows.withColumn("delivery", F.explode(F.sequence(F.lit(1), times))).drop("k", "delivery")
     return deduplicate(delivered)
 
 

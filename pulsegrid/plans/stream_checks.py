@@ -12,6 +12,7 @@ from pulsegrid import datasets as data
 from pulsegrid.schemas import ALERT_TABLE
 from pulsegrid.session import pin_utc
 from pulsegrid.sources.messages import with_reading
+from pulsegrid.sources.topics import DEFAULT_BATCH_BYTES
 from pulsegrid.streaming import alerting, landing
 
 EVENTS = (
@@ -21,8 +22,9 @@ EVENTS = (
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pin_utc(spark)
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
-    return data.as_events(reader.parquet(sf_dir))
+    reader = spark.readStream.schema(EVENTS).option("maxBytesPerTrigger", DEFAULT_BATCH_BYTES)
+    # a pattern, since a stream takes a plain path for a folder; it finds one file or a folder of files
+    return data.as_events(reader.parquet(f"{sf_dir}/events.parque[t]"))
 
 
 def _drain(query) -> None:

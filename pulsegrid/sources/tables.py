@@ -20,8 +20,9 @@ def with_day(df: DataFrame, time: str = "time") -> DataFrame:
 def append_rows(df: DataFrame, path: str, time: str = "time", files_per_day: int | None = None) -> None:
     """Append into day partitions. Duplicates are kept.
 
-    Writers are clustered by day so that a task does not open a file in every partition. A day that
-    receives much data is spread over ``files_per_day`` tasks by a hash of the row's time.
+    Rows that arrive roughly in time order are written where they are. For a backfill that mixes many
+    days, ``files_per_day`` first clusters the rows, so that a task does not open a file in every
+    partition; a day is spread over that many parts by a hash of the time.
     """
     out = with_day(df, time)
     if files_per_day:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 # Upper bound of one micro-batch. It also bounds what a single sensor can bring into one state update.
 DEFAULT_BATCH_RECORDS = 1_000_000
+DEFAULT_BATCH_BYTES = 256 * 1024 * 1024
 
 
 def kafka_options(servers: str, topic: str, extra: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -38,10 +39,17 @@ def stream_topic(
     path: str | None = None,
     options: Mapping[str, str] | None = None,
     max_records: int = DEFAULT_BATCH_RECORDS,
-    max_files: int = 64,
+    max_bytes: int = DEFAULT_BATCH_BYTES,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Unbounded (key, value, sequence) from the earliest record on, rate limited per micro-batch."""
-    limits = {"maxOffsetsPerTrigger": str(max_records)} if fmt == "kafka" else {"maxFilesPerTrigger": str(max_files)}
+    """Unbounded (key, value, sequence) from the earliest record on, rate limited per micro-batch.
+
+    Files are limited by size, or by number if ``max_files`` is given.
+    """
+    if fmt == "kafka":
+        limits = {"maxOffsetsPerTrigger": str(max_records)}
+    else:
+        limits = {"maxFilesPerTrigger": str(max_files)} if max_files else {"maxBytesPerTrigger": str(max_bytes)}
     reader = spark.readStream.format(fmt).options(**{**limits, **(options or {})})
     return _records(reader.load(path) if path else reader.load(), fmt)
 

@@ -22,7 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.operators.alerts import KINDS, STUCK_READINGS, THRESHOLD, emit, to_rows
 from pulsegrid.operators.thresholds import lookup, resolve
-from pulsegrid.schemas import EVENT_ORDER, SERIES_KEYS
+from pulsegrid.schemas import SERIES_KEYS
 from pulsegrid.sources.messages import alert_messages, bad, good, parse_telemetry, with_reading
 from pulsegrid.sources.tables import write_batch
 from pulsegrid.sources.topics import stream_to_topic
@@ -30,15 +30,20 @@ from pulsegrid.streaming.landing import FLUSH_INTERVAL, start
 
 STATE = "last DOUBLE, run BIGINT"
 WORKER = "stream"
+# Times cross into Python as whole microseconds, which need no zone conversion per group.
 ROW = (
     "device_id STRING, sensor_id STRING, device_type STRING, sensor_type STRING, "
-    "time TIMESTAMP, event_id BIGINT, v DOUBLE"
+    "at BIGINT, event_id BIGINT, v DOUBLE"
 )
 
 
 def _series_update(stuck_readings: int) -> Callable:
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(list(EVENT_ORDER), kind="stable")
+        frames = list(batches)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        order = np.lexsort((rows["event_id"].to_numpy(), rows["at"].to_numpy()))
+        if (order[1:] < order[:-1]).any():
+            rows = rows.take(order)
         last, run = state.get if state.exists else (float("nan"), 0)
         values = rows["v"].to_numpy(dtype=float)
         previous = np.concatenate(([last], values[:-1]))
@@ -48,10 +53,8 @@ def _series_update(stuck_readings: int) -> Callable:
         since = np.searchsorted(breaks, position, side="right") - 1
         starts = np.where(since >= 0, breaks[since] if len(breaks) else 0, -run)
         length = position - starts + 1
-        rows["prev_1"] = np.where(np.isnan(previous), None, previous)
-        rows["stuck"] = length >= stuck_readings
         state.update((float(values[-1]), int(length[-1])))
-        yield rows
+        yield rows.assign(prev_1=previous, stuck=length >= stuck_readings)
 
     return update
 
@@ -59,14 +62,19 @@ def _series_update(stuck_readings: int) -> Callable:
 def with_series_state(readings: DataFrame, stuck_readings: int = STUCK_READINGS) -> DataFrame:
     """Streaming counterpart of ``operators.alerts.with_series_context``."""
     names = [part.split()[0] for part in ROW.split(", ")]
-    rows = readings.withColumn("event_id", F.coalesce("event_id", F.lit(0))).select(*names)
-    return rows.groupBy(*SERIES_KEYS).applyInPandasWithState(
+    rows = (
+        readings.withColumn("event_id", F.coalesce("event_id", F.lit(0)))
+        .withColumn("at", F.unix_micros("time"))
+        .select(*names)
+    )
+    context = rows.groupBy(*SERIES_KEYS).applyInPandasWithState(
         _series_update(stuck_readings),
         f"{ROW}, prev_1 DOUBLE, stuck BOOLEAN",
         STATE,
         "append",
         GroupStateTimeout.NoTimeout,
     )
+    return context.withColumn("time", F.timestamp_micros("at")).drop("at")
 
 
 def stream_alerts(

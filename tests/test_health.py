@@ -94,6 +94,8 @@ def test_newest(spark, plan):
     assert [r["n"] for r in recent.newest(df, device_id="d1").collect()] == [5, 3, 1]
     top = recent.newest(df, tie=("n",), limit=2)
     assert "TakeOrderedAndProject" in plan(top) and [r["n"] for r in top.collect()] == [5, 4]
+    spread = recent.newest_per(df, ("device_id",), 2, tie=("n",), spread=3)
+    assert {(r["device_id"], r["recency"], r["n"]) for r in spread.collect()} == {("d0", 1, 4), ("d0", 2, 2), ("d1", 1, 5), ("d1", 2, 3)}
     per = recent.newest_per(df, ("device_id",), 1)
     assert plan(per).count("WindowGroupLimit") == 2  # before and after the shuffle
     assert {(r["device_id"], r["n"]) for r in per.collect()} == {("d0", 4), ("d1", 5)}

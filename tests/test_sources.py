@@ -228,3 +228,22 @@ def test_topic_builders(spark, tmp_path):
     assert out.columns == ["key", "value", "sequence"] and {r["value"] for r in out.collect()} == {"one", "two"}
     keyed = topics.publish(spark.createDataFrame([("k", 1)], "id string, n int"), "id").first()
     assert keyed["key"] == "k" and json.loads(keyed["value"]) == {"id": "k", "n": 1}
+
+
+def test_jdbc_options():
+    from pulsegrid.sources import jdbc
+
+    opts = jdbc.options("jdbc:x://h/db", "telemetry", "u", "p", {"fetchsize": "1000"})
+    assert opts["dbtable"] == "telemetry" and opts["fetchsize"] == "1000"
+    day = datetime(2024, 1, 1)
+    assert jdbc.time_slices("time", day, day + timedelta(days=1), 8) == {
+        "partitionColumn": "time", "lowerBound": "2024-01-01 00:00:00", "upperBound": "2024-01-02 00:00:00", "numPartitions": "8",
+    }
+
+
+def test_merge_shuffles_incoming_rows_once(spark, plan):
+    layout = "id string, message string"
+    current = spark.createDataFrame([("a", "old")], layout)
+    incoming = spark.createDataFrame([("a", "new", 1)], layout + ", version int")
+    text = plan(merge_upsert(current, incoming, ("id",), ("version",)))
+    assert text.count("Exchange hashpartitioning(id") == 2  # one for each side

@@ -97,9 +97,9 @@ def test_state_update_function():
     state, update = State(), alerting._series_update(3)
 
     def feed(*batches):
-        frames = [pd.DataFrame({"time": [t for t, _ in b], "event_id": 0, "v": [float(v) for _, v in b]}) for b in batches]
+        frames = [pd.DataFrame({"at": [t for t, _ in b], "event_id": 0, "v": [float(v) for _, v in b]}) for b in batches]
         (out,) = update(("d", "s"), iter(frames), state)
-        return list(zip(out["prev_1"], out["stuck"].tolist()))
+        return list(zip(out["prev_1"].astype(object).where(out["prev_1"].notna(), None), out["stuck"].tolist()))
 
     nan = float("nan")
     assert feed([(2, 5), (1, 4)], [(3, 5)]) == [(None, False), (4.0, False), (5.0, False)]
