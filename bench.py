@@ -21,9 +21,11 @@ HEADLINES = (
     "telemetry_scan", "ingest_normalize", "reading_value", "alerts_threshold", "alerts_all", "kpis_long", "kpis_incremental",
     "kpis_upserted", "kpis_tumbling_5min", "upsert_latest", "rate_telemetry_1m", "recent_by_device", "throughput_delta",
     "logs_enriched", "devices_apply_changes", "stream_landing", "stream_alerts_all",
+    "stream_alerts_by_batch",
 )
 PER_EVENT = {
-    "landing_stream": "stream_landing", "alerting_stream": "stream_alerts_all", "alerting_batch": "alerts_all",
+    "landing_stream": "stream_landing", "alerting_stream": "stream_alerts_all", "alerting_micro_batch": "stream_alerts_by_batch",
+    "alerting_batch": "alerts_all",
     "parsing": "telemetry_scan", "kpis": "kpis_long",
 }
 

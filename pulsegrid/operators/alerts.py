@@ -32,10 +32,11 @@ def with_series_context(
     stuck_readings: int = STUCK_READINGS,
     hot_rows: int | None = HOT_ROWS,
     sizes: DataFrame | None = None,
+    order: tuple[str, ...] = EVENT_ORDER,
 ) -> DataFrame:
     """Adds ``prev_1`` (the sensor's previous reading) and ``stuck`` (the last readings are all equal)."""
     depth = stuck_readings - 1
-    context = with_previous(readings, SERIES_KEYS, EVENT_ORDER, "v", depth, hot_rows, sizes)
+    context = with_previous(readings, SERIES_KEYS, order, "v", depth, hot_rows, sizes)
     names = previous_columns(depth)
     equal = ~F.isnan("v")
     for name in names:

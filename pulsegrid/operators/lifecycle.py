@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.sources.tables import BATCH, DAY, since
+from pulsegrid.sources.tables import BATCH, DAY, drop_folder, since
 
 RETENTION = timedelta(days=30)
 TOPIC_RETENTION = timedelta(hours=168)
@@ -72,8 +72,6 @@ def expired_days(telemetry: DataFrame, as_of: datetime | Column, keep: timedelta
 def drop_expired(spark: SparkSession, path: str, as_of: datetime, keep: timedelta = RETENTION) -> int:
     """Remove the expired day folders of a table; returns how many. The list is one entry per day."""
     days = [row[DAY].isoformat() for row in expired_days(spark.read.parquet(path), as_of, keep).collect()]
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for day in days:
-        folder = hadoop(f"{path.rstrip('/')}/{DAY}={day}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_folder(spark, f"{path.rstrip('/')}/{DAY}={day}")
     return len(days)

@@ -285,9 +285,9 @@ def oracle_sql() -> dict[str, str]:
         "logs_enriched": _with(LINES, """SELECT app, pod, namespace, level, service, epoch_us(ts) * 1000 AS ts_ns,
             replace(line, chr(13), '') AS line FROM labelled"""),
         "metrics_snapshot": _with(KPI_TABLE, """
-            SELECT 'kpi-job' AS job, 'kpis_computed_total' AS metric, kpi_name AS label_values, count(*) AS value FROM kpis GROUP BY ALL
+            SELECT 'kpi' AS job, 'kpis_computed_total' AS metric, kpi_name AS label_values, count(*) AS value FROM kpis GROUP BY ALL
             UNION ALL
-            SELECT 'kpi-job', 'telemetry_received_total', array_to_string(list_sort([device_type, sensor_type]), ','), count(*)
+            SELECT 'kpi', 'telemetry_received_total', array_to_string(list_sort([device_type, sensor_type]), ','), count(*)
             FROM telemetry GROUP BY ALL"""),
         # parsing and scalar functions
         "telemetry_parse": _with(TELEMETRY, f"""SELECT {columns}, round(scalar, 6) AS scalar, round(x, 6) AS x, round(y, 6) AS y,
@@ -413,6 +413,7 @@ def oracle_sql() -> dict[str, str]:
             FROM arrived WHERE time <= TIMESTAMP '2024-01-10' AND arrived_at > TIMESTAMP '2024-01-10'"""),
         "telemetry_dedup": _with(TELEMETRY, f"SELECT {columns} FROM telemetry"),
         "stream_alerts_all": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
+        "stream_alerts_by_batch": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
         "stream_landing": _with(TELEMETRY, "SELECT cast(time AS date) AS dt, device_type, count(*) AS stored FROM good GROUP BY ALL"),
         "telemetry_partitions": _with(TELEMETRY, """SELECT cast(time AS date) AS dt, count(*) AS "rows", min(time) AS first_time,
             max(time) AS last_time FROM telemetry GROUP BY ALL"""),

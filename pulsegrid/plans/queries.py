@@ -249,7 +249,7 @@ def logs_enriched(spark, sf_dir):
 def metrics_snapshot(spark, sf_dir):
     """Counters of the KPI job and of landing as one table."""
     return metrics.snapshot(
-        "kpi-job",
+        "kpi",
         kpis_computed_total=kpi_table(spark, sf_dir).select("kpi_name"),
         telemetry_received_total=data.telemetry(spark, sf_dir),
     ).select(
@@ -728,6 +728,12 @@ def stream_alerts_all(spark, sf_dir):
     return stream_checks.alerts_from_stream(spark, sf_dir, work_dir(spark, "stream-alerts")).select(*ALERT_OUT)
 
 
+@query
+def stream_alerts_by_batch(spark, sf_dir):
+    """All alerts by micro-batches with a table of last readings; must equal ``alerts_all``."""
+    return stream_checks.alerts_from_batches(spark, sf_dir, work_dir(spark, "batch-alerts")).select(*ALERT_OUT)
+
+
 @query
 def stream_landing(spark, sf_dir):
     """Telemetry landed by the stream, counted by day and device type."""

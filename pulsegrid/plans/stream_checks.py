@@ -33,14 +33,26 @@ def _drain(query) -> None:
         raise query.exception()
 
 
+EXTRA = "sensor_id STRING, sensor_type STRING, time TIMESTAMP, event_id BIGINT, breached_limit DOUBLE"
+ALERTS = ALERT_TABLE.replace(", acknowledged BOOLEAN", "") + ", " + EXTRA
+
+
+def alerts_from_batches(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    readings = with_reading(data.as_telemetry(event_stream(spark, sf_dir)))
+    _drain(
+        alerting.start_detecting(
+            readings, data.thresholds(spark), f"{root}/alerts", f"{root}/tails", f"{root}/checkpoint", None, F.col("time")
+        )
+    )
+    return spark.read.schema(ALERTS).parquet(f"{root}/alerts")
+
+
 def alerts_from_stream(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     readings = with_reading(data.as_telemetry(event_stream(spark, sf_dir)))
     found = alerting.stream_alerts(readings, data.thresholds(spark), F.col("time"))
     writer = found.writeStream.format("parquet").option("path", f"{root}/alerts")
     _drain(landing.start(writer.option("checkpointLocation", f"{root}/checkpoint"), None))
-    extra = "sensor_id STRING, sensor_type STRING, time TIMESTAMP, event_id BIGINT, breached_limit DOUBLE"
-    layout = ALERT_TABLE.replace(", acknowledged BOOLEAN", "") + ", " + extra
-    return spark.read.schema(layout).parquet(f"{root}/alerts")
+    return spark.read.schema(ALERTS).parquet(f"{root}/alerts")
 
 
 def landed_by_stream(spark: SparkSession, sf_dir: str, root: str) -> str:

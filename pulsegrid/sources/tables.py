@@ -41,6 +41,12 @@ def write_batch(df: DataFrame, path: str, batch_id: int | str, partitions: Seque
     )
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a partition folder on whatever file system it lives; nothing happens if it is gone."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_table(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
     reader = spark.read if layout is None else spark.read.schema(layout)
     return reader.parquet(path)

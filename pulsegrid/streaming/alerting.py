@@ -1,12 +1,13 @@
-"""Alerting on a stream: keyed state for the previous reading and the run of equal ones.
+"""Alerting on a stream, in two forms that raise the same alerts.
 
-Per sensor the state is (last value, length of the run of equal values), which is all that rapid
-change and stuck sensor need. It lives in the state store, survives restarts through the checkpoint
-and is updated together with its micro-batch.
+``stream_alerts`` keeps (last value, length of the run of equal values) per sensor in the state
+store. It touches only the sensors that report, which suits short triggers. A micro-batch hands all
+its rows of one sensor to one task; the rate limit of the source (``sources.topics.stream_topic``)
+bounds that number.
 
-A micro-batch hands all its rows of one sensor to one task. The rate limit of the source
-(``sources.topics.stream_topic``) bounds that number; a backlog is better worked off by
-``operators.alerts.detect``, which splits dominant sensors.
+``start_detecting`` runs the batch rules on each micro-batch together with the last readings of every
+sensor, kept as a small versioned table. It needs no Python on the executors and splits a sensor that
+dominates a batch, which suits long triggers, backlogs and replays.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pulsegrid.operators.alerts import KINDS, STUCK_READINGS, THRESHOLD, emit, to_rows
+from pulsegrid.operators.alerts import KINDS, STUCK_READINGS, THRESHOLD, emit, to_rows, with_series_context
+from pulsegrid.operators.ordered import HOT_ROWS
+from pulsegrid.operators.recent import newest_per
 from pulsegrid.operators.thresholds import lookup, resolve
 from pulsegrid.schemas import SERIES_KEYS
 from pulsegrid.sources.messages import alert_messages, bad, good, parse_telemetry, with_reading
-from pulsegrid.sources.tables import write_batch
+from pulsegrid.sources.tables import BATCH, drop_folder, write_batch
 from pulsegrid.sources.topics import stream_to_topic
 from pulsegrid.streaming.landing import FLUSH_INTERVAL, start
 
@@ -92,6 +95,50 @@ def stream_alerts(
     return emit(context, created_at, kinds, **rules)
 
 
+# The readings of a sensor that later batches still need; ``pos`` counts back from the newest, -1.
+TAIL = ROW.replace("at BIGINT", "time TIMESTAMP") + ", pos INT"
+
+
+def start_detecting(
+    readings: DataFrame,
+    thresholds: DataFrame,
+    table: str,
+    tails: str,
+    checkpoint: str,
+    trigger: str | None = FLUSH_INTERVAL,
+    created_at: Column | None = None,
+    hot_rows: int | None = HOT_ROWS,
+    stuck_readings: int = STUCK_READINGS,
+    resolve_mode: str = "last",
+) -> StreamingQuery:
+    """Write the alerts of every micro-batch to ``table`` and the sensors' last readings to ``tails``.
+
+    Batch n reads version n - 1 of the tails and writes version n, and both outputs are partitions
+    that a replay overwrites, so a crash at any point repeats the batch with the same result. Rows of
+    a batch follow those of earlier batches whatever their time, as in the stateful form.
+    """
+    spark = readings.sparkSession
+    columns = [part.split()[0] for part in TAIL.split(", ")]
+    order = ("pos", "time", "event_id")
+    spark.createDataFrame([], f"{TAIL}, {BATCH} BIGINT").write.mode("append").partitionBy(BATCH).parquet(tails)
+
+    def detect(batch: DataFrame, batch_id: int) -> None:
+        new = batch.withColumn("event_id", F.coalesce("event_id", F.lit(0))).withColumn("pos", F.lit(0))
+        kept = spark.read.schema(f"{TAIL}, {BATCH} BIGINT").parquet(tails).where(F.col(BATCH) == batch_id - 1)
+        rows = kept.select(*columns).unionByName(new.select(*columns)).persist()
+        try:
+            context = with_series_context(rows, stuck_readings, hot_rows, order=order).where(F.col("pos") == 0)
+            found = emit(lookup(context, resolve(thresholds, resolve_mode)), created_at, stuck_readings=stuck_readings)
+            write_batch(found, table, batch_id)
+            last = newest_per(rows, SERIES_KEYS, stuck_readings - 1, order[0], order[1:])
+            write_batch(last.withColumn("pos", -F.col("recency")).select(*columns), tails, batch_id)
+        finally:
+            rows.unpersist()
+        drop_folder(spark, f"{tails}/{BATCH}={batch_id - 2}")
+
+    return start(readings.writeStream.foreachBatch(detect).option("checkpointLocation", checkpoint), trigger)
+
+
 def telemetry_readings(records: DataFrame, scalar_keys: tuple[str, ...] = ("value",)) -> DataFrame:
     """Topic records as readings; records that fail on parsing or conversion are left out."""
     return with_reading(good(parse_telemetry(records, check_value=True, as_text=False)), scalar_keys)

@@ -72,6 +72,44 @@ def test_stateful_alerts_equal_batch_over_a_restart(spark, tmp_path):
     assert keys(spark.read.parquet(f"{root}/out")) == batch_alerts(spark, folder)
 
 
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_micro_batch_alerts_equal_batch(spark, tmp_path, many_chunks, hot_rows):
+    folder = str(tmp_path / "in")
+    write_messages(spark, folder, 4)
+    readings = alerting.telemetry_readings(topics.stream_topic(spark, "text", folder, max_files=1))
+    paths = [str(tmp_path / name) for name in ("alerts", "tails", "cp")]
+    query = drain(
+        alerting.start_detecting(readings, datasets.thresholds(spark), *paths, None, F.col("time"), hot_rows)
+    )
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    assert keys(spark.read.parquet(paths[0])) == batch_alerts(spark, folder)
+    assert {r["batch_id"] for r in spark.read.parquet(paths[1]).select("batch_id").distinct().collect()} == {2, 3}
+
+
+def test_micro_batch_alerts_survive_a_crash_between_the_writes(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "in")
+    write_messages(spark, folder, 3)
+    paths = [str(tmp_path / name) for name in ("alerts", "tails", "cp")]
+    original, calls = alerting.write_batch, []
+
+    def crash_once(df, path, batch_id, partitions=()):
+        original(df, path, batch_id, partitions)
+        calls.append(path)
+        if len(calls) == 3:  # the alerts of the second batch are written, its tails are not
+            raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(alerting, "write_batch", crash_once)
+
+    def run():
+        readings = alerting.telemetry_readings(topics.stream_topic(spark, "text", folder, max_files=1))
+        return alerting.start_detecting(readings, datasets.thresholds(spark), *paths, None, F.col("time"), None)
+
+    with pytest.raises(Exception, match="executor lost"):
+        run().awaitTermination(120)
+    drain(run())
+    assert keys(spark.read.parquet(paths[0])) == batch_alerts(spark, folder)
+
+
 def test_threshold_stream_needs_no_state(spark, tmp_path):
     folder = str(tmp_path / "in")
     write_messages(spark, folder, 2)
