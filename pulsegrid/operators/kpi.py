@@ -38,25 +38,25 @@ def kpis_wide(readings: DataFrame, keys: Sequence[str | Column] = KPI_KEYS) -> D
         .groupBy(*keys)
         .agg(
             F.count(v).alias("sample_count"),
-            F.avg(v).alias("avg"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
             F.stddev_samp(v).alias("std_dev"),
             F.sum(v).alias("_sum"),
             F.sum(v * v).alias("_squares"),
-            F.max(F.abs(v)).alias("_peak"),
             F.max_by(v, F.col("_at")).alias("_last"),
             F.min_by(v, F.col("_at")).alias("_first"),
         )
     )
     return (
-        grouped.withColumn("count", n.cast("double"))
+        # what follows from other aggregates is not aggregated again: the shuffled rows stay narrow
+        grouped.withColumn("avg", F.col("_sum") / n)
+        .withColumn("count", n.cast("double"))
         .withColumn("range", F.when(n >= 2, F.col("max") - F.col("min")))
         .withColumn("rms", F.when(kind == "vibration", F.sqrt(F.col("_squares") / n)))
-        .withColumn("crest_factor", F.when(rms > 0, F.col("_peak") / rms))
+        .withColumn("crest_factor", F.when(rms > 0, F.greatest(F.abs("min"), F.abs("max")) / rms))
         .withColumn("rate_of_change", F.when((kind == "temperature") & (n >= 2), F.col("_last") - F.col("_first")))
         .withColumn("energy", F.when(kind == "power", F.col("_sum")))
-        .drop("_sum", "_squares", "_peak", "_last", "_first")
+        .drop("_sum", "_squares", "_last", "_first")
     )
 
 
