@@ -100,6 +100,15 @@ def thresholds(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT {columns} FROM VALUES {rows} AS t({', '.join(f'c{i}' for i in range(len(names)))})")
 
 
+def allowed_types(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Configuration of the front door: known device types, and payload kinds of the sensor types that have fixed ones."""
+    device_types = ", ".join(f"('{name}')" for name in DEVICE_TYPES)
+    return (
+        spark.sql(f"SELECT * FROM VALUES {device_types} AS t(device_type)"),
+        spark.sql("SELECT * FROM VALUES ('vibration', 'vibration'), ('power', 'power') AS t(sensor_type, payload_type)"),
+    )
+
+
 def threshold_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a revision of some threshold row, with gaps in limits and device types."""
     k, raw = F.col("k"), F.col("raw")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.upsert import upsert_latest
 from pulsegrid.sources.tables import BATCH, DAY, drop_folder, since
 
 RETENTION = timedelta(days=30)
@@ -63,6 +65,11 @@ def compact_day(spark: SparkSession, path: str, day: str, target: str, time: str
     )
 
 
+def compact_versions(versions: DataFrame, keys: Sequence[str], version: Sequence[str], target: str) -> None:
+    """Rewrite a versioned table to its latest rows, so that reads stop paying for old versions."""
+    upsert_latest(versions, keys, version).write.mode("overwrite").parquet(target)
+
+
 def expired_days(telemetry: DataFrame, as_of: datetime | Column, keep: timedelta = RETENTION) -> DataFrame:
     """Day partitions that hold only rows past their retention, found from the partition column alone."""
     limit = F.to_date(_at(as_of) - F.lit(keep))

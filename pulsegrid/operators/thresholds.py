@@ -1,16 +1,12 @@
-"""Threshold configuration: duplicate resolution and lookup.
-
-The tables here are configuration and carry no broadcast hint: Spark broadcasts them while they are
-below ``spark.sql.autoBroadcastJoinThreshold`` and falls back to a shuffled join, with adaptive
-splitting of skewed partitions, once they are not.
-"""
+"""Threshold configuration: duplicate resolution and lookup."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.limits import LIMITS, effective, severity
+from pulsegrid.functions.limits import LIMITS, severity
+from pulsegrid.operators.joins import CONFIG_ROWS, is_small
 
 KEY = ("sensor_type", "device_type")
 
@@ -31,14 +27,18 @@ def resolve(thresholds: DataFrame, mode: str = "last") -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}: use 'last' or 'merge'")
 
 
-def lookup(readings: DataFrame, resolved: DataFrame) -> DataFrame:
+def lookup(readings: DataFrame, resolved: DataFrame, max_rows: int = CONFIG_ROWS) -> DataFrame:
     """Adds the struct ``limits``: the row of (device type, sensor type), else the sensor type's own row.
 
-    The fallback takes the row as a whole. Readings without any row keep a null ``limits``.
+    The fallback takes the row as a whole. Readings without any row keep a null ``limits``. With up to
+    ``max_rows`` thresholds the readings are not shuffled.
     """
     limits = F.struct(*LIMITS)
+    small = is_small(resolved, max_rows)
     specific = resolved.where(F.col("device_type").isNotNull()).select(*KEY, limits.alias("_specific"))
     generic = resolved.where(F.col("device_type").isNull()).select("sensor_type", limits.alias("_generic"))
+    if small:
+        specific, generic = F.broadcast(specific), F.broadcast(generic)
     return (
         readings.join(specific, list(KEY), "left")
         .join(generic, "sensor_type", "left")
@@ -52,5 +52,3 @@ def check(readings: DataFrame, resolved: DataFrame, zero_is_limit: bool = False)
     looked_up = lookup(readings, resolved)
     return looked_up.withColumn("severity", severity(F.col("v"), F.col("limits"), zero_is_limit))
 
-
-__all__ = ["KEY", "LIMITS", "check", "effective", "lookup", "resolve"]

@@ -418,11 +418,7 @@ def ingest_validate(spark, sf_dir):
     """Readings with the reason for refusing them, if any."""
     rows = data.typed_telemetry(spark, sf_dir)
     kind = F.try_variant_get(pay.payload("value"), "$['@type']", "string")
-    telemetry = data.telemetry(spark, sf_dir)
-    device_types = telemetry.select("device_type").distinct()
-    kinds = F.when(F.col("sensor_type") == "vibration", "vibration").when(F.col("sensor_type") == "power", "power")
-    payload_types = telemetry.select("sensor_type", kinds.alias("payload_type")).distinct()
-    payload_types = payload_types.where(F.col("payload_type").isNotNull())
+    device_types, payload_types = data.allowed_types(spark)
     checked = messages.validate(rows.withColumn("payload_type", kind), device_types, payload_types)
     return checked.select("event_id", "device_type", "sensor_type", "payload_type", "reject_reason")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pulsegrid import schemas
 from pulsegrid.functions.payload import conversion_error, reading_value
 from pulsegrid.functions.text import ISO_MICROS, iso_timestamp
+from pulsegrid.operators.joins import checked_broadcast
 
 _DECODE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
@@ -160,15 +161,15 @@ def validate(
 
     ``device_types(device_type)`` lists what is allowed; ``payload_types(sensor_type, payload_type)``
     the payload kinds of a sensor type. A sensor type that is not listed may carry any kind. Both are
-    configuration tables; Spark broadcasts them while they are under its size threshold.
+    configuration tables and are broadcast after a check of their size.
     """
     known = device_types.select("device_type").distinct().withColumn("_known", F.lit(True))
     allowed = payload_types.select("sensor_type", F.col("payload_type").alias(payload_type)).distinct()
     listed = allowed.select("sensor_type").distinct().withColumn("_listed", F.lit(True))
     return (
-        readings.join(known, "device_type", "left")
-        .join(listed, "sensor_type", "left")
-        .join(allowed.withColumn("_allowed", F.lit(True)), ["sensor_type", payload_type], "left")
+        readings.join(checked_broadcast(known), "device_type", "left")
+        .join(checked_broadcast(listed), "sensor_type", "left")
+        .join(checked_broadcast(allowed.withColumn("_allowed", F.lit(True))), ["sensor_type", payload_type], "left")
         .withColumn(
             "reject_reason",
             F.when(F.col("_known").isNull(), "unknown_device_type").when(

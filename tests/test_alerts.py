@@ -178,3 +178,12 @@ def test_throughput_first_sample_counts_from_zero(spark):
     rows = [(START, 100), (START + timedelta(seconds=10), 150), (START + timedelta(seconds=20), 150)]
     out = health.throughput_delta(spark.createDataFrame(rows, "sample_ts timestamp, count long")).orderBy("sample_ts")
     assert [(r["delta"], r["per_second"]) for r in out.collect()] == [(100, None), (50, 5.0), (0, 0.0)]
+
+
+def test_configuration_is_broadcast_only_up_to_its_limit(spark, plan):
+    source = spark.createDataFrame([(1, "power", None, None, 1.0, None, 2.0), (2, "power", "motor", None, 1.0, None, 3.0)], THRESHOLD_TABLE)
+    df, resolved = readings(spark, [2.5]), thresholds.resolve(source)
+    small, large = thresholds.lookup(df, resolved), thresholds.lookup(df, resolved, max_rows=1)
+    assert plan(small).count("BroadcastHashJoin") == 2
+    assert "BroadcastHashJoin" not in plan(large)
+    assert small.first()["limits"] == large.first()["limits"] and small.first()["limits"]["critical_high"] == 3.0

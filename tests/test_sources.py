@@ -247,3 +247,25 @@ def test_merge_shuffles_incoming_rows_once(spark, plan):
     incoming = spark.createDataFrame([("a", "new", 1)], layout + ", version int")
     text = plan(merge_upsert(current, incoming, ("id",), ("version",)))
     assert text.count("Exchange hashpartitioning(id") == 2  # one for each side
+
+
+def test_logs_as_a_stream(spark, tmp_path):
+    folder = tmp_path / "logs" / "api" / "pod-1"
+    folder.mkdir(parents=True)
+    (folder / "0.log").write_text("level=warn service=s a\n\nplain\n")
+    lines = logs.read_lines(spark, str(tmp_path / "logs"), streaming=True)
+    rows = logs.to_stream_rows(logs.enrich(lines, "plant").withColumn("ts", F.current_timestamp()))
+    out = rows.writeStream.format("parquet").partitionBy("namespace", "app").trigger(availableNow=True)
+    query = out.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
+    query.awaitTermination(60)
+    logs.write_logs(spark.read.parquet(f"{tmp_path}/out"), f"{tmp_path}/copy")
+    got = spark.read.parquet(f"{tmp_path}/copy").collect()
+    assert {(r["app"], r["pod"], r["level"], r["service"], r["line"]) for r in got} == {
+        ("api", "pod-1", "warn", "s", "level=warn service=s a"), ("api", "pod-1", "info", "api", "plain"),
+    }
+
+
+def test_compacting_versions(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, batch_id int")
+    lifecycle.compact_versions(df, ("k",), ("batch_id",), str(tmp_path / "t"))
+    assert {tuple(r) for r in tables.read_table(spark, str(tmp_path / "t")).collect()} == {("a", 2), ("b", 1)}
