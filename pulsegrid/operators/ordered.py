@@ -41,6 +41,8 @@ def _whole(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, depth: int) -> DataFrame:
     in_chunk = [*keys, "_chunk"]
+    # adaptive execution may join neighbouring range partitions, never split or mix them, so a
+    # partition is always one contiguous piece of the order
     first = (
         df.repartitionByRange(*keys, *order)
         .withColumn("_chunk", F.spark_partition_id())

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import kpi
-from pulsegrid.operators.metrics import counter
 from pulsegrid.operators.upsert import upsert_latest
 from pulsegrid.schemas import WATERMARK_TABLE
 from pulsegrid.sources.messages import with_reading
@@ -110,7 +109,3 @@ def job_runs(spark: SparkSession, runs: list[JobRun]) -> DataFrame:
     """Run records as rows for the job-run table (a handful per invocation)."""
     layout = "job_name STRING, window_start TIMESTAMP, window_end TIMESTAMP, duration_seconds DOUBLE"
     return spark.createDataFrame([(r.job_name, r.window_start, r.window_end, r.duration_seconds) for r in runs], layout)
-
-
-def kpi_counts(rows: DataFrame) -> DataFrame:
-    return counter(rows, ("kpi_name",))

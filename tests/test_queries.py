@@ -25,6 +25,28 @@ def test_query_equals_sql(spark, con, name):
     assert rows > 0
 
 
+@pytest.mark.parametrize(
+    "name",
+    [
+        "alerts_all", "devices_apply_changes", "ingest_validate", "kpis_incremental", "kpis_upserted", "logs_enriched",
+        "rate_alerts_5m", "recent_by_sensor_type", "reconcile_counts", "telemetry_scan", "throughput_delta", "upsert_latest",
+    ],
+)
+def test_plans_stay_in_the_jvm_and_join_on_keys(spark, plan, name):
+    text = plan(QUERIES[name](spark, SF_SMALL))
+    for unwanted in ("Python", "Pandas", "NestedLoop", "CartesianProduct"):
+        assert unwanted not in text
+    main = text.split("===== Subqueries =====")[0]  # a scalar subquery ends in one row, hence one partition
+    assert "Exchange SinglePartition" not in main.split("Subquery")[0]
+
+
+def test_unneeded_columns_are_not_read(spark, plan):
+    assert "ReadSchema: struct<>" in plan(QUERIES["telemetry_count"](spark, SF_SMALL))
+    assert "ReadSchema: struct<ts:timestamp_ntz>" in plan(QUERIES["telemetry_partitions"](spark, SF_SMALL))
+    text = plan(QUERIES["metric_telemetry_received"](spark, SF_SMALL))
+    assert "ReadSchema: struct<user_id:bigint,event_type:string>" in text
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
