@@ -129,7 +129,7 @@ def detect(
     if RAPID in kinds or STUCK in kinds:
         context = with_series_context(context, stuck_readings, hot_rows, sizes)
     if THRESHOLD in kinds:
-        context = lookup(context, resolve(thresholds, resolve_mode))
+        context = lookup(context, resolve(thresholds, resolve_mode), source=thresholds)
     return emit(context, created_at, kinds, rate_limit, stuck_readings, zero_is_limit)
 
 

@@ -27,14 +27,17 @@ def resolve(thresholds: DataFrame, mode: str = "last") -> DataFrame:
     raise ValueError(f"unknown mode {mode!r}: use 'last' or 'merge'")
 
 
-def lookup(readings: DataFrame, resolved: DataFrame, max_rows: int = CONFIG_ROWS) -> DataFrame:
+def lookup(
+    readings: DataFrame, resolved: DataFrame, max_rows: int = CONFIG_ROWS, source: DataFrame | None = None
+) -> DataFrame:
     """Adds the struct ``limits``: the row of (device type, sensor type), else the sensor type's own row.
 
     The fallback takes the row as a whole. Readings without any row keep a null ``limits``. With up to
-    ``max_rows`` thresholds the readings are not shuffled.
+    ``max_rows`` thresholds the readings are not shuffled. The rows are counted on ``source``, the table
+    before it was resolved, where it is given: it has no fewer rows and is cheaper to count.
     """
     limits = F.struct(*LIMITS)
-    small = is_small(resolved, max_rows)
+    small = is_small(resolved if source is None else source, max_rows)
     specific = resolved.where(F.col("device_type").isNotNull()).select(*KEY, limits.alias("_specific"))
     generic = resolved.where(F.col("device_type").isNull()).select("sensor_type", limits.alias("_generic"))
     if small:

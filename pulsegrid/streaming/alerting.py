@@ -91,7 +91,7 @@ def stream_alerts(
     """Alerts of an unbounded table of readings. Threshold alerts alone need no state."""
     context = readings if kinds == (THRESHOLD,) else with_series_state(readings, rules.get("stuck_readings", STUCK_READINGS))
     if THRESHOLD in kinds:
-        context = lookup(context, resolve(thresholds, resolve_mode))
+        context = lookup(context, resolve(thresholds, resolve_mode), source=thresholds)
     return emit(context, created_at, kinds, **rules)
 
 
@@ -128,7 +128,7 @@ def start_detecting(
         rows = kept.select(*columns).unionByName(new.select(*columns)).persist()
         try:
             context = with_series_context(rows, stuck_readings, hot_rows, order=order).where(F.col("pos") == 0)
-            found = emit(lookup(context, resolve(thresholds, resolve_mode)), created_at, stuck_readings=stuck_readings)
+            found = emit(lookup(context, resolve(thresholds, resolve_mode), source=thresholds), created_at, stuck_readings=stuck_readings)
             write_batch(found, table, batch_id)
             last = newest_per(rows, SERIES_KEYS, stuck_readings - 1, order[0], order[1:])
             write_batch(last.withColumn("pos", -F.col("recency")).select(*columns), tails, batch_id)
