@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # bytes of text that one numpy pass takes; a longer text is a pass of its own
-PASS_BYTES = 4 << 20
+PASS_BYTES = 2 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,29 +42,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
+_WORD_TABLE = np.where(_BLANK, np.uint64(0), _TABLE)
 # a place in a span longer than this is weighed by its place modulo the length and by a second factor
 _PLACES = 4096
 _POWER = _powers(0xD6E8FEB86659FD93, _PLACES)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each (non-empty) span of bytes ``data[start:end]``; spans ascend and don't overlap."""
+def hash_segments(data: np.ndarray, starts: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """A 64-bit sum over the bytes from each start to the next start (or the end), weighed by value and place."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    lengths = ends - starts
-    # flat positions of all bytes of all spans
-    total = int(lengths.sum())
-    first = np.zeros(len(starts), dtype=np.int64)
-    np.cumsum(lengths[:-1], out=first[1:])
-    place = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    value = _TABLE[data[place + np.repeat(starts, lengths)]]
+    data, first = data[starts[0] :], starts - starts[0]
+    lengths = np.diff(first, append=len(data))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+    value = table[data]
     with np.errstate(over="ignore"):
         if int(lengths.max()) > _PLACES:
-            value = value * mix((place // _PLACES).astype(np.uint64) + _ODD) * _POWER[place % _PLACES]
-            sums = np.add.reduceat(value, first)
-        else:
-            sums = np.add.reduceat(value * _POWER[place], first)
-        return mix(sums + lengths.astype(np.uint64) * _ODD)
+            value *= mix((place // _PLACES).astype(np.uint64) + _ODD)
+            place %= _PLACES
+        value *= _POWER[place]
+        return np.add.reduceat(value, first)
 
 
 class Texts:
@@ -116,11 +113,13 @@ class Words:
         self.owner = np.repeat(np.arange(texts.n), self.per_text)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word, with A-Z lower-cased if asked for."""
         data = self.texts.data
         if lower:
             data = data.copy()
             data[(data >= 65) & (data <= 90)] += 32
-        return hash_spans(data, self.starts, self.ends)
+        with np.errstate(over="ignore"):
+            return mix(hash_segments(data, self.starts, _WORD_TABLE) + (self.ends - self.starts).astype(np.uint64) * _ODD)
 
 
 def windows(words: Words, hashes: np.ndarray, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
