@@ -94,9 +94,9 @@ def _overlaps(s: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
 
-def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and columns base and wide: arrays of candidate spans of the whole text (null: none)."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """``docs`` and columns base_ and wide_: arrays of candidate spans of the whole text (null: none)."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     at, digit = F.contains(t, F.lit("@")), t.rlike("[0-9][0-9 ().-]*[0-9]")
     base = F.concat(
         _found(t, _EMAIL, 0, at, True), _found(t, _IP, 1, digit, True), _found(t, _CARD, 2, digit, True),
@@ -245,7 +245,9 @@ def masked(docs: DataFrame) -> DataFrame:
     A null text stays null. Of overlapping spans the one that starts first is replaced, with all that they cover.
     """
     patterns = accepted_patterns(store(with_candidates(docs.select("text")).select("base_", "wide_"), "private-candidates"))
-    found = with_candidates(docs).withColumn("spans_", F.array_sort(F.transform(_spans(patterns), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    # the other columns ride in one, whatever they are called
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    found = with_candidates(packed).withColumn("spans_", F.array_sort(F.transform(_spans(patterns), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def put(done: Column, s: Column) -> Column:
@@ -255,5 +257,8 @@ def masked(docs: DataFrame) -> DataFrame:
 
     rest = F.lit(2**31 - 1)
     text = F.aggregate("spans_", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), put, lambda done: F.array_join(F.concat(done["out"], F.array(F.substring(F.col("text"), done["at"] + 1, rest))), ""))
-    out = found.withColumn("text", F.when(F.size("spans_") > 0, text).otherwise(F.col("text"))).drop("base_", "wide_", "spans_")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    new = found.withColumn("text", F.when(F.size("spans_") > 0, text).otherwise(F.col("text")))
+    kept = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kept["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return new.select(*(kept[c].alias(c) for c in docs.columns))

@@ -18,6 +18,8 @@ PASS_BYTES = 2 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -64,6 +66,27 @@ def hash_segments(data: np.ndarray, starts: np.ndarray, table: np.ndarray = _TAB
         return np.add.reduceat(value, first)
 
 
+def byte_values(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What bytes at places of a span add to its sum."""
+    with np.errstate(over="ignore"):
+        return _TABLE[data] * _POWER[place]
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes ``data[start:end]``; spans ascend and don't overlap."""
+    inside = np.zeros(len(data), dtype=np.uint64)
+    if not len(starts):
+        return inside[:0]
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    outside = np.cumsum(edge[:-1]) == 0
+    masked = data.copy()
+    masked[outside] = 0x20
+    with np.errstate(over="ignore"):
+        return mix(hash_segments(masked, starts, _WORD_TABLE) + (ends - starts).astype(np.uint64) * _ODD)
+
+
 class Texts:
     """The bytes of some texts, one after the other; ``begin[i]:begin[i + 1]`` is text i. Null texts are empty."""
 
@@ -87,11 +110,16 @@ class Texts:
         return np.diff(np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])[self.begin])
 
     def words(self) -> Words:
-        blank = _BLANK[self.data]
-        return self._split(blank, ~blank)
+        return self.runs(~_BLANK[self.data])
+
+    def letter_runs(self) -> Words:
+        """Runs of A-Z, a-z and bytes above ASCII."""
+        return self.runs(_LETTER[self.data])
 
-    def _split(self, blank: np.ndarray, inside: np.ndarray) -> Words:
+    def runs(self, inside: np.ndarray) -> Words:
+        """Runs of bytes that are inside."""
         n = len(self.data)
+        blank = ~inside
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.begin] = True
         before = np.ones(n, dtype=bool)
