@@ -60,8 +60,9 @@ def hash_segments(data: np.ndarray, starts: np.ndarray, table: np.ndarray = _TAB
     value = table[data]
     with np.errstate(over="ignore"):
         if int(lengths.max()) > _PLACES:
-            value *= mix((place // _PLACES).astype(np.uint64) + _ODD)
-            place %= _PLACES
+            far = np.flatnonzero(place >= _PLACES)
+            value[far] *= mix((place[far] // _PLACES).astype(np.uint64)) | np.uint64(1)
+            place[far] %= _PLACES
         value *= _POWER[place]
         return np.add.reduceat(value, first)
 
@@ -160,7 +161,7 @@ def windows(words: Words, hashes: np.ndarray, size: int, short: bool = False) ->
     value = np.zeros(max(0, n - size + 1), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            value = mix(value + hashes[i : n - size + 1 + i] + np.uint64(i + 1) * _ODD)
+            value = mix(value + hashes[i : i + len(value)] + np.uint64(i + 1) * _ODD)
     owner = words.owner[: len(value)]
     inside = np.flatnonzero(owner == words.owner[size - 1 :][: len(value)])
     value, owner, at = value[inside], owner[inside], inside

@@ -1,8 +1,11 @@
+"""Rows and tables that the tests of this folder share."""
+
 import os
 import random
 
 import pytest
 
+SF_SMALL, SF_CHECK = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 LONG = " ".join(random.Random(5).choice(["the", "a", "of", "été", "x1", "日本"]) for _ in range(40_000))
 EDGE = [

@@ -1,6 +1,6 @@
 import random
 
-from conftest import SF_SMALL
+from corpus_rows import SF_SMALL, edge, nothing  # noqa: F401
 from pulsegrid.llm import decontaminate as D
 from pulsegrid.llm import registry
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from corpus_rows import SF_SMALL, edge, nothing  # noqa: F401
 from pulsegrid.llm import host_rules as H
 from pulsegrid.llm import registry
 

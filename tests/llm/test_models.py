@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import SF_CHECK
+from corpus_rows import SF_CHECK, edge, nothing, some_labels  # noqa: F401
 from pulsegrid.llm import quality, registry, toxicity
 from pulsegrid.llm import words as W
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from conftest import SF_SMALL
+from corpus_rows import SF_SMALL, edge, nothing  # noqa: F401
 from pulsegrid.llm import ngram_join, registry
 
 

@@ -1,12 +1,12 @@
 import pyarrow as pa
 import pytest
+from corpus_rows import SF_SMALL, edge, nothing  # noqa: F401
 from test_ngram_join import brute as brute_components
 from test_private_data import base
 from test_tokens import MODEL, encoded
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from conftest import SF_SMALL
 from pulsegrid.llm import decontaminate as D
 from pulsegrid.llm import toxicity
 

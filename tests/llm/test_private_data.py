@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from conftest import SF_SMALL
+from corpus_rows import SF_SMALL, edge, nothing  # noqa: F401
 from pulsegrid.llm import private_data as V
 from pulsegrid.llm import registry
 

@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from conftest import SF_SMALL
+from corpus_rows import SF_SMALL, edge, nothing  # noqa: F401
 from pulsegrid.llm import pieces, registry, token_codes, transducer
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")

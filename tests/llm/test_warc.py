@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from corpus_rows import SF_SMALL
 from pulsegrid.llm import registry, warc
 
 
