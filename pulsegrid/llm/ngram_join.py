@@ -7,11 +7,16 @@ frequent shingles, it is extended by g more, and then the two sets share at leas
 prefixes. Frequent shingles are dealt into g groups by their hash, so one group holds two shared ones: the
 signatures are the pairs inside a group. g is a power of two by the set's size; a set near a step emits both.
 If a rare shingle is shared in the extended prefix, it stands before a shared one of the plain prefix, hence is in
-the plain prefix itself: nothing is lost.
-
-Work is kept linear in three ways. Equal sets are one class from the start. Of each signature's classes, the one
-with the fewest rare shingles in its prefix is the hub, and all others are compared with it. Only pairs whose two
-sides are still in different components are compared after that. No list of a signature's members is gathered.
+the plain prefix itself: nothing is lost. Of two sets the smaller shares more of itself, so for it the first
+n - ceil(2 t n / (1 + t)) + 1 are enough (the index prefix); a signature tells whether it lies there, and two sets
+are compared only if it does for the smaller one, or for both if they are of equal size.
+
+Work is kept low in four ways. Equal sets are one class from the start. Sizes are dealt into bands by powers of
+1 / t, and only classes of the same or the next band are compared. Of the classes of a signature and band, the one
+with the fewest rare shingles in its prefix is the hub, and all others are compared with it; pairs that do not
+involve a hub are compared only if their sides are still in different components. A bitmap of parities per set,
+whose distance never exceeds the number of differing shingles, drops most pairs before the sets are fetched for the
+exact count. No list of a signature's members is gathered.
 """
 
 from __future__ import annotations
@@ -21,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import words as W
 from pulsegrid.llm.common import bounded_batches, store
 from pulsegrid.llm.components import components
+from pulsegrid.operators.joins import checked_broadcast
 
 # counters of the frequency sketch, a shingle is counted by the top bits of its hash; 8 MB whatever the corpus
 SKETCH_BITS = 20
@@ -34,6 +40,10 @@ SLICES = 16
 # a counter this far above what an even spread of all shingles gives it is taken as frequent
 FREQUENT = 48
 
+# bits of a set's bitmap; sets of LONG shingles or more have a second, wider one
+BITS, WIDE_BITS, LONG = 1024, 16384, 2000
+_BAND = 47
+
 _TAG = np.uint64(0xA24BAED4963EE407)
 
 
@@ -93,16 +103,21 @@ def groups_for(n: int) -> int:
 
 
 def signatures(shingles: np.ndarray, counts: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, int]:
-    """Signatures of one sorted set, and how rare its prefix is (0 to 127, 0: no rare shingle)."""
+    """Signatures of one sorted set, and how rare its prefix is (0 to 127, 0: no rare shingle).
+
+    The lowest bit of a signature is 1 if it lies in the index prefix; it is no part of the signature's name.
+    """
     n = len(shingles)
-    least = -(-percent * n // 100)
     if n < 2:  # a set of one shingle is like no other set
         return np.empty(0, dtype=np.uint64), 0
+    least, least_small = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
+    prefix, index = n - least + 1, n - least_small + 1
     count = counts[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     often = count > limit
     rare = shingles[~often]
-    prefix = n - least + 1
-    single = W.mix(rare[:prefix])
+    bit = np.uint64(1)
+    single = W.mix(rare[:prefix]) & ~bit
+    single[:index] |= bit
     if len(rare) >= prefix:
         return single, 127
     usual, usual_count = shingles[often], count[often]
@@ -110,10 +125,12 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, limit: int, percent: in
     out = [single]
     for g in {groups_for(least), groups_for(100 * n // percent)}:
         taken = usual[: max(0, min(n, prefix + g) - len(rare))]
+        # the index prefix must reach the frequent shingles, else a shared one in it is rare
+        inside = (np.arange(len(taken)) + len(rare) < index + g) & (len(rare) < index)
         spread = W.mix(taken + _TAG)
         group = spread % np.uint64(g)
         order = np.argsort(group, kind="stable")
-        taken, group = taken[order], group[order]
+        taken, inside, group = taken[order], inside[order], group[order]
         sizes = np.unique(group, return_counts=True)[1]
         base = np.cumsum(sizes) - sizes
         # for member i of a group of s, the pairs (i, i + 1 .. s - 1)
@@ -122,67 +139,91 @@ def signatures(shingles: np.ndarray, counts: np.ndarray, limit: int, percent: in
         left = np.repeat(np.arange(len(taken)), right)
         other = W.ragged(np.arange(len(taken)) + 1, right)
         with np.errstate(over="ignore"):
-            out.append(W.mix(W.mix(taken[left] ^ _TAG) + W.mix(taken[other] ^ _TAG) + np.uint64(g)))
+            pair = W.mix(W.mix(taken[left] ^ _TAG) + W.mix(taken[other] ^ _TAG) + np.uint64(g)) & ~bit
+        out.append(pair | (inside[left] & inside[other]).astype(np.uint64))
     return np.unique(np.concatenate(out)), 127 * len(rare) // prefix
 
 
+def _bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """One bit per counter: whether an odd number of shingles falls on it."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def sets_with_signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(row columns) doc_id, n_shingles, fp, key, sigs for every row; sigs is filled for the first of equal sets in a task."""
+    """doc_id, n_shingles, fp of every row; key, bits and sigs of the first of equal sets in a task."""
     counts = sketch_counts(docs, size)
     limit = frequent_above(counts)
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
 
     def each(batches):
-        seen: dict[bytes, int] = {}
+        seen: set[bytes] = set()
         for piece in W.passes(batches):
-            n, fp, key, sigs = [], [], [], []
+            n, fp, key, bits, wide, sigs = [], [], [], [], [], []
             for _, shingles in _sets(piece, size):
                 n.append(len(shingles))
-                if not len(shingles):
-                    fp.append(None), key.append(None), sigs.append([])
-                    continue
-                fp.append(digest := _digest(shingles))
-                if digest in seen:
-                    key.append(seen[digest]), sigs.append([])
+                fp.append(digest := _digest(shingles) if len(shingles) else None)
+                if digest is None or digest in seen:
+                    key.append(None), bits.append(None), wide.append(None), sigs.append(None)
                     continue
+                seen.add(digest)
                 sig, rareness = signatures(shingles, shared.value, limit, percent)
-                # the key sorts by rareness, so that the smallest of a signature is the hub
-                seen[digest] = rareness << 56 | int.from_bytes(digest[:7], "big")
-                key.append(seen[digest]), sigs.append(sig.view(np.int64))
+                # sorts by rareness, so that the smallest key of a signature and band is the hub
+                band = int(np.log(len(shingles)) / np.log(100 / percent) + 1e-9)
+                key.append(rareness << 56 | min(band, 511) << _BAND | int.from_bytes(digest[:6], "big") >> 1)
+                bits.append(_bitmap(shingles, BITS)), sigs.append(sig.view(np.int64))
+                wide.append(_bitmap(shingles, WIDE_BITS) if len(shingles) >= LONG else None)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": piece.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "fp": pa.array(fp, pa.binary()),
-                "key": pa.array(key, pa.int64()), "sigs": pa.array(sigs, pa.list_(pa.int64())),
+                "key": pa.array(key, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "wide": pa.array(wide, pa.list_(pa.int64())), "sigs": pa.array(sigs, pa.list_(pa.int64())),
             })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return store(rows.mapInArrow(each, "doc_id long, n_shingles long, fp binary, key long, sigs array<long>"), "ngram-sets")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    schema = "doc_id long, n_shingles long, fp binary, key long, bits array<long>, wide array<long>, sigs array<long>"
+    return store(rows.mapInArrow(each, schema), "ngram-sets")
 
 
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """key, fp, shingles of the documents named by ``wanted(doc_id, key, fp)``."""
+    """fp and shingles of the documents named by ``wanted(doc_id, fp)``."""
 
     def each(batches):
         for piece in W.passes(batches):
             sets = [s for _, s in _sets(piece, size)]
-            same = pa.array([_digest(s) == fp for s, fp in zip(sets, piece.column("fp").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_pydict({
-                "key": piece.column("key"), "fp": piece.column("fp"), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-            }).filter(same)
+            same = pa.array([len(s) > 0 and _digest(s) == fp for s, fp in zip(sets, piece.column("fp").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_pydict({"fp": piece.column("fp"), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}).filter(same)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(wanted, "doc_id").select("key", "fp", "text")
-    return found.mapInArrow(each, "key long, fp binary, shingles array<long>").dropDuplicates(["fp"])
+    found = rows.join(checked_broadcast(wanted), "doc_id").select("fp", "text")
+    return store(found.mapInArrow(each, "fp binary, shingles array<long>").dropDuplicates(["fp"]), "ngram-candidates")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _distance(bits: str) -> Column:
+    """Differing bits of the two sides' bitmaps; 0 where one has none."""
+    words = F.zip_with(f"{bits}_a", f"{bits}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.coalesce(F.aggregate(words, F.lit(0), lambda total, x: total + x), F.lit(0))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, marks: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of fingerprints whose sets are similar, from pairs of keys."""
-    left = sets.select(F.col("key").alias("a"), F.col("fp").alias("fa"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("key").alias("b"), F.col("fp").alias("fb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    na, nb = F.size("sa"), F.size("sb")
-    near = both.where((100 * na >= percent * nb) & (100 * nb >= percent * na))
-    common = near.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return common.where(100 * F.col("common") >= percent * (na + nb - F.col("common"))).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    def side(x: str) -> DataFrame:
+        return marks.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "bits", "wide", "doc_id")))
+
+    na, nb = F.col("n_a"), F.col("n_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * na >= percent * nb) & (100 * nb >= percent * na))
+    # at most (1 - t) / (1 + t) of both sizes may differ
+    most = (100 - percent) * (na + nb)
+    near = both.where((100 + percent) * _distance("bits") <= most).where((100 + percent) * _distance("wide") <= most)
+    near = store(near.select("fp_a", "fp_b", "doc_id_a", "doc_id_b"), "ngram-near")
+    if near.isEmpty():
+        return near.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    ends = near.select(F.col("doc_id_a").alias("doc_id"), F.col("fp_a").alias("fp")).unionByName(near.select(F.col("doc_id_b").alias("doc_id"), F.col("fp_b").alias("fp")))
+    sets = _fetch_sets(docs, ends.distinct(), size)
+    left = sets.select(F.col("fp").alias("fp_a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("fp").alias("fp_b"), F.col("shingles").alias("sb"))
+    common = near.join(left, "fp_a").join(right, "fp_b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    enough = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
+    return store(common.where(enough).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), "ngram-links")
 
 
 def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -196,35 +237,76 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     """
     bounded_batches(docs.sparkSession)
     rows = sets_with_signatures(docs, size, percent)
-    known = rows.where("doc_id is not null and fp is not null")
-    postings = known.select("key", F.explode("sigs").alias("sig"))
-    hubs = postings.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub < last").select("sig", "hub")
-    members = store(postings.join(hubs, "sig"), "ngram-members")
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.count("*").alias("copies"))
-    classes = store(classes, "ngram-classes")
-
-    live = members.select("key").distinct()
-    sets = store(_fetch_sets(docs, classes.join(live, "key").select("doc_id", "key", "fp"), size), "ngram-candidates")
-    pairs = members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    links = store(_verified(pairs, sets, percent), "ngram-links")
+    known = rows.where("fp is not null")
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    postings = known.select("key", F.col("n_shingles").alias("n"), F.explode("sigs").alias("s"))
+    postings = postings.select("key", "n", F.col("s").bitwiseAND(F.lit(-2)).alias("sig"), F.col("s").bitwiseAND(1).cast("boolean").alias("inside"))
+    shared = postings.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("inside").alias("any")).where("low < high and any").select("sig")
+    members = postings.join(shared, "sig").groupBy("sig", "key", "n").agg(F.max("inside").alias("inside"))
+    band = F.shiftrightunsigned("key", _BAND).bitwiseAND(511)
+    members = store(members.withColumn("band", band.cast("int")), "ngram-members")
+    hubs = members.where("inside").groupBy("sig", "band").agg(F.min("key").alias("hub"), F.min_by("n", "key").alias("n_hub"))
+    marks = known.where("key is not null").select("key", "fp", F.col("n_shingles").alias("n"), "bits", "wide", "doc_id")
+    marks = store(marks.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "fp"]), "ngram-marks")
+
+    # the hub lies in the index prefix; the other side must where it is not larger
+    with_hub = members.join(hubs, ["sig", "band"])
+    pairs = with_hub.where(f"key <> hub and (n > n_hub or inside) and {_alike('n', 'n_hub', percent)}")
+    links = _verified(docs, pairs.select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), marks, size, percent)
     parts = components(links, "ngram-parts")
 
-    # signatures whose classes are not in one component yet: the pairs across components, but those with the hub
-    named = sets.select("key", "fp").join(parts, F.col("fp") == F.col("node"), "left")
-    named = named.select("key", F.coalesce("component", "fp").alias("part"))
+    # the pairs across components, but for those with the hub of their band
+    named = marks.select("key", "fp").join(parts, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("component", "fp").alias("part")).distinct()
     rest = members.join(named, "key")
     split = rest.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-    rest = store(rest.where("key <> hub").join(split, "sig").select("sig", "key", "part").distinct(), "ngram-rest")
-    a = rest.select("sig", F.col("key").alias("a"), F.col("part").alias("pa"))
-    b = rest.select("sig", F.col("key").alias("b"), F.col("part").alias("pb"))
-    across = a.join(b, "sig").where("a < b and pa <> pb").select("a", "b").distinct()
-    more = store(_verified(across, sets, percent), "ngram-links")
+    rest = store(rest.join(split, "sig").join(hubs.drop("n_hub"), ["sig", "band"], "left").withColumn("is_hub", F.col("key").eqNullSafe(F.col("hub"))), "ngram-rest")
+    a, b = (rest.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "inside", "part", "band", "is_hub"))) for x in "ab")
+    across = a.join(b, "sig").where(
+        "key_a < key_b and part_a <> part_b and (n_a > n_b or inside_a) and (n_b > n_a or inside_b)"
+        f" and {_alike('n_a', 'n_b', percent)} and not (band_a = band_b and (is_hub_a or is_hub_b))"
+    )
+    more = _verified(docs, across.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct(), marks, size, percent)
     if not more.isEmpty():
         parts = components(links.unionByName(more), "ngram-parts")
 
     # smallest id of each component, for the classes that have copies or links
-    linked = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "copies", F.coalesce("component", "fp").alias("part"), F.col("component").isNotNull().alias("found"))
-    low = linked.where("found").groupBy("part").agg(F.min("doc_id").alias("low"))
-    names = linked.where("found or copies > 1").join(low, "part", "left").select("fp", F.coalesce("low", "doc_id").alias("component_id"))
-    out = rows.join(names.withColumnRenamed("fp", "fp_"), F.col("fp") == F.col("fp_"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    linked = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "copies", "component")
+    low = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
+    names = linked.where("component is not null or copies > 1").join(low, "component", "left")
+    names = names.select(F.col("fp").alias("of"), F.coalesce("low", "doc_id").alias("component_id"))
+    out = rows.join(names, F.col("fp") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(_without_id(docs, size))
+
+
+def _alike(a: str, b: str, percent: int) -> str:
+    """Whether sets of sizes a and b can be similar."""
+    return f"100 * {a} >= {percent} * {b} and 100 * {b} >= {percent} * {a}"
+
+
+def _without_id(docs: DataFrame, size: int) -> DataFrame:
+    """The rows without an id: the size of their set, and no component."""
+
+    def each(batches):
+        for piece in W.passes(batches):
+            n = [len(s) for _, s in _sets(piece, size)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(n), pa.int64()), "n_shingles": pa.array(n, pa.int64()), "component_id": pa.nulls(len(n), pa.int64())})
+
+    rows = docs.where("doc_id is null").select(F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, n_shingles long, component_id long")
+
+
+def one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without those whose component has a smaller id, with all their columns.
+
+    Of rows with one id and equal texts one stays. Only the ids to drop and the repeated ids are joined; they are counted,
+    broadcast if few, and else shuffled.
+    """
+    found = link_components(docs, size, percent)
+    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = checked_broadcast(store(repeated, "ngram-repeated"))
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
