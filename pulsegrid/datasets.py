@@ -88,6 +88,18 @@ def as_telemetry(rows: DataFrame) -> DataFrame:
     return telemetry_columns(rows).withColumn("value", F.to_json("payload")).drop("payload", "k", "raw")
 
 
+def odd_vibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vibration readings whose payload lacks an axis, has one that is no number, or is no object at all."""
+    number = "format_number(raw, '0.000000')"
+    rows = events(spark, sf_dir).withColumn("n", F.expr(number))
+    texts = (
+        "concat('{\"x\":', n, ',\"y\":3}')", "concat('{\"x\":\"n/a\",\"y\":', n, '}')", "concat('{\"x\":null,\"y\":', n, '}')",
+        "concat('[', n, ']')", "concat('{\"x\":\"', n, '\"}')", "concat('{\"other\":', n, '}')", "n",
+    )
+    cases = " ".join(f"WHEN {i} THEN {text}" for i, text in enumerate(texts))
+    return rows.select("event_id", F.lit("vibration").alias("sensor_type"), F.expr(f"CASE k % {len(texts)} {cases} END").alias("value"))
+
+
 def thresholds(spark: SparkSession) -> DataFrame:
     """The threshold configuration as a relation of known size."""
 
@@ -146,10 +158,14 @@ def as_messages(rows: DataFrame, corrupt: bool = False) -> DataFrame:
             .when(k % 25 == 11, record(F.col("payload"), timestamp=F.lit("2024-13-45T99:00:00Z")))
             .when(k % 25 == 13, record(F.lit(5)))
             .when(k % 25 == 17, record(F.struct(F.lit("n/a").alias("value"), F.lit("n/a").alias("x"))))
+            # ids of the producer that are no numbers refuse nothing
+            .when(k % 25 == 19, record(F.col("payload"), eventId=F.concat(F.lit("id-"), F.col("event_id"))))
+            .when(k % 25 == 21, record(F.col("payload"), eventId=F.col("event_id") + F.lit(0.5)))
             .otherwise(value)
         )
     return columns.select(
-        F.col("device_id").alias("key"), value.alias("value"), F.col("event_id").alias("sequence")
+        F.col("device_id").alias("key"), value.alias("value"), F.col("event_id").alias("sequence"),
+        (F.col("time") + F.expr("INTERVAL 2 SECOND")).alias("arrived_at"),
     )
 
 

@@ -29,10 +29,24 @@ def magnitude(x: Column, y: Column, z: Column) -> Column:
     return F.sqrt(x * x + y * y + z * z)
 
 
+def is_object(payload_col: Column) -> Column:
+    return F.schema_of_variant(payload_col).startswith("OBJECT")
+
+
+def _axis(payload_col: Column, key: str) -> Column:
+    """An axis of a vector: 0 if it is missing, null if it is there but no number."""
+    entry = F.try_variant_get(payload_col, f"$.{key}", "variant")
+    readable = F.when(F.schema_of_variant(entry) != "STRING", number(payload_col, key))
+    return F.when(entry.isNull(), 0.0).otherwise(readable)
+
+
 def vibration_rms(payload_col: Column, sensor_type: Column) -> Column:
-    """Length of the three-axis vector, a missing axis counting 0; null for other sensors."""
-    axes = [F.coalesce(number(payload_col, axis), F.lit(0.0)) for axis in AXES]
-    return F.when((sensor_type == "vibration") & payload_col.isNotNull(), magnitude(*axes))
+    """Length of the three-axis vector, a missing axis counting 0; null for other sensors.
+
+    Also null where the payload is no object, or an axis is null, text or anything else that is no number.
+    """
+    axes = [_axis(payload_col, axis) for axis in AXES]
+    return F.when((sensor_type == "vibration") & is_object(payload_col), magnitude(*axes))
 
 
 def reading_value(payload_col: Column, sensor_type: Column, scalar_keys: Sequence[str] = ("value",)) -> Column:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def sensor_key(device_id: Column, sensor_id: Column) -> Column:
-    return F.concat_ws(":", device_id, sensor_id)
-
-
 def iso_timestamp(text: Column) -> Column:
     """ISO-8601 text as an instant; text that does not start with a full date gives null."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))

@@ -109,6 +109,20 @@ def kpi_rows(
     )
 
 
+def kpi_rows_of_windows(readings: DataFrame, bounds: Sequence[datetime], created_at: datetime) -> DataFrame:
+    """KPI table rows of several windows (bound, next bound] at once; readings outside of them are left out."""
+    times = F.array(*[F.lit(b) for b in bounds])
+    # how many bounds lie before the reading: its window is between the last of them and the next
+    place = F.size(F.filter(times, lambda b: b < F.col("time")))
+    placed = readings.withColumn("_window", place).where(F.col("_window").between(1, len(bounds) - 1))
+    rows = to_long(kpis_wide(placed, ("_window", *KPI_KEYS)))
+    start, end = (F.element_at(times, F.col("_window") + step) for step in (0, 1))
+    return rows.select(
+        F.lit(created_at).alias("created_at"), "device_id", "device_type", "sensor_id", "kpi_name", "kpi_value",
+        F.lit(None).cast("string").alias("unit"), start.alias("window_start"), end.alias("window_end"), "sample_count",
+    )
+
+
 def collapse_sensors(rows: DataFrame) -> DataFrame:
     """KPI rows under the upsert key, which has no sensor: of a device's sensors of one type the last wins."""
     keys = ("device_id", "kpi_name", "window_start", "created_at")

@@ -39,8 +39,10 @@ def merge_upsert(
     return joined.select(*[F.col(name) if name in keys else merged(name) for name in current.columns])
 
 
-def deduplicate(telemetry: DataFrame, keys: Sequence[str] = ("device_id", "sensor_id", "time", "event_id")) -> DataFrame:
-    """One row per delivered reading, whatever the number of deliveries. Repeats are equal rows.
+def deduplicate(telemetry: DataFrame, keys: Sequence[str] = ("device_id", "sensor_id", "time", "value")) -> DataFrame:
+    """One row per reading, whatever the number of deliveries.
+
+    A repeat is the same reading again, wherever it stands in the topic: position and id are no part of the key.
 
     ``dropDuplicates`` also keeps one row per key and task only before it shuffles.
     """

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import kpi
+from pulsegrid.operators.metrics import snapshot
 from pulsegrid.operators.upsert import upsert_latest
 from pulsegrid.schemas import WATERMARK_TABLE
 from pulsegrid.sources.messages import with_reading
@@ -61,16 +62,26 @@ class JobRun:
         return self.window_end is not None
 
 
-def scan_range(
-    telemetry: DataFrame, watermark: datetime, as_of: datetime, lateness: timedelta | None = None
-) -> DataFrame:
-    """The rows of a run: later than the watermark, up to now. ``lateness`` re-reads that much before it."""
-    start = watermark - lateness if lateness and watermark > EPOCH else watermark
-    return in_range(telemetry, start, as_of).select(
+def scan_range(telemetry: DataFrame, after: datetime, as_of: datetime) -> DataFrame:
+    """The rows of a run: later than the given time, up to now."""
+    return in_range(telemetry, after, as_of).select(
         "device_id", "device_type", "sensor_id", "sensor_type", "time", "event_id", "value"
     )
 
 
+def past_windows(spark: SparkSession, path: str, job_name: str, watermark: datetime, lateness: timedelta) -> list[datetime]:
+    """Ascending bounds of the finished windows that rows late by up to ``lateness`` fall into; the last is the watermark.
+
+    A handful of scalars: as many as the job ran within ``lateness``. The first window is taken whole.
+    """
+    rows = spark.read.schema(WATERMARK_TABLE).parquet(path).where(F.col("job_name") == job_name)
+    at = F.col("last_processed_at")
+    inside = rows.where((at > F.lit(watermark - lateness)) & (at <= F.lit(watermark))).select(F.unix_micros(at).alias("m"))
+    before = rows.where(at <= F.lit(watermark - lateness)).agg(F.unix_micros(F.max(at)).alias("m"))
+    micros = {r.m for r in inside.unionByName(before).distinct().collect() if r.m is not None}
+    return sorted(EPOCH + timedelta(microseconds=m) for m in micros)
+
+
 def run_kpi_job(
     spark: SparkSession,
     telemetry: DataFrame,
@@ -80,25 +91,36 @@ def run_kpi_job(
     job_name: str = "kpi_5min",
     lateness: timedelta | None = None,
     scalar_keys: tuple[str, ...] = ("value",),
+    metrics_path: str | None = None,
 ) -> JobRun:
     """Compute the KPIs of everything since the last run and move the watermark.
 
-    Only two scalars reach the driver, the watermark and the latest time. An empty range leaves
-    everything as it was.
+    With ``lateness`` the finished windows that reach into that time before the watermark are computed again from all
+    their rows and replace their batches: a late row counts in the window of its time, and every row counts once.
+    Only the window bounds reach the driver. An empty range leaves everything as it was. With ``metrics_path`` the
+    number of KPIs and the run itself are stored as metrics.
     """
     started = monotonic()
     watermark = get_watermark(spark, control_path, job_name)
-    scanned = scan_range(telemetry, watermark, as_of, lateness)
-    micros = scanned.agg(F.unix_micros(F.max("time"))).first()[0]
+    micros = scan_range(telemetry, watermark, as_of).agg(F.unix_micros(F.max("time"))).first()[0]
     if micros is None:
         return JobRun(job_name, watermark, None, monotonic() - started)
     end = EPOCH + timedelta(microseconds=micros)
+    bounds = past_windows(spark, control_path, job_name, watermark, lateness) if lateness else []
+    bounds = [*bounds, end] if watermark in bounds else [*bounds, watermark, end]
     # rows that arrive between the two scans and are later than ``end`` belong to the next run
-    readings = with_reading(in_range(scanned, None, end), scalar_keys)
-    rows = kpi.kpi_rows(readings, watermark, end, as_of)
-    write_batch(rows, kpi_path, f"{job_name}-{watermark:%Y%m%dT%H%M%S%f}")
+    readings = with_reading(scan_range(telemetry, bounds[0], end), scalar_keys)
+    rows = kpi.kpi_rows_of_windows(readings, bounds, as_of)
+    batch = F.concat(F.lit(f"{job_name}-"), F.date_format("window_start", "yyyyMMdd'T'HHmmssSSSSSS"))
+    write_batch(rows, kpi_path, batch)
     advance_watermark(spark, control_path, job_name, max(end, watermark), as_of)
-    return JobRun(job_name, watermark, end, monotonic() - started)
+    run = JobRun(job_name, watermark, end, monotonic() - started)
+    if metrics_path:
+        name = f"{job_name}-{watermark:%Y%m%dT%H%M%S%f}"
+        stored = spark.read.parquet(kpi_path).where(F.col(BATCH) == name)
+        write_batch(snapshot("kpi", kpis_computed_total=stored).coalesce(1), f"{metrics_path}/counters", name)
+        write_batch(job_runs(spark, [run]).coalesce(1), f"{metrics_path}/runs", name)
+    return run
 
 
 def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:

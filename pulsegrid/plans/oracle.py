@@ -119,14 +119,31 @@ def _long(source: str) -> str:
     INTO NAME kpi_name VALUE kpi_value)"""
 
 
-KPI_TABLE = f"""{TELEMETRY},
-wide AS ({_wide("readings", where=RANGE)}),
+def _kpi_table(where: str, start: str, created: str) -> str:
+    return f"""{TELEMETRY},
+wide AS ({_wide("readings", where=where)}),
 kpis AS (
-  SELECT TIMESTAMP '2024-01-20' AS created_at, device_id, device_type, sensor_id, kpi_name,
-    round(kpi_value, 6) AS kpi_value, TIMESTAMP '2024-01-10' AS window_start,
-    (SELECT max(time) FROM telemetry WHERE {RANGE}) AS window_end, sample_count
+  SELECT TIMESTAMP '{created}' AS created_at, device_id, device_type, sensor_id, kpi_name,
+    round(kpi_value, 6) AS kpi_value, TIMESTAMP '{start}' AS window_start,
+    (SELECT max(time) FROM telemetry WHERE {where}) AS window_end, sample_count
   FROM ({_long("wide")}))"""
 
+
+KPI_TABLE = _kpi_table("true", "1970-01-01", "2024-01-31")
+KPI_RANGE_TABLE = _kpi_table(RANGE, "2024-01-10", "2024-01-20")
+
+LATE_KPIS = f"""{TELEMETRY},
+bounds AS (SELECT max(time) FILTER (WHERE event_id % 10 <> 0 AND time <= TIMESTAMP '2024-01-10') AS first_end,
+                  max(time) FILTER (WHERE time <= TIMESTAMP '2024-01-20') AS second_end FROM telemetry),
+labelled AS (
+  SELECT readings.*, CASE WHEN time <= first_end THEN TIMESTAMP '1970-01-01' ELSE first_end END AS window_start,
+    CASE WHEN time <= first_end THEN first_end ELSE second_end END AS window_end
+  FROM readings, bounds WHERE time <= TIMESTAMP '2024-01-20'),
+wide AS ({_wide("labelled", "window_start, window_end,")}),
+kpis AS (
+  SELECT TIMESTAMP '2024-01-20' AS created_at, device_id, device_type, sensor_id, kpi_name, round(kpi_value, 6) AS kpi_value,
+    window_start, window_end, sample_count FROM ({_long("wide")}))"""
+
 COLLAPSED = """collapsed AS (
   SELECT * FROM kpis QUALIFY row_number() OVER (
     PARTITION BY device_id, kpi_name, window_start, created_at ORDER BY sensor_id DESC, device_type DESC) = 1)"""
@@ -153,7 +170,7 @@ GROUP BY ALL"""
 
 POISON = f"""{TELEMETRY},
 poison AS (
-  SELECT event_id, 'stream' AS worker, CASE WHEN k % 25 = 11 THEN NULL WHEN k % 25 = 3 THEN NULL ELSE time END AS time,
+  SELECT event_id, 'stream' AS worker, time + INTERVAL 2 SECOND AS arrived_at, CASE WHEN k % 25 = 11 THEN NULL WHEN k % 25 = 3 THEN NULL ELSE time END AS time,
     CASE WHEN k % 25 = 3 THEN 'JSONDecodeError' WHEN k % 25 = 7 THEN 'KeyError' WHEN k % 25 = 11 THEN 'ValueError'
          WHEN k % 25 = 13 THEN 'TypeError'
          WHEN sensor_type = 'vibration' THEN 'TypeError' ELSE 'ValueError' END AS error_type
@@ -252,9 +269,13 @@ def oracle_sql() -> dict[str, str]:
     alerts, merged = _alerts(), _alerts("merge")
     columns = "event_id, time, device_id, device_type, sensor_id, sensor_type, unit"
     acknowledged = "value < 30"
+    number_names = ("scalar", "x", "y", "z", "reading")
+    numbers = ", ".join(f"round({c}, 6) AS {c}" for c in number_names)
+    # where the payload was replaced by text entries, none of them reads as a number
+    numbers_17 = ", ".join(f"round(CASE WHEN k % 25 <> 17 THEN {c} END, 6) AS {c}" for c in number_names)
     sql = {
         # scans, sources, sinks
-        "telemetry_scan": _with(TELEMETRY, f"SELECT {columns} FROM telemetry"),
+        "telemetry_scan": _with(TELEMETRY, f"SELECT {columns}, {numbers} FROM telemetry"),
         "topic_replay": _with(TELEMETRY, """SELECT device_id AS key, count(*) AS records, min(event_id) AS first_seq,
             max(event_id) AS last_seq FROM telemetry GROUP BY ALL"""),
         "alert_source": _with(alerts, """SELECT created_at, alert_id, device_id, device_type, alert_type, severity, message,
@@ -263,12 +284,12 @@ def oracle_sql() -> dict[str, str]:
             strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS "createdAt", round(value, 6) AS value FROM alerts"""),
         "ingest_normalize": _with(TELEMETRY, """SELECT event_id, device_id AS key, sensor_id AS "sensorId",
             sensor_type AS "sensorType", unit, strftime(time, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS "timestamp" FROM good"""),
-        "telemetry_append": _with(TELEMETRY, "SELECT cast(time AS date) AS dt, device_type, count(*) AS stored FROM good GROUP BY ALL"),
-        "bulk_append": _with(TELEMETRY, "SELECT sensor_type, 2 * count(*) AS stored FROM telemetry GROUP BY ALL"),
+        "telemetry_append": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers_17} FROM good"),
+        "bulk_append": _with(TELEMETRY, f"SELECT {columns}, {numbers} FROM telemetry, range(2)"),
         "upsert_latest": _with(TELEMETRY, f"""SELECT {columns}, round(v, 6) AS v FROM readings
             QUALIFY row_number() OVER (PARTITION BY device_id, sensor_id ORDER BY time DESC, event_id DESC) = 1"""),
-        "alerts_upsert": _with(alerts, f"""SELECT alert_type, severity, {acknowledged} AS acknowledged, count(*) AS alerts,
-            count(*) AS replaced FROM alerts GROUP BY ALL"""),
+        "alerts_upsert": _with(alerts, f"""SELECT alert_id, created_at, device_id, alert_type, severity, 'again: ' || message AS message,
+            round(threshold, 6) AS threshold, round(value, 6) AS value, {acknowledged} AS acknowledged FROM alerts"""),
         "kpis_upserted": _with(f"{KPI_TABLE}, {COLLAPSED}", "SELECT * EXCLUDE (sensor_id) FROM collapsed"),
         "param_query": _with(TELEMETRY, f"""SELECT device_id, sensor_type, count(*) AS readings, min(time) AS first_time,
             max(time) AS last_time FROM telemetry WHERE {RANGE} GROUP BY ALL"""),
@@ -297,15 +318,17 @@ def oracle_sql() -> dict[str, str]:
         "reading_value": _with(TELEMETRY, "SELECT event_id, sensor_type, round(v, 6) AS v FROM readings"),
         "kpi_value_extract": _with(TELEMETRY, """SELECT event_id,
             round(CASE WHEN sensor_type = 'vibration' THEN v ELSE coalesce(scalar, reading) END, 6) AS v FROM valued"""),
-        "telemetry_rows": _with(TELEMETRY, """SELECT time, device_id, device_type, sensor_id, sensor_type, unit, round(x, 6) AS x,
-            round(scalar, 6) AS scalar, round(reading, 6) AS reading FROM telemetry"""),
+        "telemetry_rows": _with(TELEMETRY, f"SELECT {columns}, {numbers_17} FROM good"),
+        "reading_of_odd_payloads": _with(TELEMETRY, """SELECT event_id, round(CASE k % 7 WHEN 0 THEN sqrt(n * n + 9) WHEN 5 THEN 0 END, 6) AS v
+            FROM (SELECT *, round(raw, 6) AS n FROM telemetry)"""),
         "alert_to_message": _with(alerts, """SELECT alert_id AS "alertId", device_id AS "deviceId", device_type AS "deviceType",
             message, round(threshold, 6) AS threshold, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS "createdAt" FROM alerts"""),
         "alert_rows": _with(alerts, """SELECT created_at, alert_id, device_id, device_type, alert_type, severity, message,
             round(threshold, 6) AS threshold, round(value, 6) AS value, false AS acknowledged FROM alerts"""),
-        "alert_parse": _with(alerts, """SELECT alert_type, CASE WHEN alert_type <> 'stuck_sensor' THEN severity END AS severity,
-            CASE WHEN alert_type = 'stuck_sensor' THEN 'KeyError' END AS error_type, count(*) AS alerts,
-            0::bigint AS with_threshold, round(sum(value), 6) AS values_sum FROM alerts GROUP BY ALL"""),
+        "alert_parse": _with(alerts, """SELECT created_at, alert_id, device_id, device_type, alert_type,
+            CASE WHEN alert_type <> 'stuck_sensor' THEN severity END AS severity, message,
+            round(CASE WHEN alert_type = 'stuck_sensor' THEN threshold END, 6) AS threshold, round(value, 6) AS value,
+            CASE WHEN alert_type = 'stuck_sensor' THEN 'KeyError' END AS error_type FROM alerts"""),
         "alert_messages": _with(alerts, "SELECT event_id, alert_type, message FROM alerts"),
         "alert_identity": _with(alerts, "SELECT event_id, alert_type, alert_id, created_at FROM alerts"),
         "log_level": _with(LINES, "SELECT event_id, level, strict_level FROM labelled"),
@@ -314,6 +337,8 @@ def oracle_sql() -> dict[str, str]:
             name AS service, CASE WHEN k % 5 = 0 THEN 'main' END AS logger, txt AS message,
             CASE WHEN k % 5 = 0 THEN cast(user_id AS varchar) END AS extra_user, NULL::varchar AS exception
             FROM scanned WHERE k % 5 IN (0, 1)"""),
+        "log_lines_refused": _with(LINES, """SELECT event_id, app, 'PlainText' AS error_type, line AS raw FROM lines
+            WHERE k % 20 = 19 OR k % 5 NOT IN (0, 1)"""),
         "ingest_batch_explode": _with(TELEMETRY, """SELECT event_id, i::bigint AS sequence, device_id, sensor_id,
             time + to_seconds(i) AS time, round(raw + i, 6) AS value
             FROM (SELECT *, unnest(range(k % 3 + 1)) AS i FROM telemetry)"""),
@@ -330,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         # filters
         "threshold_check": _with(alerts, """SELECT event_id, severity, round(reported_limit, 6) AS reported_limit,
             round(breached_limit, 6) AS breached_limit FROM checked"""),
-        "bad_records": _with(POISON, "SELECT worker, error_type, count(*) AS records FROM poison GROUP BY ALL"),
+        "bad_records": _with(POISON, "SELECT worker, error_type, event_id, time, arrived_at FROM poison"),
         "ingest_validate": _with(TYPED, """SELECT event_id, device_type, sensor_type, payload_type,
             CASE WHEN device_type = 'prototype' THEN 'unknown_device_type'
                  WHEN sensor_type IN ('vibration', 'power') AND payload_type <> sensor_type THEN 'payload_type_mismatch'
@@ -366,7 +391,8 @@ def oracle_sql() -> dict[str, str]:
             sample_count, round(kpi_value, 6) AS kpi_value, kpi_name FROM ({_long('wide')})"""),
         "kpi_window_bounds": _with(TELEMETRY, f"""SELECT TIMESTAMP '2024-01-10' AS window_start, max(time) AS window_end
             FROM telemetry WHERE {RANGE}"""),
-        "kpis_incremental": _with(KPI_TABLE, "SELECT * FROM kpis"),
+        "kpis_incremental": _with(KPI_RANGE_TABLE, "SELECT * FROM kpis"),
+        "kpis_with_late_rows": _with(LATE_KPIS, "SELECT * FROM kpis"),
         "kpis_tumbling_5min": _with(_tumbling("5 minutes"), "SELECT * FROM tumbling"),
         "kpis_tumbling_1hr": _with(_tumbling("1 hour"), "SELECT * FROM tumbling"),
         # metrics
@@ -383,10 +409,12 @@ def oracle_sql() -> dict[str, str]:
             """SELECT job_name, (SELECT round(sum(s), 6) FROM runs q WHERE q.job_name = r.job_name) AS sum_seconds,
             (SELECT count(*) FROM runs q WHERE q.job_name = r.job_name) AS observations, le.le,
             count(*) FILTER (WHERE s <= le.le) AS bucket FROM runs r, le GROUP BY ALL"""),
-        "metric_processing_errors": _with(POISON, "SELECT worker, error_type, count(*) AS value FROM poison GROUP BY ALL"),
+        "metric_processing_errors": _with(f"{alerts}, {POISON.removeprefix(TELEMETRY).lstrip(', ')}", """SELECT worker, error_type, count(*) AS value FROM (
+            SELECT worker, error_type FROM poison UNION ALL
+            SELECT 'alert', 'KeyError' FROM alerts WHERE alert_type = 'stuck_sensor') GROUP BY ALL"""),
         "rate_telemetry_1m": _with(TELEMETRY, _rate("SELECT device_type, sensor_type, time AS moment FROM telemetry", 60, "device_type, sensor_type,")),
         "rate_alerts_5m": _with(alerts, _rate("SELECT alert_type, severity, created_at AS moment FROM alerts", 300, "alert_type, severity,")),
-        "rate_errors_5m": _with(POISON, _rate("SELECT time AS moment FROM poison WHERE time IS NOT NULL", 300, "")),
+        "rate_errors_5m": _with(POISON, _rate("SELECT arrived_at AS moment FROM poison", 300, "")),
         "active_alert_count": _with(alerts, "SELECT count(*) AS active_alerts FROM (SELECT DISTINCT device_id, alert_type FROM alerts)"),
         "total_stored": _with(TELEMETRY, "SELECT count(*) AS total_stored FROM telemetry"),
         "total_kpis": _with(KPI_TABLE, "SELECT count(*) AS total_kpis FROM kpis"),
@@ -414,7 +442,7 @@ def oracle_sql() -> dict[str, str]:
         "telemetry_dedup": _with(TELEMETRY, f"SELECT {columns} FROM telemetry"),
         "stream_alerts_all": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
         "stream_alerts_by_batch": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
-        "stream_landing": _with(TELEMETRY, "SELECT cast(time AS date) AS dt, device_type, count(*) AS stored FROM good GROUP BY ALL"),
+        "stream_landing": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers_17} FROM good"),
         "telemetry_partitions": _with(TELEMETRY, """SELECT cast(time AS date) AS dt, count(*) AS "rows", min(time) AS first_time,
             max(time) AS last_time FROM telemetry GROUP BY ALL"""),
         "retention_30d": _with(TELEMETRY, """SELECT event_id, time, device_id FROM telemetry

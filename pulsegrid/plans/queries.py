@@ -76,6 +76,13 @@ def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of the first run of the job, over all telemetry."""
+    whole = data.telemetry(spark, sf_dir)
+    return kpi.kpi_rows(messages.with_reading(whole), jobs.EPOCH, kpi.window_end(whole), AS_OF)
+
+
+def kpi_range_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of a run between two watermarks."""
     scanned = ranged(spark, sf_dir)
     return kpi.kpi_rows(messages.with_reading(scanned), WATERMARK, kpi.window_end(scanned), UNTIL)
 
@@ -86,6 +93,13 @@ def poison(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_numbers(rows: DataFrame) -> DataFrame:
+    """Telemetry rows with the entries of their JSON text as columns instead of the text."""
+    entries = F.from_json("value", "value DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, reading DOUBLE")
+    kept = [name for name in rows.columns if name not in ("value", messages.ARRIVAL)]
+    return rows.select(*kept, entries.alias("e")).select(*kept, F.col("e.value").alias("scalar"), "e.x", "e.y", "e.z", "e.reading")
+
+
 ALERT_OUT = (
     "event_id", "time", "device_id", "device_type", "sensor_id", "alert_type", "severity", "message", "threshold",
     "value", "breached_limit",
@@ -96,16 +110,18 @@ ALERT_OUT = (
 
 @query
 def telemetry_scan(spark, sf_dir):
-    """Topic records decoded into the telemetry table."""
-    return messages.good(messages.parse_telemetry(data.messages(spark, sf_dir))).drop("value")
+    """Topic records decoded into the telemetry table, the stored payload read back as numbers."""
+    return stored_numbers(messages.good(messages.parse_telemetry(data.messages(spark, sf_dir))))
 
 
 @query
 def topic_replay(spark, sf_dir):
-    """The records of the topic from the beginning, key and value, counted by key."""
-    records = data.messages(spark, sf_dir)
-    return records.groupBy("key").agg(
-        F.count(F.lit(1)).alias("records"), F.min("sequence").alias("first_seq"), F.max("sequence").alias("last_seq")
+    """A topic of all messages, replayed from the beginning and counted by device."""
+    path = work_dir(spark, "topic")
+    data.messages(spark, sf_dir).select("value").write.text(path)
+    rows = messages.good(messages.parse_telemetry(topics.replay_topic(spark, "text", path), as_text=False))
+    return rows.groupBy(F.col("device_id").alias("key")).agg(
+        F.count(F.lit(1)).alias("records"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq")
     )
 
 
@@ -138,7 +154,7 @@ def telemetry_append(spark, sf_dir):
     path = work_dir(spark, "telemetry")
     rows = messages.good(messages.parse_telemetry(data.messages(spark, sf_dir, corrupt=True)))
     tables.append_rows(rows, path)
-    return tables.read_table(spark, path).groupBy("dt", "device_type").agg(F.count(F.lit(1)).alias("stored"))
+    return stored_numbers(tables.read_table(spark, path))
 
 
 @query
@@ -148,7 +164,7 @@ def bulk_append(spark, sf_dir):
     rows = data.telemetry(spark, sf_dir)
     for _ in range(2):
         tables.append_rows(rows, path)
-    return tables.read_table(spark, path).groupBy("sensor_type").agg(F.count(F.lit(1)).alias("stored"))
+    return stored_numbers(tables.read_table(spark, path)).drop("dt")
 
 
 @query
@@ -167,10 +183,7 @@ def alerts_upsert(spark, sf_dir):
     again = all_alerts(spark, sf_dir).withColumn("message", F.concat(F.lit("again: "), F.col("message")))
     incoming = alerts.to_rows(again).withColumn("version", F.lit(1))
     merged = merge_upsert(current, incoming, ("alert_id", "created_at"), ("version",), keep=("acknowledged",))
-    return merged.groupBy("alert_type", "severity", "acknowledged").agg(
-        F.count(F.lit(1)).alias("alerts"),
-        F.count_if(F.col("message").startswith("again: ")).alias("replaced"),
-    )
+    return merged.select("alert_id", "created_at", "device_id", "alert_type", "severity", "message", "threshold", "value", "acknowledged")
 
 
 @query
@@ -296,14 +309,17 @@ def kpi_value_extract(spark, sf_dir):
     return rows.select("event_id", "v")
 
 
+@query
+def reading_of_odd_payloads(spark, sf_dir):
+    """Readings of vibration payloads with an axis missing, null or text, and of payloads that are no objects."""
+    rows = data.odd_vibration(spark, sf_dir)
+    return messages.with_reading(rows, keep_null=True).select("event_id", "v")
+
+
 @query
 def telemetry_rows(spark, sf_dir):
-    """Stored rows: the payload is JSON text again, here read back as numbers."""
-    rows = messages.good(messages.parse_telemetry(data.messages(spark, sf_dir)))
-    entries = F.from_json("value", "value DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, reading DOUBLE")
-    return rows.select("time", "device_id", "device_type", "sensor_id", "sensor_type", "unit", entries.alias("e")).select(
-        "time", "device_id", "device_type", "sensor_id", "sensor_type", "unit", "e.x", F.col("e.value").alias("scalar"), "e.reading"
-    )
+    """Stored rows of a topic with ids that are no numbers: the payload is JSON text again, here read back as numbers."""
+    return stored_numbers(messages.good(messages.parse_telemetry(data.messages(spark, sf_dir, corrupt=True))))
 
 
 @query
@@ -320,17 +336,19 @@ def alert_rows(spark, sf_dir):
     return alerts.to_rows(all_alerts(spark, sf_dir))
 
 
-@query
-def alert_parse(spark, sf_dir):
-    """Alert messages as rows; some without the optional entries, some without a required one."""
-    records = messages.alert_messages(all_alerts(spark, sf_dir)).select(
+def alert_records(spark, sf_dir):
+    """Alert messages, some without the optional entries, some without a required one."""
+    return messages.alert_messages(all_alerts(spark, sf_dir)).select(
         F.when(F.col("value").contains('"stuck_sensor"'), F.replace(F.col("value"), F.lit('"severity"'), F.lit('"level"')))
         .otherwise(F.regexp_replace("value", r'"threshold":[^,]*,', ""))
         .alias("value")
     )
-    return messages.parse_alerts(records).groupBy("alert_type", "severity", "error_type").agg(
-        F.count(F.lit(1)).alias("alerts"), F.count("threshold").alias("with_threshold"), F.sum("value").alias("values_sum")
-    )
+
+
+@query
+def alert_parse(spark, sf_dir):
+    """Alert messages as rows with their error, if any."""
+    return messages.parse_alerts(alert_records(spark, sf_dir)).drop("raw")
 
 
 @query
@@ -370,6 +388,12 @@ def log_records(spark, sf_dir):
     )
 
 
+@query
+def log_lines_refused(spark, sf_dir):
+    """Lines that are no structured record, with the reason: nothing is lost."""
+    return logs.refused_lines(data.log_lines(spark, sf_dir)).select("event_id", "app", "error_type", "raw")
+
+
 @query
 def ingest_batch_explode(spark, sf_dir):
     """Readings out of batch envelopes."""
@@ -408,9 +432,7 @@ def threshold_check(spark, sf_dir):
 @query
 def bad_records(spark, sf_dir):
     """Refused records with the name of their error."""
-    return poison(spark, sf_dir).select(
-        "worker", "error_type", F.length("raw").cast("bigint").alias("raw_length")
-    ).groupBy("worker", "error_type").agg(F.count(F.lit(1)).alias("records"))
+    return poison(spark, sf_dir).drop("raw")
 
 
 @query
@@ -532,7 +554,19 @@ def kpi_window_bounds(spark, sf_dir):
 @query
 def kpis_incremental(spark, sf_dir):
     """KPI table rows of the incremental run."""
-    return kpi_table(spark, sf_dir).drop("unit")
+    return kpi_range_table(spark, sf_dir).drop("unit")
+
+
+@query
+def kpis_with_late_rows(spark, sf_dir):
+    """Two runs of the job, part of the rows arriving after the first: its window is computed again, no row counts twice."""
+    root = work_dir(spark, "late-kpis")
+    whole = data.telemetry(spark, sf_dir)
+    jobs.seed_control(spark, f"{root}/control")
+    punctual = whole.where("event_id % 10 <> 0")
+    for telemetry, as_of in ((punctual, WATERMARK), (whole, UNTIL)):
+        jobs.run_kpi_job(spark, telemetry, f"{root}/kpis", f"{root}/control", as_of, lateness=timedelta(days=2))
+    return jobs.read_kpis(spark, f"{root}/kpis").drop("unit")
 
 
 @query
@@ -597,7 +631,9 @@ def metric_job_duration(spark, sf_dir):
 
 @query
 def metric_processing_errors(spark, sf_dir):
-    return metrics.metric(poison(spark, sf_dir), "processing_errors_total")
+    """Errors of the workers: poison records of the telemetry topic and of the alert topic."""
+    of_alerts = messages.bad(messages.parse_alerts(alert_records(spark, sf_dir)), "alert")
+    return metrics.metric(poison(spark, sf_dir).unionByName(of_alerts, allowMissingColumns=True), "processing_errors_total")
 
 
 @query
@@ -614,8 +650,8 @@ def rate_alerts_5m(spark, sf_dir):
 
 @query
 def rate_errors_5m(spark, sf_dir):
-    """Errors per second over the last five minutes, all together, every 15 s."""
-    return metrics.rate(poison(spark, sf_dir).where(F.col("time").isNotNull()), "time", 300)
+    """Errors per second over the last five minutes by time of arrival, all together, every 15 s."""
+    return metrics.rate(poison(spark, sf_dir), messages.ARRIVAL, 300)
 
 
 @query
@@ -711,11 +747,12 @@ def late_rows_report(spark, sf_dir):
 
 @query
 def telemetry_dedup(spark, sf_dir):
-    """Telemetry after part of it was delivered twice."""
-    rows = data.telemetry_columns(data.events(spark, sf_dir)).drop("payload", "raw")
-    times = F.when(F.col("k") % 3 == 0, F.lit(2)).otherwise(F.lit(1))
-    delivered = rows.withColumn("delivery", F.explode(F.sequence(F.lit(1), times))).drop("k", "delivery")
-    return deduplicate(delivered)
+    """Telemetry after its producers sent part of it twice: the repeats stand elsewhere in the topic."""
+    records = data.messages(spark, sf_dir)
+    times = F.when(F.col("sequence") % 3 == 0, F.lit(2)).otherwise(F.lit(1))
+    delivered = records.withColumn("delivery", F.explode(F.sequence(F.lit(1), times)))
+    moved = delivered.withColumn("sequence", F.col("sequence") + F.col("delivery") * F.lit(10**12)).drop("delivery")
+    return deduplicate(messages.good(messages.parse_telemetry(moved))).drop("value")
 
 
 @query
@@ -732,9 +769,9 @@ def stream_alerts_by_batch(spark, sf_dir):
 
 @query
 def stream_landing(spark, sf_dir):
-    """Telemetry landed by the stream, counted by day and device type."""
+    """Telemetry landed by the stream, the stored payload read back as numbers."""
     path = stream_checks.landed_by_stream(spark, sf_dir, work_dir(spark, "stream-landing"))
-    return tables.read_table(spark, path).groupBy("dt", "device_type").agg(F.count(F.lit(1)).alias("stored"))
+    return stored_numbers(tables.read_table(spark, path)).drop(tables.BATCH)
 
 
 @query

@@ -19,29 +19,26 @@ ALERT_FIELDS = {
     "message": "message",
 }
 
-# ``eventId`` is an optional sequence number of the producer; it only breaks ties between readings
-# of one sensor that carry the same timestamp. Kafka sources use the record offset instead.
+# Optional entries are read as text and converted afterwards, so that none of them can make a record
+# undecodable. ``eventId`` is an optional sequence number of the producer; it breaks ties between readings of
+# one sensor that carry the same timestamp. Without a usable one the position in the topic takes its place.
 TELEMETRY_MESSAGE = (
     "deviceId STRING, deviceType STRING, sensorId STRING, sensorType STRING, "
-    "timestamp STRING, unit STRING, value VARIANT, eventId BIGINT, _corrupt STRING"
+    "timestamp STRING, unit STRING, value VARIANT, eventId STRING, _corrupt STRING"
 )
 ALERT_MESSAGE = (
     "alertId STRING, deviceId STRING, deviceType STRING, alertType STRING, severity STRING, "
-    "message STRING, threshold DOUBLE, value DOUBLE, createdAt STRING, _corrupt STRING"
+    "message STRING, threshold STRING, value STRING, createdAt STRING, _corrupt STRING"
 )
 LOG_RECORD = (
     "timestamp STRING, level STRING, service STRING, logger STRING, message STRING, "
-    "extra MAP<STRING, STRING>, exception STRING, _corrupt STRING"
+    "extra STRING, exception STRING, _corrupt STRING"
 )
 
 TELEMETRY_TABLE = (
     "event_id BIGINT, time TIMESTAMP, device_id STRING, device_type STRING, sensor_id STRING, "
     "sensor_type STRING, unit STRING, value STRING"
 )
-KPI_TABLE = (
-    "created_at TIMESTAMP, device_id STRING, device_type STRING, sensor_id STRING, kpi_name STRING, "
-    "kpi_value DOUBLE, unit STRING, window_start TIMESTAMP, window_end TIMESTAMP, sample_count BIGINT"
-)
 ALERT_TABLE = (
     "created_at TIMESTAMP, alert_id STRING, device_id STRING, device_type STRING, alert_type STRING, "
     "severity STRING, message STRING, threshold DOUBLE, value DOUBLE, acknowledged BOOLEAN"

@@ -78,20 +78,33 @@ def reject_late(logs: DataFrame, as_of: datetime | Column, max_age: timedelta =
     return since(logs, at - F.lit(max_age), time)
 
 
-def parse_records(lines: DataFrame) -> DataFrame:
-    """Structured (JSON) log lines as columns; other lines are left out.
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Every line with the columns of a structured (JSON) record, and in ``error_type`` why it is none.
 
-    The level and the service are also found in records of the shell form, which has no logger.
-    Any nested ``extra`` entry is kept as its JSON text.
+    ``PlainText`` is a line that does not begin as a JSON object, ``JSONDecodeError`` one that does and cannot
+    be read. The level and the service are also found in records of the shell form, which has no logger. Nested entries
+    of ``extra`` are kept as JSON text; an ``extra`` that is no object is null and does not refuse the record.
     """
-    msg = F.col("msg")
+    msg, line = F.col("msg"), F.trim(F.col("line"))
     rest = [name for name in lines.columns if name not in ("line", "level", "service")]
-    return (
-        decode(lines.where(F.col("line").startswith("{")), LOG_RECORD, "line")
-        .where(msg["_corrupt"].isNull() & msg.isNotNull())
-        .select(
-            *rest,
-            F.try_to_timestamp(msg["timestamp"]).alias("logged_at"),
-            *[msg[name].alias(name) for name in ("level", "service", "logger", "message", "extra", "exception")],
-        )
+    error = F.when(~F.coalesce(line.startswith("{"), F.lit(False)), "PlainText").when(msg.isNull() | msg["_corrupt"].isNotNull(), "JSONDecodeError")
+    return decode(lines, LOG_RECORD, "line").select(
+        *rest,
+        F.try_to_timestamp(msg["timestamp"]).alias("logged_at"),
+        *[msg[name].alias(name) for name in ("level", "service", "logger", "message")],
+        F.from_json(msg["extra"], "map<string,string>").alias("extra"),
+        msg["exception"].alias("exception"),
+        error.alias("error_type"),
+        F.col("line").alias("raw"),
     )
+
+
+def parse_records(lines: DataFrame) -> DataFrame:
+    """The structured lines as columns; :func:`refused_lines` has all the others."""
+    return parse_lines(lines).where(F.col("error_type").isNull()).drop("error_type", "raw")
+
+
+def refused_lines(lines: DataFrame) -> DataFrame:
+    """The lines that are no structured record: their tags, the reason and the whole line."""
+    rest = [name for name in lines.columns if name not in ("line", "level", "service")]
+    return parse_lines(lines).where(F.col("error_type").isNotNull()).select(*rest, "error_type", "raw")

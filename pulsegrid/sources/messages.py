@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas
-from pulsegrid.functions.payload import conversion_error, reading_value
+from pulsegrid.functions.payload import conversion_error, is_object, reading_value
 from pulsegrid.functions.text import ISO_MICROS, iso_timestamp
 from pulsegrid.operators.joins import checked_broadcast
 
+ARRIVAL = "arrived_at"
 _DECODE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
@@ -47,7 +48,7 @@ def _missing(msg: Column, fields: list[str]) -> Column:
     return missing
 
 
-def telemetry_error(msg: Column, time: Column, payload_text: Column, check_value: bool = False) -> Column:
+def telemetry_error(msg: Column, time: Column, check_value: bool = False) -> Column:
     """Error name of a telemetry message, null for a good one.
 
     The landing path stores any payload object; ``check_value`` adds the errors of reading the
@@ -58,7 +59,7 @@ def telemetry_error(msg: Column, time: Column, payload_text: Column, check_value
         F.when(_undecodable(msg), "JSONDecodeError")
         .when(_missing(msg, required), "KeyError")
         .when(time.isNull(), "ValueError")
-        .when(~payload_text.startswith("{"), "TypeError")
+        .when(~is_object(msg["value"]), "TypeError")
     )
     if check_value:
         error = F.coalesce(error, conversion_error(msg["value"], msg["sensorType"]))
@@ -68,34 +69,43 @@ def telemetry_error(msg: Column, time: Column, payload_text: Column, check_value
 def parse_telemetry(records: DataFrame, check_value: bool = False, as_text: bool = True) -> DataFrame:
     """Topic records as telemetry rows plus ``error_type`` and the original text in ``raw``.
 
-    ``value`` is the payload as JSON text (the stored form), or VARIANT with ``as_text=False``.
+    ``value`` is the payload as JSON text (the stored form), or VARIANT with ``as_text=False``. The producer's own
+    id comes before the position in the topic, so a reading that is sent twice keeps its identity. The time of
+    arrival stays where the records have one.
     """
-    msg, text = F.col("msg"), F.col("_text")
-    decoded = (
-        decode(records, schemas.TELEMETRY_MESSAGE)
-        .withColumn("time", iso_timestamp(msg["timestamp"]))
-        .withColumn("_text", F.to_json(msg["value"]))
-    )
+    msg = F.col("msg")
+    decoded = decode(records, schemas.TELEMETRY_MESSAGE).withColumn("time", iso_timestamp(msg["timestamp"]))
     sequence = F.col("sequence") if "sequence" in records.columns else F.lit(None).cast("bigint")
-    checked = once(decoded, error_type=telemetry_error(msg, F.col("time"), text, check_value))
+    checked = once(decoded, error_type=telemetry_error(msg, F.col("time"), check_value))
     return checked.select(
-        F.coalesce(sequence, msg["eventId"]).alias("event_id"),
+        F.coalesce(F.expr("try_cast(msg.eventId AS BIGINT)"), sequence).alias("event_id"),
         "time",
         *[msg[wire].alias(column) for wire, column in schemas.TELEMETRY_FIELDS.items()],
-        (text if as_text else msg["value"]).alias("value"),
+        (F.to_json(msg["value"]) if as_text else msg["value"]).alias("value"),
         "error_type",
         F.col("value").alias("raw"),
+        *_arrival(records),
     )
 
 
-def good(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("error_type").isNull()).drop("error_type", "raw")
+def _arrival(df: DataFrame) -> list[str]:
+    return [ARRIVAL] if ARRIVAL in df.columns else []
+
+
+def good(parsed: DataFrame, keep_arrival: bool = False) -> DataFrame:
+    rows = parsed.where(F.col("error_type").isNull()).drop("error_type", "raw")
+    return rows if keep_arrival else rows.drop(ARRIVAL)
 
 
 def bad(parsed: DataFrame, worker: str) -> DataFrame:
-    """Quarantine rows: who met the record, why it was refused, and its whole text."""
+    """Quarantine rows: who met the record, why it was refused, its whole text and when it arrived.
+
+    Identity and time of the message are null where they could not be read.
+    """
+    kinds = {"event_id": "bigint", "time": "timestamp"}
+    known = [F.col(c) if c in parsed.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
     return parsed.where(F.col("error_type").isNotNull()).select(
-        F.lit(worker).alias("worker"), "error_type", "event_id", "time", "raw"
+        F.lit(worker).alias("worker"), "error_type", *known, "raw", *_arrival(parsed)
     )
 
 
@@ -136,10 +146,11 @@ def parse_alerts(records: DataFrame) -> DataFrame:
     return decoded.select(
         "created_at",
         *[msg[wire].alias(column) for wire, column in schemas.ALERT_FIELDS.items()],
-        msg["threshold"].alias("threshold"),
-        msg["value"].alias("value"),
+        F.expr("try_cast(msg.threshold AS DOUBLE)").alias("threshold"),
+        F.expr("try_cast(msg.value AS DOUBLE)").alias("value"),
         error.alias("error_type"),
         F.col("value").alias("raw"),
+        *_arrival(records),
     )
 
 

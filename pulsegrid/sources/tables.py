@@ -30,9 +30,12 @@ def append_rows(df: DataFrame, path: str, time: str = "time", files_per_day: int
     out.write.mode("append").partitionBy(DAY).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int | str, partitions: Sequence[str] = ()) -> None:
-    """Write one batch so that writing it again replaces it: re-runs never duplicate rows."""
-    out = df.withColumn(BATCH, F.lit(batch_id))
+def write_batch(df: DataFrame, path: str, batch_id: int | str | Column, partitions: Sequence[str] = ()) -> None:
+    """Write one batch so that writing it again replaces it: re-runs never duplicate rows.
+
+    A column as ``batch_id`` tells each row's batch; all batches that occur are replaced.
+    """
+    out = df.withColumn(BATCH, batch_id if isinstance(batch_id, Column) else F.lit(batch_id))
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -1,7 +1,8 @@
 """Keyed JSON topics: builders for Kafka, with a file format standing in where there is no broker.
 
-Every function takes ``fmt``. With ``kafka`` the record key, value and offset come from the broker;
-with ``text`` each line of the files under ``path`` is one record value and has no key.
+Every function takes ``fmt``. With ``kafka`` the record key, value, position and time of arrival come from
+the broker; with ``text`` each line of the files under ``path`` is one record value without key and position, and it
+arrived when its file was written.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ def _records(df: DataFrame, fmt: str) -> DataFrame:
         return df.select(
             F.col("key").cast("string").alias("key"),
             F.col("value").cast("string").alias("value"),
-            F.col("offset").alias("sequence"),
+            # unique over all partitions, ascending within one
+            (F.shiftleft(F.col("partition").cast("bigint"), 48) + F.col("offset")).alias("sequence"),
+            F.col("timestamp").alias("arrived_at"),
         )
     return df.select(
-        F.lit(None).cast("string").alias("key"), "value", F.lit(None).cast("bigint").alias("sequence")
+        F.lit(None).cast("string").alias("key"), "value", F.lit(None).cast("bigint").alias("sequence"),
+        F.col("_metadata.file_modification_time").alias("arrived_at"),
     )
 
 
@@ -42,7 +46,7 @@ def stream_topic(
     max_bytes: int = DEFAULT_BATCH_BYTES,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Unbounded (key, value, sequence) from the earliest record on, rate limited per micro-batch.
+    """Unbounded (key, value, sequence, arrived_at) from the earliest record on, rate limited per micro-batch.
 
     Files are limited by size, or by number if ``max_files`` is given.
     """
@@ -57,7 +61,7 @@ def stream_topic(
 def replay_topic(
     spark: SparkSession, fmt: str = "kafka", path: str | None = None, options: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """The whole topic, earliest to latest, as a batch of (key, value, sequence)."""
+    """The whole topic, earliest to latest, as a batch of (key, value, sequence, arrived_at)."""
     bounds = {"endingOffsets": "latest"} if fmt == "kafka" else {}
     reader = spark.read.format(fmt).options(**{**bounds, **(options or {})})
     return _records(reader.load(path) if path else reader.load(), fmt)

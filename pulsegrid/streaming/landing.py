@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.metrics import snapshot
-from pulsegrid.sources.messages import bad, good, normalize, parse_telemetry
+from pulsegrid.sources.messages import bad, good, normalize, parse_alerts, parse_telemetry
 from pulsegrid.sources.tables import DAY, with_day, write_batch
 from pulsegrid.sources.topics import stream_to_topic
 
-# Fixed rule values of the flush policy: at most this many rows or this much time per flush. On a
-# stream they become the rate limit of the source and the trigger; the trigger also flushes the tail.
-FLUSH_ROWS = 1000
+# Fixed rule value of the flush policy: this much time per flush, which also flushes the tail. The rows of a flush
+# are bounded by the rate limit of the source (``stream_topic``), sized by the cluster.
 FLUSH_INTERVAL = "150 milliseconds"
 WORKER = "telemetry"
+ALERT_WORKER = "alert"
 
 
 def start(writer, trigger: str | None):
@@ -40,7 +41,7 @@ def start_landing(
     def land(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_telemetry(batch).persist()
         try:
-            stored = good(parsed)
+            stored = good(parsed, keep_arrival=True)
             write_batch(with_day(stored), table, batch_id, (DAY,))
             write_batch(bad(parsed, WORKER), quarantine, batch_id)
             if metrics:
@@ -57,6 +58,31 @@ def start_landing(
     return start(records.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint), trigger)
 
 
+def start_storing_alerts(
+    records: DataFrame,
+    table: str,
+    quarantine: str,
+    checkpoint: str,
+    trigger: str | None = FLUSH_INTERVAL,
+    metrics: str | None = None,
+) -> StreamingQuery:
+    """The alert topic into the alert table by day, not acknowledged yet; poison records are set aside with their reason."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_alerts(batch).persist()
+        try:
+            rows = good(parsed).withColumn("acknowledged", F.lit(False))
+            write_batch(with_day(rows, "created_at"), table, batch_id, (DAY,))
+            write_batch(bad(parsed, ALERT_WORKER), quarantine, batch_id)
+            if metrics:
+                counts = snapshot(ALERT_WORKER, alerts_generated_total=rows, processing_errors_total=bad(parsed, ALERT_WORKER))
+                write_batch(counts.coalesce(1), metrics, batch_id)
+        finally:
+            parsed.unpersist()
+
+    return start(records.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), trigger)
+
+
 def start_normalizing(
     records: DataFrame, checkpoint: str, fmt: str = "kafka", options: dict | None = None, trigger: str | None = FLUSH_INTERVAL
 ) -> StreamingQuery:
@@ -67,5 +93,5 @@ def start_normalizing(
 def without_repeats(telemetry: DataFrame, lateness: str) -> DataFrame:
     """Drops repeated deliveries that arrive within ``lateness`` of each other."""
     return telemetry.withWatermark("time", lateness).dropDuplicatesWithinWatermark(
-        ["device_id", "sensor_id", "time", "event_id"]
+        ["device_id", "sensor_id", "time", "value"]
     )

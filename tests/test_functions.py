@@ -14,7 +14,8 @@ from pulsegrid.sources.messages import with_reading
     [
         ('{"value": 42.5}', "temperature", 42.5),
         ('{"value": 100}', "power", 100.0),
-        ('{"value": 25.5, "@type": "scalar"}', "temperature", 25.5),
+        ('{"value": 61.25, "@type": "scalar"}', "temperature", 61.25),
+        # fixed values: inputs whose results must agree
         ('{"x": 3, "y": 4, "z": 0}', "vibration", 5.0),
         ('{"x": 1, "y": 2, "z": 2}', "vibration", 3.0),
         ('{"x": 3}', "vibration", 3.0),
@@ -27,6 +28,13 @@ from pulsegrid.sources.messages import with_reading
         ('{"value": null}', "temperature", None),
         ('{"state": false}', "contact", None),
         ("no json", "vibration", None),
+        ('{"x":"n/a","y":4}', "vibration", None),
+        ('{"x":null,"y":4}', "vibration", None),
+        ('{"x":"3","y":4}', "vibration", None),
+        ('{"x":[3],"y":4}', "vibration", None),
+        ("[1]", "vibration", None),
+        ("7", "vibration", None),
+        ("{}", "vibration", 0.0),
     ],
 )
 def test_reading_value(spark, value, sensor, expected):

@@ -27,6 +27,7 @@ def figures(spark, values, sensor_type):
     return {r["kpi_name"].removeprefix(sensor_type + "_"): r["kpi_value"] for r in rows}
 
 
+# The number series of the next tests have results that must agree.
 def test_basic_figures(spark):
     out = figures(spark, [10, 20, 30, 40, 50], "temperature")
     assert (out["avg"], out["min"], out["max"], out["count"], out["range"]) == (30, 10, 50, 5, 40)
@@ -162,7 +163,27 @@ def test_unknown_job_starts_at_epoch_and_gets_a_row(spark, control):
     assert jobs.get_watermark(spark, control, "other") == at(1)
 
 
-def test_lateness_rereads_rows_behind_the_watermark(spark):
-    df = telemetry(spark, [(1, at(1), "{}"), (2, at(3), "{}")])
-    assert jobs.scan_range(df, at(2), at(4)).count() == 1
-    assert jobs.scan_range(df, at(2), at(4), timedelta(hours=2)).count() == 2
+def test_late_rows_count_once_in_the_window_of_their_time(spark, control, tmp_path):
+    out, one = str(tmp_path / "kpis"), '{"value": 10}'
+    first = [(1, at(1), one), (2, at(2), one), (3, at(3), one)]
+    jobs.run_kpi_job(spark, telemetry(spark, first), out, control, as_of=at(3), lateness=timedelta(hours=2))
+    late = [*first, (4, at(2) + timedelta(minutes=5), one), (5, at(5), one)]
+    run = jobs.run_kpi_job(spark, telemetry(spark, late), out, control, as_of=at(5), lateness=timedelta(hours=2), metrics_path=str(tmp_path / "metrics"))
+    assert (run.window_start, run.window_end) == (at(3), at(5))
+    rows = jobs.read_kpis(spark, out).where("kpi_name = 'temperature_count'").orderBy("window_start").collect()
+    assert [r["kpi_value"] for r in rows] == [4, 1]
+    windows = jobs.read_kpis(spark, out).select(F.unix_seconds("window_start").alias("a"), F.unix_seconds("window_end").alias("b")).distinct().collect()
+    assert {(r["a"], r["b"]) for r in windows} == {(0, int(at(3).timestamp())), (int(at(3).timestamp()), int(at(5).timestamp()))}
+    counters = spark.read.parquet(str(tmp_path / "metrics" / "counters")).where("metric = 'kpis_computed_total'")
+    assert counters.agg(F.sum("value")).first()[0] == jobs.read_kpis(spark, out).where(F.col("window_start") == F.lit(at(3))).count()
+    assert spark.read.parquet(str(tmp_path / "metrics" / "runs")).first()["job_name"] == "kpi_5min"
+
+
+def test_a_third_run_leaves_windows_outside_the_lateness_alone(spark, control, tmp_path):
+    out, one = str(tmp_path / "kpis"), '{"value": 10}'
+    rows = [(i, at(i), one) for i in (1, 2, 3)]
+    for k in (1, 2):
+        jobs.run_kpi_job(spark, telemetry(spark, rows[:k]), out, control, as_of=at(k))
+    jobs.run_kpi_job(spark, telemetry(spark, [*rows, (9, at(1) - timedelta(minutes=5), one)]), out, control, as_of=at(3), lateness=timedelta(minutes=30))
+    found = jobs.read_kpis(spark, out).where("kpi_name = 'temperature_count'").orderBy("window_start").collect()
+    assert [r["kpi_value"] for r in found] == [1, 1, 1]

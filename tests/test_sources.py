@@ -12,8 +12,8 @@ from pulsegrid.operators.upsert import deduplicate, merge_upsert, upsert_latest
 from pulsegrid.sources import logs, messages, tables, topics
 
 GOOD = {
-    "deviceId": "device-001", "deviceType": "hvac", "sensorId": "temp-01", "sensorType": "temperature",
-    "timestamp": "2024-01-15T10:30:00Z", "unit": "celsius", "value": {"value": 25.5},
+    "deviceId": "press-9", "deviceType": "mill", "sensorId": "probe-3", "sensorType": "temperature",
+    "timestamp": "2023-06-02T08:15:30Z", "unit": "celsius", "value": {"value": 61.25},
 }
 
 
@@ -27,10 +27,10 @@ def test_message_to_row(spark):
         "time", F.col("time").cast("timestamp_ntz")
     ).first()
     assert (row["device_id"], row["device_type"], row["sensor_id"], row["sensor_type"], row["unit"]) == (
-        "device-001", "hvac", "temp-01", "temperature", "celsius",
+        "press-9", "mill", "probe-3", "temperature", "celsius",
     )
-    assert row["time"] == datetime(2024, 1, 15, 10, 30)
-    assert json.loads(row["value"]) == {"value": 25.5}
+    assert row["time"] == datetime(2023, 6, 2, 8, 15, 30)
+    assert json.loads(row["value"]) == {"value": 61.25}
 
 
 @pytest.mark.parametrize(
@@ -47,6 +47,10 @@ def test_message_to_row(spark):
         ({**GOOD, "value": {"value": "n/a"}}, "ValueError", None),
         ({**GOOD, "value": {"value": None}}, "TypeError", None),
         ({**GOOD, "value": {"reading": 3}}, None, None),
+        ({**GOOD, "eventId": "a-uuid"}, None, None),
+        ({**GOOD, "eventId": 1.5}, None, None),
+        ({**GOOD, "eventId": {"a": [1]}}, None, None),
+        ({**GOOD, "other": [1, {"a": None}]}, None, None),
     ],
 )
 def test_poison_records_are_named(spark, body, checked, landed):
@@ -70,8 +74,8 @@ def test_json_is_parsed_once_per_row(spark, plan):
 
 def test_normalised_message_is_keyed_by_device(spark):
     out = messages.normalize(records(spark, {**GOOD, "extra": 1}, "{broken")).collect()
-    assert [r["key"] for r in out] == ["device-001"]
-    assert json.loads(out[0]["value"]) == {**GOOD, "timestamp": "2024-01-15T10:30:00.000000Z"}
+    assert [r["key"] for r in out] == ["press-9"]
+    assert json.loads(out[0]["value"]) == {**GOOD, "timestamp": "2023-06-02T08:15:30.000000Z"}
 
 
 def test_batch_envelope(spark):
@@ -82,23 +86,23 @@ def test_batch_envelope(spark):
 
 
 ALERT = {
-    "createdAt": "2024-06-20T14:45:30Z", "alertId": "a1", "deviceId": "d1", "deviceType": "pump",
-    "alertType": "rapid_change", "severity": "warning", "message": "test",
+    "createdAt": "2023-11-08T21:05:09Z", "alertId": "n-77", "deviceId": "press-9", "deviceType": "mill",
+    "alertType": "rapid_change", "severity": "warning", "message": "too fast",
 }
 
 
 def test_alert_message_optional_entries(spark):
-    rows = messages.parse_alerts(records(spark, {**ALERT, "threshold": 80.0, "value": 85.5}, ALERT)).collect()
-    assert [(r["threshold"], r["value"], r["error_type"]) for r in rows] == [(80.0, 85.5, None), (None, None, None)]
+    rows = messages.parse_alerts(records(spark, {**ALERT, "threshold": 12.5, "value": 19.75}, ALERT)).collect()
+    assert [(r["threshold"], r["value"], r["error_type"]) for r in rows] == [(12.5, 19.75, None), (None, None, None)]
     assert messages.parse_alerts(records(spark, {**ALERT, "severity": None})).first()["error_type"] == "KeyError"
     at = messages.parse_alerts(records(spark, ALERT)).select(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).first()[0]
-    assert at == "2024-06-20 14:45:30"
+    assert at == "2023-11-08 21:05:09"
 
 
 def test_alert_round_trip(spark):
     rows = messages.parse_alerts(records(spark, ALERT)).drop("error_type", "raw")
     body = json.loads(messages.alert_messages(rows).first()["value"])
-    assert body == {**ALERT, "createdAt": "2024-06-20T14:45:30.000000", "threshold": None, "value": None}
+    assert body == {**ALERT, "createdAt": "2023-11-08T21:05:09.000000", "threshold": None, "value": None}
 
 
 def test_validation(spark):
@@ -225,7 +229,7 @@ def test_topic_builders(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "0.txt").write_text("one\ntwo\n")
     out = topics.replay_topic(spark, "text", str(tmp_path / "in"))
-    assert out.columns == ["key", "value", "sequence"] and {r["value"] for r in out.collect()} == {"one", "two"}
+    assert out.columns == ["key", "value", "sequence", "arrived_at"] and {r["value"] for r in out.collect()} == {"one", "two"}
     keyed = topics.publish(spark.createDataFrame([("k", 1)], "id string, n int"), "id").first()
     assert keyed["key"] == "k" and json.loads(keyed["value"]) == {"id": "k", "n": 1}
 
@@ -269,3 +273,38 @@ def test_compacting_versions(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "k string, batch_id int")
     lifecycle.compact_versions(df, ("k",), ("batch_id",), str(tmp_path / "t"))
     assert {tuple(r) for r in tables.read_table(spark, str(tmp_path / "t")).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_identity_is_the_producers_before_the_position(spark):
+    df = records(spark, {**GOOD, "eventId": 40}, {**GOOD, "eventId": 40}, {**GOOD, "eventId": "x"}, GOOD)
+    rows = messages.good(messages.parse_telemetry(df))
+    assert [r["event_id"] for r in rows.collect()] == [40, 40, 2, 3]
+    # one reading, however often and wherever it stands in the topic
+    assert deduplicate(rows).count() == 1
+
+
+def test_positions_of_two_partitions_differ(spark):
+    broker = spark.createDataFrame([(b"k", b"v", p, 7, datetime(2024, 1, 1)) for p in (0, 3)], "key binary, value binary, partition int, offset long, timestamp timestamp")
+    out = topics._records(broker, "kafka").collect()
+    assert len({r["sequence"] for r in out}) == 2 and all(r["arrived_at"] is not None for r in out)
+
+
+def test_refused_records_keep_their_arrival(spark):
+    at = datetime(2024, 1, 2, 3, 4)
+    df = spark.createDataFrame([("{broken", at), (json.dumps(GOOD), at)], "value string, arrived_at timestamp_ntz")
+    parsed = messages.parse_telemetry(df)
+    assert [r["arrived_at"] for r in messages.bad(parsed, "w").collect()] == [at]
+    assert "arrived_at" not in messages.good(parsed).columns and "arrived_at" in messages.good(parsed, keep_arrival=True).columns
+
+
+def test_mistyped_optional_entries_of_an_alert(spark):
+    row = messages.parse_alerts(records(spark, {**ALERT, "threshold": "high", "value": [1]})).first()
+    assert (row["threshold"], row["value"], row["error_type"]) == (None, None, None)
+
+
+def test_no_log_line_is_lost(spark):
+    lines = ['  {"level":"INFO","message":"a"}', '{"level":"INFO","mess', '{"level":"WARN","message":"b","extra":5}', "plain", '{"level":"INFO","message":"c"}', ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "event_id long, line string")
+    assert {(r["event_id"], r["message"]) for r in logs.parse_records(df).collect()} == {(0, "a"), (2, "b"), (4, "c")}
+    refused = {(r["event_id"], r["error_type"], r["raw"]) for r in logs.refused_lines(df).collect()}
+    assert refused == {(1, "JSONDecodeError", lines[1]), (3, "PlainText", "plain"), (5, "PlainText", "")}

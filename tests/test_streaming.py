@@ -37,7 +37,7 @@ def drain(query):
 
 
 def keys(df):
-    return sorted((r["event_id"], r["alert_type"], r["severity"]) for r in df.collect())
+    return sorted((str(r["event_id"] or 0), r["alert_type"], r["severity"]) for r in df.collect())
 
 
 def batch_alerts(spark, folder):
@@ -244,10 +244,27 @@ def test_windows_close_by_watermark_and_late_rows_are_dropped(spark, tmp_path):
 
 def test_repeated_deliveries_within_the_watermark(spark, tmp_path):
     folder = tmp_path / "in"
-    rows = [(1, START, "d", "s"), (2, START, "d", "s")]
-    layout = "event_id long, time timestamp, device_id string, sensor_id string"
+    rows = [(1, START, "d", "s", "1"), (2, START, "d", "s", "2")]
+    layout = "event_id long, time timestamp, device_id string, sensor_id string, value string"
     for _ in range(2):
         spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(str(folder))
     stream = landing.without_repeats(spark.readStream.schema(layout).parquet(str(folder)), "10 minutes")
     drain(write_stream(stream, str(tmp_path)))
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_alert_topic_is_stored_and_its_poison_set_aside(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path)
+    folder.mkdir()
+    one = {"createdAt": "2024-01-05T01:02:03Z", "alertId": "n-1", "deviceId": "d", "deviceType": "mill", "alertType": "stuck_sensor", "severity": "warning", "message": "m"}
+    lines = [json.dumps(one), json.dumps({**one, "alertId": "n-2", "threshold": 5, "value": 6.5}), "{broken", json.dumps({**one, "severity": None})]
+    (folder / "0.txt").write_text("\n".join(lines) + "\n")
+    records = topics.stream_topic(spark, "text", str(folder), max_files=1)
+    for _ in range(2):  # the second start finds nothing new
+        drain(landing.start_storing_alerts(records, f"{root}/alerts", f"{root}/bad", f"{root}/cp", None, f"{root}/metrics"))
+    stored = spark.read.parquet(f"{root}/alerts")
+    assert {(r["alert_id"], r["threshold"], r["value"], r["acknowledged"], str(r["dt"])) for r in stored.collect()} == {("n-1", None, None, False, "2024-01-05"), ("n-2", 5.0, 6.5, False, "2024-01-05")}
+    refused = spark.read.parquet(f"{root}/bad").collect()
+    assert {(r["worker"], r["error_type"]) for r in refused} == {("alert", "JSONDecodeError"), ("alert", "KeyError")} and all(r["arrived_at"] for r in refused)
+    errors = spark.read.parquet(f"{root}/metrics").where("metric = 'processing_errors_total'")
+    assert errors.agg(F.sum("value")).first()[0] == 2
