@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.upsert import upsert_latest
+
 DEFAULT_STATUS = "inactive"
 EDITABLE = ("name", "type", "status", "location")
 
@@ -75,13 +77,12 @@ def apply_changes(devices: DataFrame, changes: DataFrame) -> DataFrame:
     whatever follows. An update of an id that neither exists nor is created in the set is ignored.
     The changes are reduced to one row per id, with partial aggregation, before they meet the snapshot.
     """
-    order = F.struct("changed_at", "change_id")
-    writes = F.col("op") != "delete"
-    per_id = changes.groupBy("id").agg(
-        F.max_by(F.struct(*EDITABLE), F.when(writes, order)).alias("_new"),
-        F.bool_or(F.col("op") == "delete").alias("_gone"),
-        F.min(F.when(F.col("op") == "create", F.col("changed_at"))).alias("_born"),
+    flags = changes.groupBy("id").agg(
+        F.bool_or(F.col("op") == "delete").alias("_gone"), F.min(F.when(F.col("op") == "create", F.col("changed_at"))).alias("_born")
     )
+    # the latest write by rank, not by an aggregate: a struct is no buffer that a hash aggregate can hold
+    writes = upsert_latest(changes.where(F.col("op") != "delete"), ("id",), ("changed_at", "change_id"))
+    per_id = flags.join(writes.select("id", F.struct(*EDITABLE).alias("_new")), "id", "left")
     joined = devices.withColumn("_known", F.lit(True)).join(per_id, "id", "full_outer")
     known, born = F.col("_known").isNotNull(), F.col("_born").isNotNull()
     kept = joined.where(~F.coalesce("_gone", F.lit(False)) & (known | born))

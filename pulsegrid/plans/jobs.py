@@ -19,7 +19,7 @@ from pulsegrid.operators.metrics import snapshot
 from pulsegrid.operators.upsert import upsert_latest
 from pulsegrid.schemas import WATERMARK_TABLE
 from pulsegrid.sources.messages import with_reading
-from pulsegrid.sources.tables import BATCH, in_range, write_batch
+from pulsegrid.sources.tables import BATCH, DAY, in_range, with_day, write_batch
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 # The jobs known to the control table and the window each stands for.
@@ -112,7 +112,7 @@ def run_kpi_job(
     readings = with_reading(scan_range(telemetry, bounds[0], end), scalar_keys)
     rows = kpi.kpi_rows_of_windows(readings, bounds, as_of)
     batch = F.concat(F.lit(f"{job_name}-"), F.date_format("window_start", "yyyyMMdd'T'HHmmssSSSSSS"))
-    write_batch(rows, kpi_path, batch)
+    write_batch(with_day(rows, "window_end"), kpi_path, batch, (DAY,))
     advance_watermark(spark, control_path, job_name, max(end, watermark), as_of)
     run = JobRun(job_name, watermark, end, monotonic() - started)
     if metrics_path:
@@ -124,7 +124,7 @@ def run_kpi_job(
 
 
 def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:
-    return spark.read.parquet(kpi_path).drop(BATCH)
+    return spark.read.parquet(kpi_path).drop(BATCH, DAY)
 
 
 def job_runs(spark: SparkSession, runs: list[JobRun]) -> DataFrame:

@@ -443,6 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_alerts_all": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
         "stream_alerts_by_batch": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
         "stream_landing": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers_17} FROM good"),
+        "landing_compacted": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, cast(-1 AS integer) AS batch_id, {numbers_17} FROM good"),
         "telemetry_partitions": _with(TELEMETRY, """SELECT cast(time AS date) AS dt, count(*) AS "rows", min(time) AS first_time,
             max(time) AS last_time FROM telemetry GROUP BY ALL"""),
         "retention_30d": _with(TELEMETRY, """SELECT event_id, time, device_id FROM telemetry

@@ -792,6 +792,15 @@ def retention_168h(spark, sf_dir):
     return kept.select("event_id", "time", "device_id")
 
 
+@query
+def landing_compacted(spark, sf_dir):
+    """Telemetry landed by the stream, all its days compacted in place and read back."""
+    path = stream_checks.landed_by_stream(spark, sf_dir, work_dir(spark, "stream-landing"))
+    days = [str(r.dt) for r in tables.read_table(spark, path).select("dt").distinct().collect()]  # one entry per day
+    lifecycle.compact_days(spark, path, days)
+    return stored_numbers(tables.read_table(spark, path))
+
+
 @query
 def compaction_candidates(spark, sf_dir):
     return lifecycle.compaction_candidates(data.telemetry(spark, sf_dir), AS_OF)

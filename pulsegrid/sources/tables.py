@@ -44,10 +44,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int | str | Column, partitio
     )
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system a path lives on, and its constructor of paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a partition folder on whatever file system it lives; nothing happens if it is gone."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    fs, at = file_system(spark, path)
+    fs.delete(at(path), True)
 
 
 def read_table(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:

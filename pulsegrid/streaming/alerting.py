@@ -27,7 +27,7 @@ from pulsegrid.operators.recent import newest_per
 from pulsegrid.operators.thresholds import lookup, resolve
 from pulsegrid.schemas import SERIES_KEYS
 from pulsegrid.sources.messages import alert_messages, bad, good, parse_telemetry, with_reading
-from pulsegrid.sources.tables import BATCH, drop_folder, write_batch
+from pulsegrid.sources.tables import BATCH, DAY, drop_folder, with_day, write_batch
 from pulsegrid.sources.topics import stream_to_topic
 from pulsegrid.streaming.landing import FLUSH_INTERVAL, start
 
@@ -129,7 +129,7 @@ def start_detecting(
         try:
             context = with_series_context(rows, stuck_readings, hot_rows, order=order).where(F.col("pos") == 0)
             found = emit(lookup(context, resolve(thresholds, resolve_mode), source=thresholds), created_at, stuck_readings=stuck_readings)
-            write_batch(found, table, batch_id)
+            write_batch(with_day(found, "created_at"), table, batch_id, (DAY,))
             last = newest_per(rows, SERIES_KEYS, stuck_readings - 1, order[0], order[1:])
             write_batch(last.withColumn("pos", -F.col("recency")).select(*columns), tails, batch_id)
         finally:
@@ -160,7 +160,7 @@ def start_storing(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_batch(to_rows(batch).dropDuplicates(["alert_id", "created_at"]), table, batch_id)
+        write_batch(with_day(to_rows(batch).dropDuplicates(["alert_id", "created_at"]), "created_at"), table, batch_id, (DAY,))
 
     return start(alerts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint), trigger)
 

@@ -308,3 +308,48 @@ def test_no_log_line_is_lost(spark):
     assert {(r["event_id"], r["message"]) for r in logs.parse_records(df).collect()} == {(0, "a"), (2, "b"), (4, "c")}
     refused = {(r["event_id"], r["error_type"], r["raw"]) for r in logs.refused_lines(df).collect()}
     assert refused == {(1, "JSONDecodeError", lines[1]), (3, "PlainText", "plain"), (5, "PlainText", "")}
+
+
+@pytest.mark.parametrize("dies_at", [None, "list", "delete"])
+def test_days_are_compacted_in_place(spark, tmp_path, dies_at, monkeypatch):
+    path = str(tmp_path / "t")
+    for batch in range(5):
+        tables.write_batch(tables.with_day(telemetry(spark)), path, batch, ("dt",))
+    days = ["2024-01-01", "2024-01-02"]
+    if dies_at == "list":  # the rows are rewritten, the list of what they replace is not complete
+        (tmp_path / "t" / "_compacting" / "rows").mkdir(parents=True)
+    if dies_at == "delete":  # all is written, and the move is missing
+        real = lifecycle.file_system
+
+        class Dying:
+            def __init__(self, fs):
+                self.fs = fs
+
+            def __getattr__(self, name):
+                if name == "mkdirs":
+                    raise RuntimeError("driver lost")
+                return getattr(self.fs, name)
+
+        monkeypatch.setattr(lifecycle, "file_system", lambda s, p: (Dying(real(s, p)[0]), real(s, p)[1]))
+        with pytest.raises(RuntimeError):
+            lifecycle.compact_days(spark, path, days)
+        monkeypatch.setattr(lifecycle, "file_system", real)
+    lifecycle.compact_days(spark, path, days)
+    table = tables.read_table(spark, path)
+    counts = {str(r["dt"]): (r["n"], r["b"]) for r in table.groupBy("dt").agg(F.count("*").alias("n"), F.count_distinct("batch_id").alias("b")).collect()}
+    assert counts == {"2024-01-01": (20, 1), "2024-01-02": (20, 1), "2024-01-03": (20, 5)}
+    # what lands afterwards is compacted together with the rows of before
+    tables.write_batch(tables.with_day(telemetry(spark)), path, 9, ("dt",))
+    lifecycle.compact_days(spark, path, days[:1])
+    assert tables.read_table(spark, path).where("dt = '2024-01-01'").agg(F.count("*"), F.count_distinct("batch_id")).first()[:] == (24, 1)
+    lifecycle.compact_days(spark, path, ["2030-01-01"])  # nothing there
+
+
+def test_latest_writes_need_no_sort_aggregate(spark, plan):
+    from pulsegrid import datasets
+    from pulsegrid.operators import devices, thresholds
+
+    sf = "/root/testdata/sf0.001"
+    changed = devices.apply_changes(datasets.devices(spark, sf), datasets.device_changes(spark, sf))
+    for df in (changed, thresholds.resolve(datasets.threshold_revisions(spark, sf))):
+        assert "SortAggregate" not in plan(df)
