@@ -11,6 +11,7 @@ the automaton that goes to the executors has a fixed bound whatever the benchmar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -132,10 +133,10 @@ def blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[in
         yield held
 
 
-_CACHE: dict[int, Items] = {}
+_CACHE: dict[str, Items] = {}
 
 
-def _built(key: int, shared, budget: float) -> Items:
+def _built(key: str, shared, budget: float) -> Items:
     """This worker's automaton of a broadcast block."""
     if key not in _CACHE:
         _CACHE.clear()
@@ -158,10 +159,10 @@ def find_items(docs: DataFrame, items: DataFrame, budget: float = BUDGET) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def each(batches, shared=shared):
-            searched = _built(shared.id if hasattr(shared, "id") else id(shared), shared, budget)
+        def each(batches, shared=shared, key=key):
+            searched = _built(key, shared, budget)
             for piece in W.passes(batches):
                 found = [(i, *m) for i, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True) if t for m in searched.matches(t)]
                 columns = zip(*found, strict=True) if found else [[]] * 5
@@ -177,10 +178,10 @@ def without_items(docs: DataFrame, items: DataFrame, budget: float = BUDGET) ->
     """The rows of ``docs(text, ...)`` that hold no item within its budget, with all their columns."""
     bounded_batches(docs.sparkSession)
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def each(batches, shared=shared):
-            searched = _built(shared.id if hasattr(shared, "id") else id(shared), shared, budget)
+        def each(batches, shared=shared, key=key):
+            searched = _built(key, shared, budget)
             for piece in W.passes(batches):
                 clean = [not t or not searched.matches(t, one=True) for t in piece.column("text").cast(pa.string()).to_pylist()]
                 yield piece.filter(pa.array(clean, pa.bool_()))

@@ -111,7 +111,7 @@ class Texts:
         return np.diff(np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])[self.begin])
 
     def words(self) -> Words:
-        return self.runs(~_BLANK[self.data])
+        return self._runs(~_BLANK[self.data], self.data)
 
     def letter_runs(self) -> Words:
         """Runs of A-Z, a-z and bytes above ASCII."""
@@ -119,6 +119,10 @@ class Texts:
 
     def runs(self, inside: np.ndarray) -> Words:
         """Runs of bytes that are inside."""
+        return self._runs(inside, np.where(inside, self.data, 0x20).astype(np.uint8))
+
+    def _runs(self, inside: np.ndarray, data: np.ndarray) -> Words:
+        """``data``: the bytes, blank outside of the runs."""
         n = len(self.data)
         blank = ~inside
         edge = np.zeros(n + 1, dtype=bool)
@@ -130,20 +134,20 @@ class Texts:
         after[:-1] = blank[1:]
         ends = np.flatnonzero(inside & (after | edge[1:])) + 1
         count = np.searchsorted(starts, self.begin)
-        return Words(self, starts, ends, count)
+        return Words(self, data, starts, ends, count)
 
 
 class Words:
     """Word spans of some texts; ``first[i]:first[i + 1]`` are the words of text i."""
 
-    def __init__(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
-        self.texts, self.starts, self.ends, self.first = texts, starts, ends, first
+    def __init__(self, texts: Texts, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+        self.texts, self.data, self.starts, self.ends, self.first = texts, data, starts, ends, first
         self.per_text = np.diff(first)
         self.owner = np.repeat(np.arange(texts.n), self.per_text)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word, with A-Z lower-cased if asked for."""
-        data = self.texts.data
+        data = self.data
         if lower:
             data = data.copy()
             data[(data >= 65) & (data <= 90)] += 32

@@ -43,3 +43,9 @@ def test_a_long_word_is_hashed_by_all_its_bytes():
 def test_hashes_do_not_depend_on_the_other_texts():
     alone = W.Texts(pa.array(["one two"])).words().hashes().tolist()
     assert W.Texts(pa.array(["one two", "y" * 9000])).words().hashes().tolist()[:2] == alone
+
+
+def test_runs_are_hashed_without_what_stands_between():
+    one = W.Texts(pa.array(["ab, cd!!", "x"]))
+    two = W.Texts(pa.array(["ab", "cd...", "x--"]))
+    assert one.letter_runs().hashes().tolist() == two.letter_runs().hashes().tolist()
