@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, host_rules, ngram_join, pieces, private_data, quality, token_codes, toxicity, transducer, warc
+from pulsegrid.llm import decontaminate, host_rules, ngram_join, oracle, pieces, private_data, quality, token_codes, toxicity, transducer, warc
 from pulsegrid.llm.common import table
 
 
@@ -65,4 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# the others are not expressible (fitted models, tokenizers, edit distances) or return what a file holds
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracle.JACCARD,
+    "op5_quality_rules": oracle.HOST_RULES,
+}
