@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.limits import LIMITS, severity
 from pulsegrid.operators.joins import CONFIG_ROWS, is_small
-from pulsegrid.operators.upsert import upsert_latest
 
 KEY = ("sensor_type", "device_type")
 
@@ -20,7 +19,8 @@ def resolve(thresholds: DataFrame, mode: str = "last") -> DataFrame:
     """
     keyed = thresholds.withColumn("device_type", F.nullif("device_type", F.lit("")))
     if mode == "last":
-        return upsert_latest(keyed, KEY, ("id",)).select(*KEY, *LIMITS)
+        # limit by limit: a struct is no buffer that a hash aggregate can hold
+        return keyed.groupBy(*KEY).agg(*[F.max_by(name, "id").alias(name) for name in LIMITS])
     if mode == "merge":
         picks = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col("id"))).alias(name) for name in LIMITS]
         return keyed.groupBy(*KEY).agg(*picks)
