@@ -127,7 +127,7 @@ def _votes(s: Column) -> dict[str, Column]:
     grouped = value.rlike(r"^(?:\+[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$")
     cue = by_kind(*(yes_no(s["before"].rlike(_CUES[k]), 0) for k in KINDS))
     return {
-        "form": by_kind(yes_no(value.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")), F.lit(1), yes_no(value.rlike("^(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{3,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$")), yes_no(grouped | value.startswith("+"))),
+        "form": by_kind(yes_no(value.rlike(r"\.[A-Za-z]{2,}$")), F.lit(1), yes_no(value.rlike("^(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{3,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$")), yes_no(grouped | value.startswith("+"))),
         "check": by_kind(yes_no(value.rlike(r"^[A-Za-z0-9]")), yes_no(_base_valid(s)), yes_no(n.between(13, 19) & _luhn(digits)), yes_no(n.between(9, 15))),
         "gazetteer": by_kind(yes_no(F.lower(value).rlike(_DOMAINS)), F.when(value.rlike(r"^(?:0|255)\."), -1).otherwise(0), yes_no(digits.rlike(_ISSUERS)), F.when(value.startswith("+"), yes_no(value.rlike(_CODES), 0)).otherwise(0)),
         "context": F.when(cue == 1, 1).when(s["before"].rlike(r"[A-Za-z0-9_=#/\"'-]$"), -1).otherwise(0),

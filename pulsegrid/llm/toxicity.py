@@ -32,7 +32,7 @@ CATEGORIES = {
 NAMES = (*CATEGORIES, "toxic")
 BITS = 20
 # features of one model, those that tell most
-FEATURES = 4096
+FEATURES = 2048
 FOLDS = 4
 THRESHOLD = 0.3
 _BEGINNINGS = (4, 5, 6, 7)
@@ -77,32 +77,28 @@ class Linear:
     bias: float
 
 
-def fit(owner: np.ndarray, feature: np.ndarray, earlier: np.ndarray, label: np.ndarray, rows: np.ndarray, steps: int = 150, decay: float = 2e-3) -> Linear:
-    """A logistic model of the given rows, by gradient steps with adapted lengths."""
+def select(with_it: np.ndarray, hits: np.ndarray, rows: int, positive: float) -> np.ndarray:
+    """The features whose log odds stand out most from their spread; ``with_it`` texts have one, ``hits`` of them positive."""
+    other = with_it - hits
+    odds = np.log((hits + 0.5) / (positive + 1)) - np.log((other + 0.5) / (rows - positive + 1))
+    strength = np.where(with_it >= 2, np.abs(odds) / np.sqrt(1 / (hits + 0.5) + 1 / (other + 0.5)), 0)
+    top = np.argsort(-strength, kind="stable")[:FEATURES]
+    return np.sort(top[strength[top] > 1.5]).astype(np.int32)
+
+
+def fit(owner: np.ndarray, feature: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, label: np.ndarray, rows: np.ndarray, steps: int = 100, decay: float = 2e-3) -> Linear:
+    """A logistic model of the given rows in the chosen features, by gradient steps with adapted lengths."""
     n = len(label)
-    use = np.zeros(n, dtype=bool)
-    use[rows] = True
     positive = float(label[rows].sum())
     if positive in (0.0, float(len(rows))):  # one class only: its share, smoothed
         share = (positive + 0.5) / (len(rows) + 1)
         return Linear(np.empty(0, np.int32), np.empty(0), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))))
-    inside = use[owner]
-    owner, feature = owner[inside], feature[inside]
-    with_it = np.bincount(feature, minlength=1 << BITS)
-    hits = np.bincount(feature, weights=label[owner], minlength=1 << BITS)
-    # log odds against their spread
-    other = with_it - hits
-    odds = np.log((hits + 0.5) / (positive + 1)) - np.log((other + 0.5) / (len(rows) - positive + 1))
-    strength = np.where(with_it >= 2, np.abs(odds) / np.sqrt(1 / (hits + 0.5) + 1 / (other + 0.5)), 0)
-    top = np.argsort(-strength, kind="stable")[:FEATURES]
-    chosen = np.sort(top[strength[top] > 1.5]).astype(np.int32)
-    column = np.full(1 << BITS, -1, dtype=np.int64)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
-    inside = column[feature] >= 0
-    owner, at = owner[inside], column[feature[inside]]
-    order = np.full(n, -1)
+    order = np.full(n, -1, dtype=np.int32)
     order[rows] = np.arange(len(rows))
-    owner = order[owner]
+    inside = (column[feature] >= 0) & (order[owner] >= 0)
+    owner, at = order[owner[inside]], column[feature[inside]]
     y, e = label[rows].astype(float), earlier[rows]
     w, v, b = np.zeros(len(chosen)), np.zeros(earlier.shape[1]), float(np.log(positive / (len(rows) - positive)))
     scale_w, scale_v, scale_b = np.full(len(chosen), 1e-8), np.full(earlier.shape[1], 1e-8), 1e-8
@@ -154,38 +150,55 @@ class Chain:
         return out
 
 
-def _training_features(column: pa.Array, docs: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features per text that three texts have at least, a few texts at a time."""
-    owners, values = [], []
-    for begin in range(0, len(column), docs):
-        owner, feature = _distinct(*features(column.slice(begin, docs)))
-        owners.append((owner + begin).astype(np.int32))
-        values.append(feature)
-    owner, feature = np.concatenate(owners), np.concatenate(values)
-    often = (np.bincount(feature, minlength=1 << BITS) >= 3)[feature]
-    return owner[often], feature[often]
-
-
-def train(column: pa.Array, toxic: np.ndarray, fold: np.ndarray) -> Chain:
-    """Fit the chain on labelled texts."""
-    owner, feature = _training_features(column)
+def train(column: pa.Array, toxic: np.ndarray, fold: np.ndarray, docs: int = 256) -> Chain:
+    """Fit the chain on labelled texts, whose features are taken a few texts at a time."""
     n = len(toxic)
-    labels = []
-    for words in CATEGORIES.values():
-        keys = features(pa.array([" ".join(words)]))[1][: len(words)]
-        has = np.zeros(n, dtype=bool)
-        has[owner[np.isin(feature, keys)]] = True  # a word too rare to be a feature makes no label
-        labels.append((has & (toxic > 0)).astype(int))
-    labels.append((toxic > 0).astype(int))
-    everything, models = np.arange(n), []
-    earlier = np.zeros((n, 0))
-    for label in labels:
-        models.append(fit(owner, feature, earlier, label, everything))
+    keys = [np.unique(features(pa.array([" ".join(words)]))[1][: len(words)]) for words in CATEGORIES.values()]
+    labels = np.zeros((len(NAMES), n), dtype=np.int8)
+    labels[-1] = toxic > 0
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for begin in range(0, n, docs):
+        owner, feature = _distinct(*features(column.slice(begin, docs)))
+        owner = (owner + begin).astype(np.int32)
+        parts.append((owner, feature))
+        for j, own in enumerate(keys):
+            labels[j, owner[np.isin(feature, own)]] = 1
+    labels[:-1] &= labels[-1]
+    # by fold: texts with a feature, and of those the ones with each label
+    all_with = np.zeros((FOLDS, 1 << BITS), dtype=np.int32)
+    hits = np.zeros((len(NAMES), FOLDS, 1 << BITS), dtype=np.int32)
+    for owner, feature in parts:
+        for k in np.unique(fold[owner]):
+            own = fold[owner] == k
+            all_with[k] += np.bincount(feature[own], minlength=1 << BITS).astype(np.int32)
+            for j in range(len(NAMES)):
+                marked = own & (labels[j, owner] > 0)
+                if marked.any():
+                    np.add.at(hits[j, k], feature[marked], 1)
+    # a model without fold k is fitted on the others; the last is fitted on all
+    left_out = [*range(FOLDS), None]
+    rows_of = {k: np.flatnonzero(fold != k) if k is not None else np.arange(n) for k in left_out}
+    chosen = {}
+    for j in range(len(NAMES)):
+        for k in left_out:
+            others = [f for f in range(FOLDS) if f != k]
+            chosen[j, k] = select(all_with[others].sum(axis=0), hits[j, others].sum(axis=0), len(rows_of[k]), float(labels[j, rows_of[k]].sum()))
+    del all_with, hits
+    wanted = np.zeros(1 << BITS, dtype=bool)
+    for own in chosen.values():
+        wanted[own] = True
+    parts = [(owner[wanted[feature]], feature[wanted[feature]]) for owner, feature in parts]
+    owner, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+
+    models, earlier = [], np.zeros((n, 0))
+    for j, label in enumerate(labels):
+        models.append(fit(owner, feature, chosen[j, None], earlier, label, rows_of[None]))
         outside = np.zeros(n)
         for k in range(FOLDS):
-            kept, left = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            left = np.flatnonzero(fold == k)
             if len(left):
-                part = fit(owner, feature, earlier, label, kept) if len(kept) else models[-1]
+                part = fit(owner, feature, chosen[j, k], earlier, label, rows_of[k]) if len(rows_of[k]) else models[-1]
                 outside[left] = predict(part, owner, feature, earlier)[left]
         earlier = np.column_stack([earlier, outside])
     return Chain.of(models)
