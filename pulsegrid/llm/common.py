@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import site
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.session import work_dir
@@ -11,8 +17,26 @@ BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send this package to the Python workers, once per context, where they would not find it themselves.
+
+    They find it on PYTHONPATH, in the folder the driver was started in, or among the installed packages.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    places = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    context = spark.sparkContext
+    if root in {os.path.realpath(p) for p in places if p} or getattr(context, "_pulsegrid_shipped", False):
+        return
+    context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="pulsegrid-"), "pulsegrid-package"), "zip", root, "pulsegrid"))
+    context._pulsegrid_shipped = True
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size where it is larger; a batch is held whole by JVM and Python."""
+    """Lower the session's Arrow batch size where it is larger; a batch is held whole by JVM and Python.
+
+    Every operator that runs Python on the executors calls this first.
+    """
+    ship_package(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
