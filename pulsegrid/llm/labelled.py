@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # labelled rows that a model is fitted on; the first by the hash of their id
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, where: Column | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ CATEGORIES = {
     "disgust": ("disgusting", "pathetic", "revolting", "vile", "gross", "hideous"),
 }
 NAMES = (*CATEGORIES, "toxic")
-BITS = 20
+BITS = 19
 # features of one model, those that tell most
 FEATURES = 2048
 FOLDS = 4
@@ -150,7 +150,7 @@ class Chain:
         return out
 
 
-def train(column: pa.Array, toxic: np.ndarray, fold: np.ndarray, docs: int = 256) -> Chain:
+def train(column: pa.Array, toxic: np.ndarray, fold: np.ndarray, docs: int = 64) -> Chain:
     """Fit the chain on labelled texts, whose features are taken a few texts at a time."""
     n = len(toxic)
     keys = [np.unique(features(pa.array([" ".join(words)]))[1][: len(words)]) for words in CATEGORIES.values()]
@@ -210,7 +210,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Cha
     found = sample(docs, labels, "toxic", rows).collect()
     if not found:
         return None
-    return train(pa.array([r.text for r in found]), np.array([r.label for r in found]), np.array([r.fold for r in found]))
+    label, fold = np.array([r.label for r in found]), np.array([r.fold for r in found])
+    column = pa.array([r.text for r in found])
+    del found
+    return train(column, label, fold)
 
 
 def score(docs: DataFrame, chain: Chain | None, threshold: float = THRESHOLD) -> DataFrame:
