@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pulsegrid.llm import words as W
 from pulsegrid.llm.common import bounded_batches, store
@@ -235,6 +236,15 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     and has no component. Repeated rows are returned as often as they come; rows that share an id are one node only
     where they share the set. Other columns are ignored. An empty table gives an empty result.
     """
+    return _linked(docs, size, percent).select("doc_id", "n_shingles", "component_id").unionByName(_without_id(docs, size))
+
+
+def _linked(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, fp, component_id and first of every row with an id.
+
+    first: the row has the component's smallest id and, of the sets under that id, the one with the smallest fp. A row
+    without words has no fp and is first.
+    """
     bounded_batches(docs.sparkSession)
     rows = sets_with_signatures(docs, size, percent)
     known = rows.where("fp is not null")
@@ -269,13 +279,14 @@ def link_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     if not more.isEmpty():
         parts = components(links.unionByName(more), "ngram-parts")
 
-    # smallest id of each component, for the classes that have copies or links
+    # smallest id of each component and its set, for the classes that have copies or links
     linked = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "copies", "component")
-    low = linked.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
+    low = linked.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("low"))
     names = linked.where("component is not null or copies > 1").join(low, "component", "left")
-    names = names.select(F.col("fp").alias("of"), F.coalesce("low", "doc_id").alias("component_id"))
-    out = rows.join(names, F.col("fp") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(_without_id(docs, size))
+    names = names.select(F.col("fp").alias("of"), F.coalesce("low.doc_id", "doc_id").alias("low_id"), F.coalesce("low.fp", "fp").alias("low_fp"))
+    component = F.coalesce("low_id", "doc_id")
+    first = F.col("of").isNull() | ((F.col("doc_id") == component) & (F.col("fp") == F.col("low_fp")))
+    return rows.join(names, F.col("fp") == F.col("of"), "left").select("doc_id", "n_shingles", "fp", component.alias("component_id"), first.alias("first"))
 
 
 def _alike(a: str, b: str, percent: int) -> str:
@@ -296,17 +307,32 @@ def _without_id(docs: DataFrame, size: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` without those whose component has a smaller id, with all their columns.
+    """One row of each component of ``docs(doc_id, text, ...)``, with all its columns.
 
-    Of rows with one id and equal texts one stays. Only the ids to drop and the repeated ids are joined; they are counted,
-    broadcast if few, and else shuffled.
+    It is a row with the smallest id; of different sets under that id the one with the smallest fingerprint, and of rows with
+    equal sets one with the smallest text. Rows without words are repeats of each other where id and text are equal; rows
+    without an id all stay. An id may stand for several texts: where only some of its rows go, or equal ones come more than
+    once, its rows are told apart by their sets. Only such ids and the ids to drop are joined; they are counted, broadcast
+    if few, and else shuffled.
     """
-    found = link_components(docs, size, percent)
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(checked_broadcast(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
+    found = _linked(docs, size, percent)
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("first").alias("stay")).where("n > 1 or stay = 0")
+    ids = store(ids, "ngram-ids")
+    kept = docs.join(checked_broadcast(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    several = ids.where("n > 1 and stay > 0").select("doc_id")
+    if several.isEmpty():
         return kept
-    repeated = checked_broadcast(store(repeated, "ngram-repeated"))
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    several = checked_broadcast(several)
+    first = found.where("first").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("first_id_"), F.col("fp").alias("first_fp_")).distinct()
+    first = checked_broadcast(store(first, "ngram-first"))
+
+    def with_set(batches):
+        for piece in W.passes(batches):
+            fp = pa.array([_digest(s) if len(s) else None for _, s in _sets(piece, size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*piece.columns, fp], names=[*piece.schema.names, "set_fp_"])
+
+    schema = StructType([*docs.schema.fields, StructField("set_fp_", BinaryType())])
+    rows = docs.join(several, "doc_id", "left_semi").select(*docs.columns).mapInArrow(with_set, schema)
+    rows = rows.join(first, (F.col("doc_id") == F.col("first_id_")) & F.col("set_fp_").eqNullSafe(F.col("first_fp_")), "left_semi")
+    once = rows.groupBy("doc_id", "set_fp_", F.when(F.col("set_fp_").isNull(), F.col("text")).alias("bare_")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row_"))
+    return kept.unionByName(once.select("row_.*"))

@@ -90,3 +90,23 @@ def test_one_of_each_keeps_one_per_group_and_all_columns(edge):
     assert kept.columns == edge.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 5, 6, 7, 9] and ids.count(None) == 2
+
+
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other, alone = text + " end", "a text that is like no other one in this table", "quite another one that nothing here is like at all"
+    rows = [(2, text), (5, near), (5, other), (7, other + " x"), (8, alone), (8, alone + " "), (9, text), (9, text), (11, "p q r s t u v w x y z"), (11, "P q r s t u v w x y z"), (12, None), (12, "m n o p q r s")]
+    # two unlike and two like texts under one id, and an id with copies that all go
+    rows += [(20, " ".join(f"v{i}" for i in range(40))), (20, " ".join(f"v{i}" for i in range(41))), (21, " ".join(f"v{i}" for i in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(docs, 5, 80).collect()), key=str)
+    assert (5, other) in kept and (5, near) not in kept
+    got = brute(kept, 5, 80)
+    assert len({c for _, _, c in got}) == len({c for _, _, c in brute(rows, 5, 80)}) and (2, text) in kept
+    # one row of every component, and no other
+    sets = lambda x: frozenset(tuple(lowered(x).split()[i : i + 5]) for i in range(len(x.split()) - 4))
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b) > 0
+    texts = [t for _, t in kept if t]
+    assert all(not alike(sets(a), sets(b)) for i, a in enumerate(texts) for b in texts[:i])
+    assert all(any(alike(sets(t), sets(k)) for k in texts) for _, t in rows if t)
+    assert [i for i, _ in kept] == [11, 12, 12, 2, 20, 5, 8]
