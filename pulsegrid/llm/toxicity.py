@@ -3,8 +3,10 @@
 Categories are predicted one after the other: insult, degradation, disgust, then toxic as a whole. Each model is linear
 in the words and word beginnings of a document and in the probabilities of the categories before it. So that a model
 learns from the probabilities as they will be, not as they look on rows already seen, those of the training
-rows are predicted by models that were fitted without the row's fold. The labels tell toxic or not; a toxic row has a
-category where it has one of the category's words, so the categories are weak labels of their own.
+rows are predicted by models that were fitted without the row's fold. The labels tell toxic or not, so the categories are
+weak labels of their own: a toxic row has a category where it has one of the category's markers. Markers are the listed
+words and, since those are of one language, the features that stand out in the toxic rows, dealt to the categories by the
+rows they come in. Where no listed word comes, the categories are groups of markers without a meaning of their own.
 
 Fitting sees a bounded sample of labelled rows, on the driver. Scoring is one pass over the documents with a table of
 fixed size.
@@ -23,7 +25,7 @@ from pulsegrid.llm import words as W
 from pulsegrid.llm.common import bounded_batches
 from pulsegrid.llm.labelled import TRAIN_ROWS, sample
 
-# Words of the weak categories.
+# Words that markers of the weak categories start from.
 CATEGORIES = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser", "dumb", "fool", "imbecile", "jerk"),
     "degradation": ("scum", "trash", "worthless", "garbage", "vermin", "filth", "useless"),
@@ -35,6 +37,10 @@ BITS = 19
 FEATURES = 2048
 FOLDS = 4
 THRESHOLD = 0.3
+# a marker comes so often in toxic rows, as many times as often as in others, and stands out so far from its spread
+LEAST_HITS, LIFT, STANDS_OUT = 3, 4, 3.0
+# markers that share so much of their toxic rows are one
+SAME_ROWS = 0.8
 _BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -77,15 +83,65 @@ class Linear:
     bias: float
 
 
-def select(with_it: np.ndarray, hits: np.ndarray, rows: int, positive: float) -> np.ndarray:
-    """The features whose log odds stand out most from their spread; ``with_it`` texts have one, ``hits`` of them positive."""
+def _strength(with_it: np.ndarray, hits: np.ndarray, rows: int, positive: float) -> np.ndarray:
+    """Log odds by their spread; ``with_it`` texts have a feature, ``hits`` of them positive."""
     other = with_it - hits
     odds = np.log((hits + 0.5) / (positive + 1)) - np.log((other + 0.5) / (rows - positive + 1))
-    strength = np.where(with_it >= 2, np.abs(odds) / np.sqrt(1 / (hits + 0.5) + 1 / (other + 0.5)), 0)
+    return np.where(with_it >= 2, odds / np.sqrt(1 / (hits + 0.5) + 1 / (other + 0.5)), 0)
+
+
+def select(with_it: np.ndarray, hits: np.ndarray, rows: int, positive: float) -> np.ndarray:
+    """The features whose log odds stand out most from their spread; ``with_it`` texts have one, ``hits`` of them positive."""
+    strength = np.abs(_strength(with_it, hits, rows, positive))
     top = np.argsort(-strength, kind="stable")[:FEATURES]
     return np.sort(top[strength[top] > 1.5]).astype(np.int32)
 
 
+def markers(owner: np.ndarray, feature: np.ndarray, with_it: np.ndarray, rows: int, positive: int) -> list[np.ndarray]:
+    """The features that mark each category, from the distinct (owner, feature) of the ``positive`` toxic rows.
+
+    Listed words mark their own category. The other features that stand out are dealt in turn: a category with the
+    fewest rows takes the one that comes in most toxic rows it has not, and with it those of almost the same rows. So
+    every category reaches the rows of every language that have markers, and no feature marks two.
+    """
+    listed = [np.unique(features(pa.array([" ".join(words)]))[1][: len(words)]) for words in CATEGORIES.values()]
+    hits = np.bincount(feature, minlength=1 << BITS)
+    strength = _strength(with_it, hits, rows, positive)
+    often = (hits + 0.5) / (positive + 1) > LIFT * (with_it - hits + 0.5) / (rows - positive + 1)
+    strength[(hits < LEAST_HITS) | ~often] = 0
+    top = np.argsort(-strength, kind="stable")[:FEATURES]
+    found = np.sort(top[strength[top] > STANDS_OUT])
+    ids, at = np.unique(owner, return_inverse=True)
+    inside = np.isin(feature, found)
+    has = np.zeros((len(found), len(ids)), dtype=np.float32)
+    has[np.searchsorted(found, feature[inside]), at[inside]] = 1
+    times = has.sum(axis=1)
+    category = np.full(len(found), -1)
+    covered = np.zeros((len(listed), len(ids)), dtype=bool)
+
+    def take(j: int, own: np.ndarray) -> None:
+        for m in own:
+            common = has @ has[m]
+            near = common >= SAME_ROWS * (times + times[m] - common)
+            category[near & (category < 0)] = j
+        category[own] = j
+        covered[j] |= has[category == j].any(axis=0)
+
+    for j, own in enumerate(listed):
+        covered[j, at[np.isin(feature, own)]] = True
+    for j, own in enumerate(listed):
+        take(j, np.flatnonzero(np.isin(found, own)))
+    open_ = set(range(len(listed)))
+    while open_:
+        j = min(open_, key=lambda c: (covered[c].sum(), c))
+        gain = np.where(category < 0, has @ (~covered[j]).astype(np.float32), 0)
+        if not len(gain) or gain.max() < 2:
+            open_.remove(j)
+        else:
+            take(j, np.array([int(np.argmax(gain))]))
+    return [np.union1d(own, found[category == j]) for j, own in enumerate(listed)]
+
+
 def fit(owner: np.ndarray, feature: np.ndarray, chosen: np.ndarray, earlier: np.ndarray, label: np.ndarray, rows: np.ndarray, steps: int = 100, decay: float = 2e-3) -> Linear:
     """A logistic model of the given rows in the chosen features, by gradient steps with adapted lengths."""
     n = len(label)
@@ -153,17 +209,19 @@ class Chain:
 def train(column: pa.Array, toxic: np.ndarray, fold: np.ndarray, docs: int = 64) -> Chain:
     """Fit the chain on labelled texts, whose features are taken a few texts at a time."""
     n = len(toxic)
-    keys = [np.unique(features(pa.array([" ".join(words)]))[1][: len(words)]) for words in CATEGORIES.values()]
     labels = np.zeros((len(NAMES), n), dtype=np.int8)
     labels[-1] = toxic > 0
     parts: list[tuple[np.ndarray, np.ndarray]] = []
+    with_it = np.zeros(1 << BITS, dtype=np.int64)
     for begin in range(0, n, docs):
         owner, feature = _distinct(*features(column.slice(begin, docs)))
-        owner = (owner + begin).astype(np.int32)
-        parts.append((owner, feature))
-        for j, own in enumerate(keys):
-            labels[j, owner[np.isin(feature, own)]] = 1
-    labels[:-1] &= labels[-1]
+        parts.append(((owner + begin).astype(np.int32), feature))
+        with_it += np.bincount(feature, minlength=1 << BITS)
+    bad = [(owner[labels[-1, owner] > 0], feature[labels[-1, owner] > 0]) for owner, feature in parts]
+    owner, feature = (np.concatenate(x) for x in zip(*bad, strict=True))
+    for j, own in enumerate(markers(owner, feature, with_it, n, int(labels[-1].sum()))):
+        labels[j, owner[np.isin(feature, own)]] = 1
+    del bad, with_it
     # by fold: texts with a feature, and of those the ones with each label
     all_with = np.zeros((FOLDS, 1 << BITS), dtype=np.int32)
     hits = np.zeros((len(NAMES), FOLDS, 1 << BITS), dtype=np.int32)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from corpus_rows import SF_CHECK, edge, nothing, some_labels  # noqa: F401
@@ -53,6 +54,20 @@ def test_toxicity_on_rows_outside_the_sample(spark, tables):
     assert np.mean(p[label[~train] == 0] < toxicity.THRESHOLD) > 0.97
 
 
+def test_toxicity_by_language_on_rows_outside_the_sample():
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id", join_type="inner").sort_by("doc_id")
+    text, lang, label = rows.column("text").combine_chunks(), np.array(rows.column("lang").to_pylist()), np.array(rows.column("toxic").to_pylist())
+    train = np.arange(len(label)) % 3 != 0
+    chain = toxicity.train(text.filter(pa.array(train)), label[train], np.arange(train.sum()) % 4)
+    p, lang, label = chain.probabilities(text.filter(pa.array(~train))), lang[~train], label[~train]
+    for own in (lang == x for x in ("en", "de", "fr", "es")):
+        called, toxic = p[own] >= toxicity.THRESHOLD, label[own] == 1
+        assert called[toxic, -1].mean() >= 0.7 and toxic[called[:, -1]].mean() >= 0.75
+        # every category hands something on in every language
+        assert (called[toxic, :-1].mean(axis=0) > 0.4).all() and (called[~toxic, :-1].mean(axis=0) < 0.05).all()
+
+
 def test_toxicity_of_planted_documents(spark, tables):
     docs = tables["documents"]
     clean = "the report of the town hall was read and then the people went home to eat in peace"
