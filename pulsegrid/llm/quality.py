@@ -186,6 +186,22 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
+def sample_figures(found: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Figures, label and fold of the sampled rows in the order of their hashes. The texts stay on the executors."""
+    shared = found.sparkSession.sparkContext.broadcast(vectors)
+
+    def each(batches):
+        for piece in W.passes(batches):
+            x = pooled(shared.value, piece.column("text"))
+            figures = pa.array([r.tobytes() for r in x.astype("<f8")], pa.binary())
+            yield pa.RecordBatch.from_arrays([figures, *(piece.column(c) for c in ("label", "fold", "order_"))], names=["figures", "label", "fold", "order_"])
+
+    out = found.mapInArrow(each, "figures binary, label int, fold int, order_ long").collect()  # rows of fixed size
+    out.sort(key=lambda r: (r.order_, r.figures))
+    x = np.vstack([np.frombuffer(r.figures, "<f8") for r in out]) if out else np.empty((0, 0))
+    return x, np.array([r.label for r in out]), np.array([r.fold for r in out])
+
+
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs(doc_id, text, ...)``.
 
@@ -197,11 +213,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     spark = docs.sparkSession
     bounded_batches(spark)
     vectors = word_vectors(corpus_vectors(docs))
-    found = sample(docs, labels, "quality", rows, remainder() != HELD_OUT).collect()
-    net = None
-    if found:
-        x = np.vstack([pooled(vectors, pa.array([r.text for r in found[a : a + 256]])) for a in range(0, len(found), 256)])
-        net = train(x, np.array([int(r.label > 0) for r in found]), np.array([r.fold == 0 for r in found]))
+    x, label, fold = sample_figures(sample(docs, labels, "quality", rows, remainder() != HELD_OUT), vectors)
+    net = train(x, (label > 0).astype(int), fold == 0) if len(x) else None
     shared = spark.sparkContext.broadcast((vectors, net))
 
     def each(batches):

@@ -102,3 +102,23 @@ def test_edge_rows(edge, nothing, some_labels):
     assert toxicity.without_toxic(edge, None).count() == edge.count()
     assert all(r.score == 0.5 for r in quality.score(edge, none).collect())
     assert quality.score(nothing, some_labels).count() == 0 == toxicity.score(nothing, None).count()
+
+
+def test_texts_of_the_sample_stay_on_executors(spark, tables, monkeypatch):
+    frame = type(tables["documents"])
+    seen, collect = [], frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (seen.append(self.columns), collect(self))[1])
+    chain = toxicity.fit_chain(tables["documents"], tables["labels"])
+    quality.score(tables["documents"].limit(100), tables["labels"])
+    assert seen and not any("text" in columns for columns in seen)
+    # the same chain as from texts in memory
+    rows = collect(toxicity.sample(tables["documents"], tables["labels"], "toxic").orderBy("order_"))
+    text = pa.array([r.text for r in rows])
+    local = toxicity.train(text, np.array([r.label for r in rows]), np.array([r.fold for r in rows]))
+    assert (chain.used == local.used).all() and np.allclose(chain.probabilities(text), local.probabilities(text))
+
+
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)] + [(5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    assert sorted(r.text for r in toxicity.sample(docs, labels, "toxic", 5).collect()) == [f"text {i}" for i in range(5)]
