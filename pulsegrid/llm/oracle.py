@@ -4,6 +4,15 @@ from __future__ import annotations
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    byte = "list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda crc, b: {byte}))"
+
+
 JACCARD = rf"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
@@ -54,3 +63,26 @@ bad AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM bad)) AS kept, host
 FROM judged"""
+
+RUNS = rf"""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_crc32("doc_id::varchar")} AS h FROM documents),
+placed AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM given),
+words AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) END AS w FROM placed),
+single AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM words),
+same AS (
+  SELECT l.doc_id, l.i, r.i - l.i AS p FROM single l JOIN single r ON r.doc_id = l.doc_id AND r.x = l.x AND r.i > l.i
+  WHERE 2 * (r.i - l.i) <= l.n),
+islands AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM same),
+stretches AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM islands GROUP BY doc_id, p, k),
+runs AS (SELECT doc_id, start, length, min(p) AS period FROM stretches WHERE length >= 2 * p AND length >= 12 GROUP BY doc_id, start, length),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first(struct_pack(s := start, l := length, q := period) ORDER BY length DESC, start, period) AS best FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+collapsed AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM single ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, best.s::bigint AS start, best.l::bigint AS length, best.q::bigint AS period,
+  (1000 * best.l // best.q)::bigint AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN collapsed USING (doc_id)"""

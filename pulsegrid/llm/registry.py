@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, host_rules, ngram_join, oracle, pieces, private_data, quality, token_codes, toxicity, transducer, warc
+from pulsegrid.llm import decontaminate, host_rules, ngram_join, oracle, periodic_runs, pieces, private_data, quality, token_codes, toxicity, transducer, warc
 from pulsegrid.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_private_data": op2_private_data,
@@ -63,10 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_codes": op8_token_codes,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # the others are not expressible (fitted models, tokenizers, edit distances) or return what a file holds
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.JACCARD,
     "op5_quality_rules": oracle.HOST_RULES,
+    "op13_periodic_runs": oracle.RUNS,
 }
