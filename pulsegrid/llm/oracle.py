@@ -86,3 +86,28 @@ collapsed AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM single ANTI
 SELECT doc_id, coalesce(n_runs, 0)::bigint AS n_runs, best.s::bigint AS start, best.l::bigint AS length, best.q::bigint AS period,
   (1000 * best.l // best.q)::bigint AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
 FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN collapsed USING (doc_id)"""
+
+TRIE = rf"""
+WITH numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+convs AS (SELECT conv_id, count(*) AS n, {_crc32("conv_id::varchar")} % 9 AS h FROM numbered GROUP BY conv_id),
+heads AS (SELECT c.conv_id, c.h, least(c.h, coalesce(d.n, 0)) AS taken FROM convs c LEFT JOIN convs d ON d.conv_id = c.conv_id - c.conv_id % 5),
+turns AS (
+  SELECT c.conv_id, t.i, role, text FROM heads c JOIN numbered t ON t.conv_id = c.conv_id - c.conv_id % 5 WHERE t.i <= c.h
+  UNION ALL SELECT c.conv_id, c.taken + t.i - c.h, role, text FROM heads c JOIN numbered t ON t.conv_id = c.conv_id WHERE t.i > c.h),
+lists AS (
+  SELECT c.conv_id, coalesce(list(sha256(len(role) || ':' || role || text) ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS ways,
+    coalesce(list(strlen(text) ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS sizes FROM convs c LEFT JOIN turns USING (conv_id) GROUP BY c.conv_id),
+members AS (
+  SELECT conv_id, d, len(ways) = d AS ends, array_to_string(ways[1:d], '') AS way, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+  FROM (SELECT *, unnest(range(0, len(ways) + 1)) AS d FROM lists)),
+nodes AS (
+  SELECT d, way, min(conv_id) AS conv_id, count(*) AS n, max(size) AS size, sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends
+  FROM members GROUP BY d, way),
+children AS (SELECT left(way, 64 * (d - 1)) AS way, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+linked AS (SELECT v.*, coalesce(c.n, 0) AS n_children FROM nodes v LEFT JOIN children c ON c.way = v.way),
+subtree AS (
+  SELECT left(way, 64 * a) AS way, count(*) FILTER (WHERE n_children = 0) AS leaves, sum((n - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM linked) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, v.n_children, s.leaves AS n_leaves, s.saved::bigint AS saved_tokens, v.ends AS ends_sha256
+FROM linked v JOIN subtree s ON s.way = v.way LEFT JOIN nodes p ON v.d > 0 AND p.way = left(v.way, 64 * (v.d - 1))"""

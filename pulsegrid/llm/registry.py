@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, host_rules, ngram_join, oracle, periodic_runs, pieces, private_data, quality, token_codes, toxicity, transducer, warc
+from pulsegrid.llm import decontaminate, host_rules, ngram_join, oracle, periodic_runs, pieces, prefix_trie, private_data, quality, token_codes, toxicity, transducer, warc
 from pulsegrid.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_tails(table(spark, sf_dir, "documents"))))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_codes": op8_token_codes,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -74,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": oracle.JACCARD,
     "op5_quality_rules": oracle.HOST_RULES,
+    "op12_prefix_trie": oracle.TRIE,
     "op13_periodic_runs": oracle.RUNS,
 }
