@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, host_rules, ngram_join, oracle, periodic_runs, pieces, prefix_trie, private_data, quality, token_codes, toxicity, transducer, warc
+from pulsegrid.llm import context_mixing, decontaminate, host_rules, ngram_join, oracle, periodic_runs, pieces, prefix_trie, private_data, quality, token_codes, toxicity, transducer, warc
 from pulsegrid.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.mixed_scores(table(spark, sf_dir, "documents"), context_mixing.hashed_fold())
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_codes": op8_token_codes,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_context_mixing": op11_context_mixing,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
 }
