@@ -95,7 +95,8 @@ def check(rows, docs, held):
     for r in rows:
         h, tokens, known, total, base, w = min(want[r.doc_id], key=lambda x: abs(x[4] - r.base_score))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, tokens, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-9)
+        # a difference of sums: of very long texts some digits go
+        assert r.base_score == pytest.approx(base, rel=1e-9, abs=1e-6)
         assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
         key = b" ".join(w)
         # the model in plain Python is slow: some texts of each length, one of them over a segment's end
