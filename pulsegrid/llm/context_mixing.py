@@ -127,6 +127,26 @@ class Stream:
         return W.hash_spans(masked, first, first + self.unit_length[some] - 1)
 
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def _squeezed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as bytes: of rising ones the differences, the n-th bytes of all together, compressed."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return len(values).to_bytes(8, "little") + (_CODEC.compress(planes, asbytes=True) if planes else b"")
+
+
+def _spread(data: bytes, kind, width: int, rising: bool = False) -> np.ndarray:
+    """The numbers of ``_squeezed``; ``width``: bytes of one (or of one row of bytes)."""
+    n = int.from_bytes(data[:8], "little")
+    planes = _CODEC.decompress(data[8:], n * width, asbytes=True) if n else b""
+    values = np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, n).T).view(kind)
+    values = values.ravel() if np.dtype(kind).itemsize == width else values
+    return np.cumsum(values, dtype=np.uint64) if rising else values
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, which = np.unique(keys, return_inverse=True)
     return unique, np.bincount(which, weights=counts, minlength=len(unique)).astype(np.int64)
@@ -162,12 +182,12 @@ def _sent(block: int, held: list, shards: int) -> pa.RecordBatch:
     a, b = np.append(np.searchsorted(keys, edges), len(keys)), np.append(np.searchsorted(words, edges), len(words))
     some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
 
-    def pieces(values: np.ndarray, cut: np.ndarray) -> pa.Array:
-        return pa.array([values[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())
+    def pieces(values: np.ndarray, cut: np.ndarray, rising: bool = False) -> pa.Array:
+        return pa.array([_squeezed(values[cut[s] : cut[s + 1]], rising) for s in some], pa.binary())
 
     return pa.RecordBatch.from_pydict({
-        "block": pa.array(np.full(len(some), block), pa.int64()), "shard": pa.array(some, pa.int64()), "keys": pieces(keys, a), "counts": pieces(sums, a),
-        "words": pieces(words, b), "word_counts": pieces(word_sums, b),
+        "block": pa.array(np.full(len(some), block), pa.int64()), "shard": pa.array(some, pa.int64()), "keys": pieces(keys, a, True), "counts": pieces(sums, a),
+        "words": pieces(words, b, True), "word_counts": pieces(word_sums, b),
     })
 
 
@@ -202,9 +222,10 @@ def _answered(table: pa.Table) -> pa.Table:
     column = {name: table.column(name).to_pylist() for name in table.column_names}
 
     def summed(name: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x, dtype=np.uint64) for x in column[name]]
+        parts = [_spread(x, np.uint64, 8, True) for x in column[name]]
+        given = np.concatenate([_spread(x, np.int64, 8) for x in column[counts]])
         unique, which = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(which, weights=np.frombuffer(b"".join(column[counts]), dtype=np.int64), minlength=len(unique)).astype(np.int64)
+        total = np.bincount(which, weights=given, minlength=len(unique)).astype(np.int64)
         return unique, total, which, np.cumsum([0, *map(len, parts)])
 
     keys, totals, which, cut = summed("keys", "counts")
@@ -214,9 +235,9 @@ def _answered(table: pa.Table) -> pa.Table:
     return pa.table({
         "block": pa.array(blocks, pa.int64()),
         "keys": pa.array([*column["keys"], None], pa.binary()),
-        "logits": pa.array([*(rows[which[cut[i] : cut[i + 1]]].tobytes() for i in range(n)), None], pa.binary()),
+        "logits": pa.array([*(_squeezed(rows[which[cut[i] : cut[i + 1]]]) for i in range(n)), None], pa.binary()),
         "words": pa.array([*column["words"], None], pa.binary()),
-        "word_counts": pa.array([*(word_totals[word_which[word_cut[i] : word_cut[i + 1]]].tobytes() for i in range(n)), None], pa.binary()),
+        "word_counts": pa.array([*(_squeezed(word_totals[word_which[word_cut[i] : word_cut[i + 1]]]) for i in range(n)), None], pa.binary()),
         "tokens": pa.array([*([0] * n), int(word_totals.sum())], pa.int64()),
         "vocabulary": pa.array([*([0] * n), int(np.count_nonzero(word_totals))], pa.int64()),
     })
@@ -344,11 +365,11 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
         none = {name: pa.nulls(answers.num_rows, kind) for name, kind in kinds[:-2]}
         return pa.table({**none, "tokens": answers.column("tokens"), "vocabulary": answers.column("vocabulary")}, schema=schema)
 
-    def joined(name: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(answers.column(name).to_pylist()), dtype=kind)
+    def joined(name: str, kind, width: int = 8, rising: bool = False) -> np.ndarray:
+        return np.concatenate([_spread(x, kind, width, rising) for x in answers.column(name).to_pylist()])
 
-    keys, rows = joined("keys", np.uint64), joined("logits", np.int8).reshape(-1, 8)
-    words, word_counts = joined("words", np.uint64), joined("word_counts", np.int64)
+    keys, rows = joined("keys", np.uint64, rising=True), joined("logits", np.int8)
+    words, word_counts = joined("words", np.uint64, rising=True), joined("word_counts", np.int64)
     order, word_order = np.argsort(keys, kind="stable"), np.argsort(words, kind="stable")
     keys, rows, words, word_counts = keys[order], rows[order], words[word_order], word_counts[word_order]
     out = []
@@ -373,7 +394,7 @@ def mixed_scores(docs: DataFrame, held_out: Column) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"),
     )
-    blocked = store(rows, "lm-blocks")
+    blocked = store(rows, "lm-blocks", compression="zstd")
     blocks = blocked.select("block").distinct().count()
     shards = 1 << max(4, (max(1, blocks) - 1).bit_length())
     asked = blocked.select("block", "held_out", "text").mapInArrow(lambda batches: _asked(batches, shards), ASKED)
