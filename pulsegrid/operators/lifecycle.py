@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.upsert import upsert_latest
-from pulsegrid.sources.tables import BATCH, DAY, drop_folder, file_system, since
+from pulsegrid.sources import ledger
+from pulsegrid.sources.tables import BATCH, DAY, drop_folder, since
 
 RETENTION = timedelta(days=30)
 TOPIC_RETENTION = timedelta(hours=168)
@@ -69,44 +70,13 @@ def compact_day(spark: SparkSession, path: str, day: str, target: str, time: str
 COMPACTED = -1
 
 
-def compact_days(spark: SparkSession, path: str, days: Sequence[str], time: str = "time") -> None:
-    """Replace the batch folders of some days by one folder per day, sorted by segment and time.
+def compact_days(spark: SparkSession, path: str, days: Sequence[str], time: str = "time") -> bool:
+    """Rewrite what landed on some days, sorted by segment and time; the table's ledger swaps it in at once.
 
-    The folders to replace are listed first and only they are read, so what lands meanwhile stays. The rewritten rows
-    wait in a folder that readers do not see. Once that and the list are complete, the old folders are removed and the
-    new ones moved in. A run that died is finished by the next call: before the list is complete it starts over, after that
-    it goes on, and no row is ever there twice. Until it goes on, rows of the days may be missing to readers.
+    Readers see either the old rows or the new ones. A batch that is replayed afterwards is known to the ledger and lands no
+    second time. ``ledger.tidy`` deletes the replaced files later.
     """
-    root = path.rstrip("/")
-    hidden, fs, at = f"{root}/_compacting", *file_system(spark, root)
-    if not fs.exists(at(f"{hidden}/list/_SUCCESS")):
-        fs.delete(at(hidden), True)
-        found = [(day, f.getPath().getName()) for day in days if fs.exists(at(f"{root}/{DAY}={day}")) for f in fs.listStatus(at(f"{root}/{DAY}={day}")) if f.getPath().getName().startswith(f"{BATCH}=")]
-        if not found:
-            return
-        order = (DAY, *SEGMENT, time)
-        rows = spark.read.option("basePath", root).parquet(*[f"{root}/{DAY}={day}/{name}" for day, name in found]).drop(BATCH)
-        # range partitioning includes the time, so a device that dominates a day is spread over several files
-        (
-            rows.repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .write.option("compression", "zstd")
-            .partitionBy(DAY)
-            .parquet(f"{hidden}/rows")
-        )
-        spark.createDataFrame([(f"{DAY}={day}/{name}",) for day, name in found], "value string").coalesce(1).write.text(f"{hidden}/list")
-    for row in spark.read.text(f"{hidden}/list").toLocalIterator():
-        # what an earlier run has moved in already is no old folder
-        moved = row.value.endswith(f"{BATCH}={COMPACTED}") and not fs.exists(at(f"{hidden}/rows/{row.value.split('/')[0]}"))
-        if not moved:
-            fs.delete(at(f"{root}/{row.value}"), True)
-    for day in fs.listStatus(at(f"{hidden}/rows")):
-        name = day.getPath().getName()
-        if name.startswith(f"{DAY}="):
-            fs.mkdirs(at(f"{root}/{name}"))
-            fs.rename(day.getPath(), at(f"{root}/{name}/{BATCH}={COMPACTED}"))
-    fs.delete(at(hidden), True)
-    spark.catalog.refreshByPath(root)
+    return ledger.rewrite_days(spark, path, days, (*SEGMENT, time), COMPACTED)
 
 
 def compact_versions(versions: DataFrame, keys: Sequence[str], version: Sequence[str], target: str) -> None:

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.sources import ledger
+from pulsegrid.sources.tables import BATCH
+
+BUCKET = "bucket"
+# buckets of a keyed table: a batch rewrites only those its keys fall into. Choose it for the table's size, some 256 MB a bucket
+BUCKETS = 64
+
 
 def upsert_latest(rows: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The last version of every key.
@@ -47,3 +54,42 @@ def deduplicate(telemetry: DataFrame, keys: Sequence[str] = ("device_id", "senso
     ``dropDuplicates`` also keeps one row per key and task only before it shuffles.
     """
     return telemetry.dropDuplicates(list(keys))
+
+
+def with_bucket(rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Adds the bucket of the keys' hash."""
+    return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def merge_into(
+    spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], version: Sequence[str], writer: str, batch: int,
+    keep: Sequence[str] = (), buckets: int = BUCKETS,
+) -> list[int]:
+    """Upsert a batch into the keyed table at ``path``; returns the buckets it has rewritten, at most ``buckets``.
+
+    Buckets without an incoming key stay as they are, files and all. The rewritten buckets replace their former ones with one
+    commit, and a batch that is committed already changes nothing, so it can be run again after a crash. The number of buckets
+    belongs to the table and must not change.
+    """
+    if batch <= ledger.last_batch(spark, path, writer):
+        return []
+    new = with_bucket(incoming, keys, buckets).persist()
+    try:
+        touched = sorted(row[BUCKET] for row in new.select(BUCKET).distinct().collect())
+        settled = ledger.settle(spark, path, touched, BUCKET)
+        if ledger.has_ledger(spark, path):
+            current = ledger.settled_rows(spark, path, touched, settled, BUCKET).drop(BATCH)
+        else:
+            current = new.limit(0)
+        # the bucket follows from the keys, so it is merged like any other column
+        merged = merge_upsert(current, new, keys, version, keep)
+        # one task per bucket writes its file
+        ledger.replace(merged.repartition(BUCKET), path, touched, writer, batch, BUCKET, settled)
+    finally:
+        new.unpersist()
+    return touched
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """The keyed table, one row per key."""
+    return ledger.read(spark, path, slot=BUCKET).drop(BUCKET, BATCH)

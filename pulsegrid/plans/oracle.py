@@ -290,6 +290,10 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY device_id, sensor_id ORDER BY time DESC, event_id DESC) = 1"""),
         "alerts_upsert": _with(alerts, f"""SELECT alert_id, created_at, device_id, alert_type, severity, 'again: ' || message AS message,
             round(threshold, 6) AS threshold, round(value, 6) AS value, {acknowledged} AS acknowledged FROM alerts"""),
+        "upsert_by_bucket": _with(TELEMETRY, f"""SELECT {columns}, round(v, 6) AS v FROM readings
+            QUALIFY row_number() OVER (PARTITION BY device_id, sensor_id ORDER BY time DESC, event_id DESC) = 1"""),
+        "alerts_upsert_by_bucket": _with(alerts, f"""SELECT alert_id, created_at, device_id, alert_type, severity, 'again: ' || message AS message,
+            round(threshold, 6) AS threshold, round(value, 6) AS value, {acknowledged} AS acknowledged FROM alerts"""),
         "kpis_upserted": _with(f"{KPI_TABLE}, {COLLAPSED}", "SELECT * EXCLUDE (sensor_id) FROM collapsed"),
         "param_query": _with(TELEMETRY, f"""SELECT device_id, sensor_type, count(*) AS readings, min(time) AS first_time,
             max(time) AS last_time FROM telemetry WHERE {RANGE} GROUP BY ALL"""),
@@ -444,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_alerts_by_batch": _with(alerts, f"SELECT {ALERT_OUT} FROM alerts"),
         "stream_landing": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers_17} FROM good"),
         "landing_compacted": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, cast(-1 AS integer) AS batch_id, {numbers_17} FROM good"),
+        "landing_replayed_after_compaction": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, cast(-1 AS integer) AS batch_id, {numbers_17} FROM good"),
         "telemetry_partitions": _with(TELEMETRY, """SELECT cast(time AS date) AS dt, count(*) AS "rows", min(time) AS first_time,
             max(time) AS last_time FROM telemetry GROUP BY ALL"""),
         "retention_30d": _with(TELEMETRY, """SELECT event_id, time, device_id FROM telemetry

@@ -16,10 +16,10 @@ from pulsegrid.functions import payload as pay
 from pulsegrid.functions import text
 from pulsegrid.functions.limits import breached_limit, reported_limit
 from pulsegrid.operators import alerts, devices, health, kpi, lifecycle, metrics, recent, thresholds
-from pulsegrid.operators.upsert import deduplicate, merge_upsert, upsert_latest
+from pulsegrid.operators.upsert import deduplicate, merge_into, merge_upsert, read_keyed, upsert_latest
 from pulsegrid.plans import jobs, stream_checks
 from pulsegrid.session import pin_utc, work_dir
-from pulsegrid.sources import logs, messages, tables, topics
+from pulsegrid.sources import ledger, logs, messages, tables, topics
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -176,6 +176,26 @@ def upsert_latest_rows(spark, sf_dir):
 REGISTRY["upsert_latest"] = REGISTRY.pop("upsert_latest_rows")
 
 
+@query
+def upsert_by_bucket(spark, sf_dir):
+    """Latest reading of every sensor, merged into a bucketed table in four batches, the last of which is delivered twice."""
+    path, rows = f"{work_dir(spark, 'keyed')}/table", readings(spark, sf_dir)
+    week = F.least(F.expr("(day(time) - 1) div 8"), F.lit(3))
+    for batch in (0, 1, 2, 3, 3):
+        merge_into(spark, path, rows.where(week == batch), ("device_id", "sensor_id"), ("time", "event_id"), "telemetry", batch)
+    return read_keyed(spark, path)
+
+
+@query
+def alerts_upsert_by_bucket(spark, sf_dir):
+    """The alert table and a second delivery of all its alerts merged by bucket: rows are replaced, acknowledgement stays."""
+    path, keys = f"{work_dir(spark, 'keyed')}/table", ("alert_id", "created_at")
+    again = all_alerts(spark, sf_dir).withColumn("message", F.concat(F.lit("again: "), F.col("message")))
+    merge_into(spark, path, alert_table(spark, sf_dir).withColumn("version", F.lit(0)), keys, ("version",), "alerts", 0)
+    merge_into(spark, path, alerts.to_rows(again).withColumn("version", F.lit(1)), keys, ("version",), "alerts", 1, keep=("acknowledged",))
+    return read_keyed(spark, path).select("alert_id", "created_at", "device_id", "alert_type", "severity", "message", "threshold", "value", "acknowledged")
+
+
 @query
 def alerts_upsert(spark, sf_dir):
     """Alert table after a second delivery of all its alerts: rows are replaced, acknowledgement stays."""
@@ -771,7 +791,7 @@ def stream_alerts_by_batch(spark, sf_dir):
 def stream_landing(spark, sf_dir):
     """Telemetry landed by the stream, the stored payload read back as numbers."""
     path = stream_checks.landed_by_stream(spark, sf_dir, work_dir(spark, "stream-landing"))
-    return stored_numbers(tables.read_table(spark, path)).drop(tables.BATCH)
+    return stored_numbers(ledger.read(spark, path)).drop(tables.BATCH)
 
 
 @query
@@ -796,9 +816,21 @@ def retention_168h(spark, sf_dir):
 def landing_compacted(spark, sf_dir):
     """Telemetry landed by the stream, all its days compacted in place and read back."""
     path = stream_checks.landed_by_stream(spark, sf_dir, work_dir(spark, "stream-landing"))
-    days = [str(r.dt) for r in tables.read_table(spark, path).select("dt").distinct().collect()]  # one entry per day
-    lifecycle.compact_days(spark, path, days)
-    return stored_numbers(tables.read_table(spark, path))
+    lifecycle.compact_days(spark, path, stored_days(ledger.read(spark, path)))
+    return stored_numbers(ledger.read(spark, path))
+
+
+def stored_days(rows: DataFrame) -> list[str]:
+    return [str(r.dt) for r in rows.select("dt").distinct().collect()]  # one entry per day
+
+
+@query
+def landing_replayed_after_compaction(spark, sf_dir):
+    """Telemetry landed, compacted, and delivered once more from the same checkpoint whose last commit is lost; counts once."""
+    path = stream_checks.landed_and_replayed(
+        spark, sf_dir, work_dir(spark, "stream-landing"), lambda table: lifecycle.compact_days(spark, table, stored_days(ledger.read(spark, table)))
+    )
+    return stored_numbers(ledger.read(spark, path))
 
 
 @query

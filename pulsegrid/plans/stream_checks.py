@@ -5,6 +5,8 @@ The events file is the stream source; what the streams write is read back as a t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from pulsegrid import datasets as data
 from pulsegrid.schemas import ALERT_TABLE
 from pulsegrid.session import pin_utc
 from pulsegrid.sources.messages import with_reading
+from pulsegrid.sources.tables import file_system
 from pulsegrid.sources.topics import DEFAULT_BATCH_BYTES
 from pulsegrid.streaming import alerting, landing
 
@@ -59,3 +62,13 @@ def landed_by_stream(spark: SparkSession, sf_dir: str, root: str) -> str:
     records = data.as_messages(event_stream(spark, sf_dir), corrupt=True)
     _drain(landing.start_landing(records, f"{root}/telemetry", f"{root}/quarantine", f"{root}/checkpoint", None))
     return f"{root}/telemetry"
+
+
+def landed_and_replayed(spark: SparkSession, sf_dir: str, root: str, between: Callable[[str], object]) -> str:
+    """Landed, then ``between``, then run again with the last batch not marked as done, as after a crash behind the sink."""
+    table = landed_by_stream(spark, sf_dir, root)
+    between(table)
+    fs, at = file_system(spark, f"{root}/checkpoint/commits")
+    last = max((f.getPath() for f in fs.listStatus(at(f"{root}/checkpoint/commits")) if f.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    fs.delete(last, False)
+    return landed_by_stream(spark, sf_dir, root)

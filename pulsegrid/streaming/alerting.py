@@ -5,18 +5,19 @@ store. It touches only the sensors that report, which suits short triggers. A mi
 its rows of one sensor to one task; the rate limit of the source (``sources.topics.stream_topic``)
 bounds that number.
 
-``start_detecting`` runs the batch rules on each micro-batch together with the last readings of every
-sensor, kept as a small versioned table. It needs no Python on the executors and splits a sensor that
+``start_detecting`` runs the batch rules on each micro-batch together with the last readings of the
+sensors in it, kept in buckets of which a batch rewrites those it touches. It needs no Python on the executors and splits a sensor that
 dominates a batch, which suits long triggers, backlogs and replays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,6 +26,7 @@ from pulsegrid.operators.alerts import KINDS, STUCK_READINGS, THRESHOLD, emit, t
 from pulsegrid.operators.ordered import HOT_ROWS
 from pulsegrid.operators.recent import newest_per
 from pulsegrid.operators.thresholds import lookup, resolve
+from pulsegrid.operators.upsert import BUCKET, BUCKETS, with_bucket
 from pulsegrid.schemas import SERIES_KEYS
 from pulsegrid.sources.messages import alert_messages, bad, good, parse_telemetry, with_reading
 from pulsegrid.sources.tables import BATCH, DAY, drop_folder, with_day, write_batch
@@ -99,6 +101,40 @@ def stream_alerts(
 TAIL = ROW.replace("at BIGINT", "time TIMESTAMP") + ", pos INT"
 
 
+class Tails:
+    """The last readings of every sensor, in buckets of sensors; a batch writes a new version of the buckets it touches.
+
+    Which version of a bucket counts is known to the running stream, and read from the folders once when it starts. The version
+    that a batch started from stays until the next batch has started, so a batch can be repeated after a crash.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.versions: dict[int, int] | None = None
+        self.replaced: list[str] = []
+        spark.createDataFrame([], f"{TAIL}, {BUCKET} INT, {BATCH} BIGINT").write.mode("append").partitionBy(BUCKET, BATCH).parquet(path)
+
+    def _folder(self, bucket: int) -> str:
+        return f"{self.path}/{BUCKET}={bucket}/{BATCH}={self.versions[bucket]}"
+
+    def before(self, batch_id: int, touched: Sequence[int]) -> DataFrame:
+        """What earlier batches left in the touched buckets; other buckets are not opened."""
+        if self.versions is None:
+            stored = self.spark.read.schema(f"{TAIL}, {BUCKET} INT, {BATCH} BIGINT").parquet(self.path)
+            # one row per bucket
+            newest = stored.where(F.col(BATCH) < batch_id).groupBy(BUCKET).agg(F.max(BATCH).alias(BATCH))
+            self.versions = {row[BUCKET]: row[BATCH] for row in newest.collect()}
+        for folder in self.replaced:
+            drop_folder(self.spark, folder)
+        folders = [self._folder(b) for b in touched if b in self.versions]
+        self.replaced = folders
+        return self.spark.read.schema(TAIL).parquet(*folders) if folders else self.spark.createDataFrame([], TAIL)
+
+    def write(self, rows: DataFrame, batch_id: int, touched: Sequence[int]) -> None:
+        write_batch(rows.repartition(BUCKET), self.path, batch_id, (BUCKET,))
+        self.versions.update(dict.fromkeys(touched, batch_id))
+
+
 def start_detecting(
     readings: DataFrame,
     thresholds: DataFrame,
@@ -110,35 +146,47 @@ def start_detecting(
     hot_rows: int | None = HOT_ROWS,
     stuck_readings: int = STUCK_READINGS,
     resolve_mode: str = "last",
+    buckets: int = BUCKETS,
+    forget_after: timedelta | None = None,
 ) -> StreamingQuery:
     """Write the alerts of every micro-batch to ``table`` and the sensors' last readings to ``tails``.
 
-    Batch n reads version n - 1 of the tails and writes version n, and both outputs are partitions
-    that a replay overwrites, so a crash at any point repeats the batch with the same result. Rows of
-    a batch follow those of earlier batches whatever their time, as in the stateful form.
+    Batch n reads what earlier batches left and writes its own version of the buckets its sensors fall into, and both outputs
+    are partitions that a replay overwrites, so a crash at any point repeats the batch with the same result. Rows of
+    a batch follow those of earlier batches whatever their time, as in the stateful form. With ``forget_after`` a sensor that
+    has not reported for that time, by the newest reading of its bucket, starts anew; its readings leave with the next version.
     """
     spark = readings.sparkSession
     columns = [part.split()[0] for part in TAIL.split(", ")]
     order = ("pos", "time", "event_id")
-    spark.createDataFrame([], f"{TAIL}, {BATCH} BIGINT").write.mode("append").partitionBy(BATCH).parquet(tails)
+    kept_tails = Tails(spark, tails)
 
     def detect(batch: DataFrame, batch_id: int) -> None:
-        new = batch.withColumn("event_id", F.coalesce("event_id", F.lit(0))).withColumn("pos", F.lit(0))
-        kept = spark.read.schema(f"{TAIL}, {BATCH} BIGINT").parquet(tails).where(F.col(BATCH) == batch_id - 1)
-        rows = kept.select(*columns).unionByName(new.select(*columns)).persist()
+        new = batch.withColumn("event_id", F.coalesce("event_id", F.lit(0))).withColumn("pos", F.lit(0)).select(*columns).persist()
         try:
+            touched = sorted(row[BUCKET] for row in with_bucket(new, SERIES_KEYS, buckets).select(BUCKET).distinct().collect())
+            rows = kept_tails.before(batch_id, touched).unionByName(new)
+            if forget_after is not None:
+                rows = _recent_series(rows, forget_after, buckets)
             context = with_series_context(rows, stuck_readings, hot_rows, order=order).where(F.col("pos") == 0)
             found = emit(lookup(context, resolve(thresholds, resolve_mode), source=thresholds), created_at, stuck_readings=stuck_readings)
             write_batch(with_day(found, "created_at"), table, batch_id, (DAY,))
             last = newest_per(rows, SERIES_KEYS, stuck_readings - 1, order[0], order[1:])
-            write_batch(last.withColumn("pos", -F.col("recency")).select(*columns), tails, batch_id)
+            kept_tails.write(with_bucket(last.withColumn("pos", -F.col("recency")).select(*columns), SERIES_KEYS, buckets), batch_id, touched)
         finally:
-            rows.unpersist()
-        drop_folder(spark, f"{tails}/{BATCH}={batch_id - 2}")
+            new.unpersist()
 
     return start(readings.writeStream.foreachBatch(detect).option("checkpointLocation", checkpoint), trigger)
 
 
+def _recent_series(rows: DataFrame, keep: timedelta, buckets: int) -> DataFrame:
+    """New rows, and kept ones that are at most ``keep`` older than the newest row of their bucket."""
+    placed = with_bucket(rows, SERIES_KEYS, buckets)
+    newest = placed.groupBy(BUCKET).agg(F.max("time").alias("newest_"))
+    fresh = placed.join(newest, BUCKET).where((F.col("pos") == 0) | (F.col("time") >= F.col("newest_") - F.lit(keep)))
+    return fresh.drop(BUCKET, "newest_")
+
+
 def telemetry_readings(records: DataFrame, scalar_keys: tuple[str, ...] = ("value",)) -> DataFrame:
     """Topic records as readings; records that fail on parsing or conversion are left out."""
     return with_reading(good(parse_telemetry(records, check_value=True, as_text=False)), scalar_keys)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrid.operators.metrics import snapshot
+from pulsegrid.sources import ledger
 from pulsegrid.sources.messages import bad, good, normalize, parse_alerts, parse_telemetry
 from pulsegrid.sources.tables import DAY, with_day, write_batch
 from pulsegrid.sources.topics import stream_to_topic
@@ -24,6 +25,11 @@ def start(writer, trigger: str | None):
     return writer.start()
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The running stream's id, the same after a restart from its checkpoint and another for a new checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+
+
 def start_landing(
     records: DataFrame,
     table: str,
@@ -34,15 +40,22 @@ def start_landing(
 ) -> StreamingQuery:
     """Append every good record, duplicates included, and set every bad one aside with its reason.
 
-    Each micro-batch owns its ``batch_id`` partitions and overwrites them when it is replayed after a
-    crash, so a row is stored exactly once per delivery. A poison record cannot block the batch.
+    The table's ledger commits a micro-batch at once, by the query's id and the batch's number. A batch that is replayed after
+    a crash and is committed already, whether compacted since or not, lands no second time, so a row is stored exactly once
+    per delivery. The rows lie in one folder per day, whatever the number of batches. A poison record cannot block the batch.
     """
+    done: dict[str, int] = {}
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        writer = query_id(batch.sparkSession, checkpoint)
+        if writer not in done:
+            done[writer] = ledger.last_batch(batch.sparkSession, table, writer)
         parsed = parse_telemetry(batch).persist()
         try:
             stored = good(parsed, keep_arrival=True)
-            write_batch(with_day(stored), table, batch_id, (DAY,))
+            if batch_id > done[writer]:
+                ledger.append(with_day(stored), table, writer, batch_id)
+                done[writer] = batch_id
             write_batch(bad(parsed, WORKER), quarantine, batch_id)
             if metrics:
                 counts = snapshot(

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid import schemas
 from pulsegrid.operators import lifecycle
-from pulsegrid.operators.upsert import deduplicate, merge_upsert, upsert_latest
-from pulsegrid.sources import logs, messages, tables, topics
+from pulsegrid.operators.upsert import deduplicate, merge_into, merge_upsert, read_keyed, upsert_latest
+from pulsegrid.sources import ledger, logs, messages, tables, topics
 
 GOOD = {
     "deviceId": "press-9", "deviceType": "mill", "sensorId": "probe-3", "sensorType": "temperature",
@@ -310,39 +310,156 @@ def test_no_log_line_is_lost(spark):
     assert refused == {(1, "JSONDecodeError", lines[1]), (3, "PlainText", "plain"), (5, "PlainText", "")}
 
 
-@pytest.mark.parametrize("dies_at", [None, "list", "delete"])
+def landed(spark, path, batches):
+    for batch in batches:
+        ledger.append(tables.with_day(telemetry(spark)), path, "w", batch)
+
+
+def per_day(spark, path):
+    rows = ledger.read(spark, path).groupBy("dt").agg(F.count("*").alias("n"), F.count_distinct("batch_id").alias("b")).collect()
+    return {str(r["dt"]): (r["n"], r["b"]) for r in rows}
+
+
+@pytest.mark.parametrize("dies_at", [None, "rows", "commit"])
 def test_days_are_compacted_in_place(spark, tmp_path, dies_at, monkeypatch):
     path = str(tmp_path / "t")
-    for batch in range(5):
-        tables.write_batch(tables.with_day(telemetry(spark)), path, batch, ("dt",))
+    landed(spark, path, range(5))
     days = ["2024-01-01", "2024-01-02"]
-    if dies_at == "list":  # the rows are rewritten, the list of what they replace is not complete
-        (tmp_path / "t" / "_compacting" / "rows").mkdir(parents=True)
-    if dies_at == "delete":  # all is written, and the move is missing
-        real = lifecycle.file_system
+    before = {"2024-01-01": (20, 5), "2024-01-02": (20, 5), "2024-01-03": (20, 5)}
+    if dies_at:
+        real = ledger._commit
 
-        class Dying:
-            def __init__(self, fs):
-                self.fs = fs
+        def dying(rows, where):
+            raise RuntimeError("driver lost")
 
-            def __getattr__(self, name):
-                if name == "mkdirs":
-                    raise RuntimeError("driver lost")
-                return getattr(self.fs, name)
-
-        monkeypatch.setattr(lifecycle, "file_system", lambda s, p: (Dying(real(s, p)[0]), real(s, p)[1]))
+        monkeypatch.setattr(ledger, "_commit", dying)
         with pytest.raises(RuntimeError):
-            lifecycle.compact_days(spark, path, days)
-        monkeypatch.setattr(lifecycle, "file_system", real)
-    lifecycle.compact_days(spark, path, days)
-    table = tables.read_table(spark, path)
-    counts = {str(r["dt"]): (r["n"], r["b"]) for r in table.groupBy("dt").agg(F.count("*").alias("n"), F.count_distinct("batch_id").alias("b")).collect()}
-    assert counts == {"2024-01-01": (20, 1), "2024-01-02": (20, 1), "2024-01-03": (20, 5)}
+            lifecycle.compact_days(spark, path, days) if dies_at == "commit" else landed(spark, path, [5])
+        monkeypatch.setattr(ledger, "_commit", real)
+        # rows of the run that died lie there, but nobody sees them
+        assert spark.read.parquet(path).count() > ledger.read(spark, path).count()
+        assert per_day(spark, path) == before
+    assert lifecycle.compact_days(spark, path, days)
+    assert per_day(spark, path) == {"2024-01-01": (20, 1), "2024-01-02": (20, 1), "2024-01-03": (20, 5)}
     # what lands afterwards is compacted together with the rows of before
-    tables.write_batch(tables.with_day(telemetry(spark)), path, 9, ("dt",))
+    landed(spark, path, [9])
     lifecycle.compact_days(spark, path, days[:1])
-    assert tables.read_table(spark, path).where("dt = '2024-01-01'").agg(F.count("*"), F.count_distinct("batch_id")).first()[:] == (24, 1)
-    lifecycle.compact_days(spark, path, ["2030-01-01"])  # nothing there
+    assert per_day(spark, path)["2024-01-01"] == (24, 1)
+    assert not lifecycle.compact_days(spark, path, ["2030-01-01"])  # nothing there
+    assert ledger.last_batch(spark, path, "w") == 9 and ledger.last_batch(spark, path, "other") == -1
+
+
+def test_rows_that_land_during_a_compaction_stay(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    landed(spark, path, [0, 1])
+    real, landed_once = ledger._commit, []
+
+    def slow(rows, where):
+        if not landed_once:
+            landed_once.append(1)
+            landed(spark, path, [2])
+        real(rows, where)
+
+    monkeypatch.setattr(ledger, "_commit", slow)
+    lifecycle.compact_days(spark, path, ["2024-01-01"])
+    assert per_day(spark, path)["2024-01-01"] == (12, 2)
+
+
+def test_of_two_compactions_one_gives_up(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    landed(spark, path, [0, 1])
+    real, once = ledger.work_dir, []
+
+    def racing(s, name):
+        out = real(s, name)
+        if not once:
+            once.append(1)
+            monkeypatch.setattr(ledger, "work_dir", real)
+            reader = ledger.facts
+            stale = reader(s, path).collect()
+            lifecycle.compact_days(spark, path, ["2024-01-01"])
+            # the outer run has settled on what it read before
+            monkeypatch.setattr(ledger, "facts", lambda a, b: (monkeypatch.setattr(ledger, "facts", reader), s.createDataFrame(stale, ledger.FACTS))[1])
+        return out
+
+    monkeypatch.setattr(ledger, "work_dir", racing)
+    with pytest.raises(RuntimeError, match="another job"):
+        lifecycle.compact_days(spark, path, ["2024-01-01"])
+    assert per_day(spark, path)["2024-01-01"] == (8, 1)
+
+
+def test_tidying_keeps_what_counts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    landed(spark, path, range(4))
+    lifecycle.compact_days(spark, path, ["2024-01-01", "2024-01-02"])
+    rows = sorted(map(str, ledger.read(spark, path).collect()))
+    data = lambda: sum(1 for _ in (tmp_path / "t").glob("dt=*/*.parquet"))
+    facts = lambda: sum(1 for _ in (tmp_path / "t" / "_ledger" / "commits").glob("*.parquet"))
+    before = data()
+    assert ledger.tidy(spark, path, timedelta(days=1)) == (0, 5) and data() == before and facts() == 1
+    later = datetime.now(timezone.utc) + timedelta(days=2)
+    dropped, _ = ledger.tidy(spark, path, timedelta(days=1), later)
+    assert dropped > 0 and data() == before - dropped
+    for _ in range(2):
+        ledger.tidy(spark, path, timedelta(days=1), later)
+        assert sorted(map(str, ledger.read(spark, path).collect())) == rows
+    assert ledger.last_batch(spark, path, "w") == 3
+    # whole parts that are gone leave no facts behind: the two days' parts still have the third day
+    lifecycle.compact_days(spark, path, ["2024-01-03"])
+    for _ in range(3):
+        ledger.tidy(spark, path, timedelta(0), later + timedelta(days=1))
+    assert ledger.facts(spark, path).where("not live").count() == 0 and ledger.facts(spark, path).count() == 3
+    assert per_day(spark, path) == {f"2024-01-0{d}": (16, 1) for d in (1, 2, 3)}
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(2000).selectExpr("id AS k", "id % 7 AS v", "0 AS version", "true AS seen")
+    assert merge_into(spark, path, rows, ("k",), ("version",), "w", 0, keep=("seen",)) == list(range(64))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/*.parquet")}
+    before = files()
+    ten = spark.range(10).selectExpr("id * 3 + 1990 AS k", "cast(100 AS bigint) AS v", "1 AS version", "false AS seen")
+    touched = merge_into(spark, path, ten, ("k",), ("version",), "w", 1, keep=("seen",))
+    after = files()
+    assert len(touched) <= 10 and all(after[p] == t for p, t in before.items())
+    assert {p.split("bucket=")[1].split("/")[0] for p in set(after) - set(before)} == {str(b) for b in touched}
+    want = {k: (k % 7, 0, True) for k in range(2000)} | {k * 3 + 1990: (100, 1, k * 3 + 1990 < 2000) for k in range(10)}
+    table = lambda: {r.k: (r.v, r.version, r.seen) for r in read_keyed(spark, path).collect()}
+    assert table() == want
+    # run again after a crash behind the commit
+    assert merge_into(spark, path, ten.withColumn("v", F.lit(0)), ("k",), ("version",), "w", 1) == []
+    assert table() == want
+    ledger.tidy(spark, path, timedelta(0), datetime.now(timezone.utc) + timedelta(days=1), "bucket")
+    assert table() == want and len(files()) == 64
+
+
+def test_a_merge_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int")
+    merge_into(spark, path, rows, ("k",), ("n",), "w", 0, buckets=4)
+    real = ledger._commit
+
+    def dying(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(ledger, "_commit", dying)
+    new = spark.createDataFrame([(1, "c", 2), (3, None, 2), (3, "z", 3)], "k int, v string, n int")
+    with pytest.raises(RuntimeError):
+        merge_into(spark, path, new, ("k",), ("n",), "w", 1, buckets=4)
+    assert sorted(tuple(r) for r in read_keyed(spark, path).collect()) == [(1, "a", 1), (2, "b", 1)]
+    monkeypatch.setattr(ledger, "_commit", real)
+    merge_into(spark, path, new, ("k",), ("n",), "w", 1, buckets=4)
+    assert sorted(tuple(r) for r in read_keyed(spark, path).collect()) == [(1, "c", 2), (2, "b", 1), (3, "z", 3)]
+    merge_into(spark, path, new.limit(0), ("k",), ("n",), "w", 2, buckets=4)
+    assert read_keyed(spark, path).count() == 3 and ledger.last_batch(spark, path, "w") == 2
+
+
+def test_folders_do_not_grow_with_batches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    landed(spark, path, range(3))
+    few = sum(1 for p in (tmp_path / "t").rglob("*") if p.is_dir())
+    landed(spark, path, range(3, 12))
+    assert sum(1 for p in (tmp_path / "t").rglob("*") if p.is_dir()) == few
 
 
 def test_latest_writes_need_no_sort_aggregate(spark, plan):
