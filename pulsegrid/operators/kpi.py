@@ -60,6 +60,71 @@ def kpis_wide(readings: DataFrame, keys: Sequence[str | Column] = KPI_KEYS) -> D
     )
 
 
+# what is kept of a sensor's readings in a window; two such rows of one sensor and window are merged by ``merged_partials``
+PARTIAL = ("n", "mean", "spread", "squares", "low", "high", "first_at", "first_v", "last_at", "last_v")
+
+
+def partials(readings: DataFrame, keys: Sequence[str | Column] = KPI_KEYS) -> DataFrame:
+    """One row per key: count, mean, squared distance from the mean, sum of squares, bounds, first and last reading."""
+    v = F.col("v")
+    return (
+        readings.withColumn("_at", _order_key())
+        .groupBy(*keys)
+        .agg(
+            F.count(v).alias("n"),
+            F.avg(v).alias("mean"),
+            (F.var_pop(v) * F.count(v)).alias("spread"),
+            F.sum(v * v).alias("squares"),
+            F.min(v).alias("low"),
+            F.max(v).alias("high"),
+            F.min("_at").alias("first_at"),
+            F.min_by(v, F.col("_at")).alias("first_v"),
+            F.max("_at").alias("last_at"),
+            F.max_by(v, F.col("_at")).alias("last_v"),
+        )
+    )
+
+
+def merged_partials(rows: DataFrame, keys: Sequence[str] = KPI_KEYS) -> DataFrame:
+    """Partial rows merged to one per key, whatever their number and order.
+
+    The distance between the parts' means is taken as n (mean - pivot)^2 around one of them, the smallest, so large values
+    that lie close together lose no digits.
+    """
+    lowest = rows.groupBy(*keys).agg(F.min("mean").alias("_pivot"))
+    away = F.col("mean") - F.col("_pivot")
+    grouped = rows.join(lowest, list(keys)).groupBy(*keys, "_pivot").agg(
+        F.sum("n").alias("n"), F.sum("spread").alias("_spread"), F.sum(F.col("n") * away).alias("_away"), F.sum(F.col("n") * away * away).alias("_squared"),
+        F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min("first_at").alias("first_at"), F.min_by("first_v", "first_at").alias("first_v"), F.max("last_at").alias("last_at"), F.max_by("last_v", "last_at").alias("last_v"),
+    )
+    n, moved = F.col("n"), F.col("_away")
+    return (
+        grouped.withColumn("mean", F.col("_pivot") + moved / n)
+        .withColumn("spread", F.col("_spread") + F.greatest(F.col("_squared") - moved * moved / n, F.lit(0.0)))
+        .drop("_pivot", "_spread", "_away", "_squared")
+    )
+
+
+def figures(rows: DataFrame) -> DataFrame:
+    """The figures of ``kpis_wide`` from one partial row per sensor."""
+    n, kind, rms = F.col("n"), F.col("sensor_type"), F.col("rms")
+    return (
+        rows.withColumn("sample_count", n)
+        .withColumn("avg", F.col("mean"))
+        .withColumn("min", F.col("low"))
+        .withColumn("max", F.col("high"))
+        .withColumn("count", n.cast("double"))
+        .withColumn("std_dev", F.when(n >= 2, F.sqrt(F.col("spread") / (n - 1))))
+        .withColumn("range", F.when(n >= 2, F.col("high") - F.col("low")))
+        .withColumn("rms", F.when(kind == "vibration", F.sqrt(F.col("squares") / n)))
+        .withColumn("crest_factor", F.when(rms > 0, F.greatest(F.abs("low"), F.abs("high")) / rms))
+        .withColumn("rate_of_change", F.when((kind == "temperature") & (n >= 2), F.col("last_v") - F.col("first_v")))
+        .withColumn("energy", F.when(kind == "power", F.col("mean") * n))
+        .drop(*PARTIAL)
+    )
+
+
 def kpi(readings: DataFrame, name: str, keys: Sequence[str] = KPI_KEYS) -> DataFrame:
     """One figure for the sensors it applies to; Catalyst drops the aggregates it does not need."""
     return kpis_wide(readings, keys).select(*keys, F.col(name).alias("kpi_value"), "sample_count").where(
@@ -109,6 +174,14 @@ def kpi_rows(
     )
 
 
+def kpi_rows_of_partials(rows: DataFrame, created_at: datetime) -> DataFrame:
+    """KPI table rows from one partial row per window and sensor."""
+    return to_long(figures(rows)).select(
+        F.lit(created_at).alias("created_at"), "device_id", "device_type", "sensor_id", "kpi_name", "kpi_value",
+        F.lit(None).cast("string").alias("unit"), "window_start", "window_end", "sample_count",
+    )
+
+
 def kpi_rows_of_windows(readings: DataFrame, bounds: Sequence[datetime], created_at: datetime) -> DataFrame:
     """KPI table rows of several windows (bound, next bound] at once; readings outside of them are left out."""
     times = F.array(*[F.lit(b) for b in bounds])

@@ -11,13 +11,15 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from time import monotonic
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import kpi
+from pulsegrid.operators.joins import checked_broadcast
 from pulsegrid.operators.metrics import snapshot
 from pulsegrid.operators.upsert import upsert_latest
-from pulsegrid.schemas import WATERMARK_TABLE
+from pulsegrid.schemas import KPI_KEYS, WATERMARK_TABLE
+from pulsegrid.sources import ledger
 from pulsegrid.sources.messages import with_reading
 from pulsegrid.sources.tables import BATCH, DAY, in_range, with_day, write_batch
 
@@ -123,6 +125,84 @@ def run_kpi_job(
     return run
 
 
+WINDOW = ("window_start", "window_end")
+STATE = (
+    "window_start TIMESTAMP, window_end TIMESTAMP, device_id STRING, device_type STRING, sensor_id STRING, sensor_type STRING, n BIGINT, mean DOUBLE, "
+    "spread DOUBLE, squares DOUBLE, low DOUBLE, high DOUBLE, first_at DECIMAL(38,0), first_v DOUBLE, last_at DECIMAL(38,0), last_v DOUBLE, dt DATE, batch_id BIGINT"
+)
+
+
+def finished_windows(spark: SparkSession, control_path: str, job_name: str) -> DataFrame:
+    """window_start, window_end and each day that a finished window touches; one row per run and day."""
+    ends = spark.read.schema(WATERMARK_TABLE).parquet(control_path).where(F.col("job_name") == job_name)
+    ends = ends.select(F.col("last_processed_at").alias("window_end")).distinct()
+    # a job's runs in time order: a window of few rows, one per run
+    start = F.lag("window_end").over(Window.orderBy("window_end"))
+    windows = ends.withColumn("window_start", start).where("window_start is not null")
+    days = F.sequence(F.to_date("window_start"), F.to_date("window_end"), F.expr("interval 1 day"))
+    # the first window reaches back to 1970; its days before the first reading are no rows of their own
+    early = windows.where(F.col("window_start") <= F.lit(EPOCH)).withColumn("day", F.lit(None).cast("date"))
+    return windows.where(F.col("window_start") > F.lit(EPOCH)).withColumn("day", F.explode(days)).unionByName(early)
+
+
+def run_merging_job(
+    spark: SparkSession,
+    telemetry: DataFrame,
+    kpi_path: str,
+    state_path: str,
+    control_path: str,
+    as_of: datetime,
+    job_name: str = "kpi_5min",
+    arrival: str = "arrived_at",
+    scalar_keys: tuple[str, ...] = ("value",),
+) -> JobRun:
+    """As ``run_kpi_job``, from the rows that arrived since the last run alone, however late they are.
+
+    Rows later than the watermark make a window of their own. An earlier row belongs to the finished window of its time: its
+    partial figures are added to that window's, which are kept in the table at ``state_path``, and the window's KPIs are made
+    anew from them. So no finished window is read again from telemetry, each reading counts once, and late rows count
+    even if nothing newer came. A row counts once both its time and its arrival lie in the past.
+
+    The moment of a run is recorded before anything else and a run that died is finished first, over the same rows: its
+    partial figures are committed once, by that moment, and its KPIs replace themselves.
+    """
+    started = monotonic()
+    done, planned = (get_watermark(spark, control_path, f"{job_name}:{mark}") for mark in ("available", "planned"))
+    if planned > done:
+        as_of = planned
+    elif as_of > done:
+        advance_watermark(spark, control_path, f"{job_name}:planned", as_of, as_of)
+    watermark = get_watermark(spark, control_path, job_name)
+    available = F.greatest("time", arrival)
+    rows = telemetry.where((available > F.lit(done)) & (available <= F.lit(as_of)))
+    rows = rows.select("device_id", "device_type", "sensor_id", "sensor_type", "time", "event_id", "value")
+    micros = rows.where(F.col("time") > F.lit(watermark)).agg(F.unix_micros(F.max("time"))).first()[0]
+    end = None if micros is None else EPOCH + timedelta(microseconds=micros)
+    batch = round((as_of - EPOCH) / timedelta(microseconds=1))
+    if batch > ledger.last_batch(spark, state_path, job_name):
+        readings = with_reading(rows, scalar_keys).select(*KPI_KEYS, "time", "event_id", "v")
+        new = readings.where(F.col("time") > F.lit(watermark)).withColumns({"window_start": F.lit(watermark), "window_end": F.lit(end).cast("timestamp")})
+        late = readings.where(F.col("time") <= F.lit(watermark)).withColumn("day", F.to_date("time"))
+        windows = finished_windows(spark, control_path, job_name)
+        inside = (F.col("time") > F.col("window_start")) & (F.col("time") <= F.col("window_end"))
+        by_day = late.join(checked_broadcast(windows.where("day is not null")), "day").where(inside).drop("day")
+        first = late.drop("day").join(F.broadcast(windows.where("day is null").drop("day")), inside)
+        placed = new.unionByName(by_day).unionByName(first)
+        ledger.append(with_day(kpi.partials(placed, (*WINDOW, *KPI_KEYS)), "window_end"), state_path, job_name, batch)
+    states = ledger.read(spark, state_path, STATE)
+    touched = states.where(F.col(BATCH) == batch).select(*WINDOW, DAY).distinct()
+    days = [row[DAY] for row in touched.select(DAY).distinct().collect()]  # one entry per day
+    # all sensors of the touched windows, since a window's KPIs are replaced as a whole
+    whole = states.where(F.col(DAY).isin(days)).join(touched.drop(DAY), list(WINDOW), "left_semi")
+    found = kpi.kpi_rows_of_partials(kpi.merged_partials(whole, (*WINDOW, *KPI_KEYS)), as_of)
+    name = F.concat(F.lit(f"{job_name}-"), F.date_format("window_start", "yyyyMMdd'T'HHmmssSSSSSS"))
+    write_batch(with_day(found, "window_end"), kpi_path, name, (DAY,))
+    if end is not None:
+        advance_watermark(spark, control_path, job_name, end, as_of)
+    advance_watermark(spark, control_path, f"{job_name}:available", as_of, as_of)
+    return JobRun(job_name, watermark, end, monotonic() - started)
+
+
 def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:
     return spark.read.parquet(kpi_path).drop(BATCH, DAY)
 

@@ -397,6 +397,7 @@ def oracle_sql() -> dict[str, str]:
             FROM telemetry WHERE {RANGE}"""),
         "kpis_incremental": _with(KPI_RANGE_TABLE, "SELECT * FROM kpis"),
         "kpis_with_late_rows": _with(LATE_KPIS, "SELECT * FROM kpis"),
+        "kpis_merged_from_partials": _with(LATE_KPIS, "SELECT * FROM kpis"),
         "kpis_tumbling_5min": _with(_tumbling("5 minutes"), "SELECT * FROM tumbling"),
         "kpis_tumbling_1hr": _with(_tumbling("1 hour"), "SELECT * FROM tumbling"),
         # metrics

@@ -589,6 +589,18 @@ def kpis_with_late_rows(spark, sf_dir):
     return jobs.read_kpis(spark, f"{root}/kpis").drop("unit")
 
 
+@query
+def kpis_merged_from_partials(spark, sf_dir):
+    """The same two runs from stored partial figures: the second reads only what arrived after the first."""
+    root = work_dir(spark, "merged-kpis")
+    arrived = F.when(F.col("event_id") % 10 == 0, F.greatest("time", F.lit(WATERMARK + timedelta(seconds=1)))).otherwise(F.col("time"))
+    telemetry = data.telemetry(spark, sf_dir).withColumn("arrived_at", arrived)
+    jobs.seed_control(spark, f"{root}/control")
+    for as_of in (WATERMARK, UNTIL):
+        jobs.run_merging_job(spark, telemetry, f"{root}/kpis", f"{root}/state", f"{root}/control", as_of)
+    return jobs.read_kpis(spark, f"{root}/kpis").drop("unit")
+
+
 @query
 def kpis_tumbling_5min(spark, sf_dir):
     """KPIs in five-minute windows."""
