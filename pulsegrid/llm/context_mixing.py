@@ -34,14 +34,14 @@ BLOCK_BITS = 13
 SEGMENT = 4096
 # bytes of text of one pass, and segments that are read in step
 STEP_BYTES = 8 << 20
-LANES = 512
+LANES = 1024
 END = 0xFF
 # what a bit counts beyond its count, and the logits' unit and bound as they are sent
 PRIOR = 0.03
 UNIT = 16.0
-# the mixer's rate and first weights, for: three where the word is new, three, word if unsure, word if sure, own, bias
+# the mixer's rate and first weights, for: three where the word is new, three, word if unsure, word if sure, own
 MIX_RATE = np.float32(0.008)
-WEIGHTS = (0.9, 0.45, 0.65, 0.7, 0.15, 0.0)
+WEIGHTS = (0.9, 0.45, 0.65, 0.7, 0.15)
 SURE = 40
 # buckets and rate of the correction
 BUCKETS = 32
@@ -49,29 +49,11 @@ FIX_RATE = np.float32(0.03)
 LEAST = np.float32(1 / 8192)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ALL = np.arange(256)
-# the bits of a byte from the highest on, one row each, and a hash of the tree node before each: a 1 and the bits above
-_BITS = np.ascontiguousarray(((_ALL[:, None] >> np.arange(7, -1, -1)) & 1).T.astype(np.float32))
-_NODES = np.ascontiguousarray(((256 + _ALL)[:, None] >> np.arange(8, 0, -1)).T.astype(np.uint32) * np.uint32(0x9E3779B1))
+_SHIFTS = np.arange(8, 0, -1, dtype=np.uint32)[:, None]
 _END_WORD = W.mix(np.array([END], dtype=np.uint64))[0]
 
-# the text's own predictor: a slot's state is a logit of 64 steps; each bit moves it a quarter of the way, one step at least
+# the text's own predictor: a slot's state is a logit of 64 steps of an eighth, each bit moves it a quarter of the way to the end
 SLOT_BITS = 12
-_STATE_LOGIT = ((np.arange(64) - 31.5) / 8).astype(np.float32)
-
-
-def _next_states() -> np.ndarray:
-    p = 1 / (1 + np.exp(-_STATE_LOGIT.astype(np.float64)))
-    out = np.empty((2, 64), dtype=np.uint8)
-    for bit in (0, 1):
-        moved = p + (bit - p) * 0.25
-        near = np.clip(np.rint(np.log(moved / (1 - moved)) * 8 + 31.5), 0, 63)
-        step = np.arange(64) + (1 if bit else -1)
-        out[bit] = np.clip(np.maximum(near, step) if bit else np.minimum(near, step), 0, 63)
-    return out.ravel()
-
-
-_NEXT = _next_states()
 
 
 class Stream:
@@ -101,7 +83,7 @@ class Stream:
         self.unit_data = data[W.ragged((ends - self.length)[sample], self.unit_length)]
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per byte of the distinct units the keys of the two counted contexts: 56 bits of hash, then the byte."""
+        """Per byte of the distinct units the keys of the two counted contexts: 48 bits of hash, then the byte."""
         data, length = self.unit_data, self.unit_length
         place = W.ragged(np.zeros(len(length), dtype=np.int64), length)
         three = np.zeros(len(data), dtype=np.uint64)
@@ -116,7 +98,7 @@ class Stream:
                 value *= W.mix((place // 4096).astype(np.uint64)) | np.uint64(1)
             upto = np.cumsum(value) - value
             word = upto - np.repeat(upto[self.unit_first], length) + place.astype(np.uint64) * _ODD
-            return tuple((W.mix(context + np.uint64(k + 1) * _ODD) & ~np.uint64(0xFF)) | data for k, context in enumerate((three, word)))
+            return tuple(W.mix(context + np.uint64(k + 1) * _ODD) >> np.uint64(16) << np.uint64(8) | data for k, context in enumerate((three, word)))
 
     def unit_words(self) -> np.ndarray:
         """Hash of the word of each distinct unit that has one."""
@@ -178,8 +160,8 @@ def _asked(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
 
 def _sent(block: int, held: list, shards: int) -> pa.RecordBatch:
     (keys, sums), (words, word_sums) = (_sums(np.concatenate([h[i] for h in held]), np.concatenate([h[i + 1] for h in held])) for i in (0, 2))
-    edges = (np.arange(shards, dtype=np.uint64) << np.uint64(64 - shards.bit_length() + 1)) if shards > 1 else np.zeros(1, dtype=np.uint64)
-    a, b = np.append(np.searchsorted(keys, edges), len(keys)), np.append(np.searchsorted(words, edges), len(words))
+    bits, shard = shards.bit_length() - 1, np.arange(shards, dtype=np.uint64)
+    a, b = (np.append(np.searchsorted(x, shard << np.uint64(size - bits)), len(x)) for x, size in ((keys, 56), (words, 64)))
     some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
 
     def pieces(values: np.ndarray, cut: np.ndarray, rising: bool = False) -> pa.Array:
@@ -277,12 +259,17 @@ def _in_step(rows: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.n
         if active != m:
             m = active
             x, w = np.empty((inputs, 8, m), dtype=np.float32), weights[:, :, :m]
-            x[5] = 1
         at = begin[:m] + t
         byte = data.take(at)
-        y = _BITS.take(byte, axis=1)
+        bits = np.unpackbits(byte[None], axis=0)
+        y = bits.astype(np.float32)
         counted = np.ascontiguousarray(rows.take(place.take(at), axis=0).T).reshape(2, 8, m)
-        slot = (_NODES.take(byte, axis=1) + recent.take(at)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - SLOT_BITS)
+        # the tree node before each bit: a 1 and the bits above
+        slot = (byte.astype(np.uint32) + np.uint32(256)) >> _SHIFTS
+        slot *= np.uint32(0x9E3779B1)
+        slot += recent.take(at)
+        slot *= np.uint32(0x85EBCA6B)
+        slot >>= np.uint32(32 - SLOT_BITS)
         slot = slot + lane_slot[:m]
         state = own.take(slot)
         sure = np.abs(counted[1, 0])
@@ -291,13 +278,18 @@ def _in_step(rows: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.n
         np.multiply(counted[0], np.float32(1 / UNIT) - new, out=x[1])
         np.multiply(counted[1], np.float32(1 / UNIT) - certain, out=x[2])
         np.multiply(counted[1], certain, out=x[3])
-        _STATE_LOGIT.take(state, out=x[4], mode="clip")
+        np.multiply(state, np.float32(0.125), out=x[4])
+        x[4] -= np.float32(31.5 / 8)
         dot = np.einsum("kbm,kbm->bm", w, x)
         p = np.exp(-dot)
         p += 1
         np.reciprocal(p, out=p)
-        bucket = (np.clip(dot, -7.99, 7.99) * 2 + BUCKETS / 2).astype(np.int32)
-        where = bucket * lanes + lane_bucket[:, :m]
+        np.clip(dot, -7.99, 7.99, out=dot)
+        dot += np.float32(BUCKETS / 4)
+        dot *= 2
+        where = dot.astype(np.int64)
+        where *= lanes
+        where += lane_bucket[:, :m]
         q = fixed.take(where)
         final = (p + q) * np.float32(0.5)
         final -= y
@@ -305,8 +297,14 @@ def _in_step(rows: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.n
         chance = np.clip(1 - np.abs(final), LEAST, 1 - LEAST)
         total[:m] += np.log(np.multiply.reduce(chance, axis=0).astype(np.float64))
         fixed[where] = q + (y - q) * FIX_RATE
-        w += x * ((y - p) * MIX_RATE)
-        own[slot] = _NEXT.take(state + y.astype(np.uint8) * np.uint8(64))
+        np.subtract(y, p, out=p)
+        p *= MIX_RATE
+        x *= p
+        w += x
+        state *= np.uint8(3)
+        state += bits * np.uint8(66)
+        state >>= np.uint8(2)
+        own[slot] = state
     return total
 
 

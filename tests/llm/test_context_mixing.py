@@ -51,7 +51,6 @@ class Model:
         return sum(math.log10((self.count[x] + 1) / (self.total + self.distinct + 1)) for x in [*w, None])
 
     def score(self, w):
-        state_logit, following = C._STATE_LOGIT.astype(float), C._NEXT
         squash = lambda x: 1 / (1 + math.exp(-x))
         total = 0.0
         for i, (byte, three, word, recent) in enumerate(self.events(w)):
@@ -69,16 +68,16 @@ class Model:
                 high, y = byte >> (8 - j), byte >> (7 - j) & 1
                 slot = (((((1 << j) | high) * 0x9E3779B1 & 0xFFFFFFFF) + h & 0xFFFFFFFF) * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - C.SLOT_BITS)
                 a, b = self.logit(self.three, three, j, high) / 16, self.logit(self.word, word, j, high) / 16
-                x = [a * (sure == 0), a * (sure > 0), b * (sure <= C.SURE), b * (sure > C.SURE), state_logit[own[slot]], 1.0]
+                x = [a * (sure == 0), a * (sure > 0), b * (sure <= C.SURE), b * (sure > C.SURE), (own[slot] - 31.5) / 8]
                 dot = sum(p * q for p, q in zip(weights[j], x, strict=True))
                 p = squash(dot)
                 bucket = int(min(max(dot, -7.99), 7.99) * 2 + C.BUCKETS / 2)
                 q = fixed[j][bucket]
                 total += math.log10(min(max(1 - abs((p + q) / 2 - y), float(C.LEAST)), 1 - float(C.LEAST)))
                 fixed[j][bucket] += (y - q) * float(C.FIX_RATE)
-                for k in range(6):
+                for k in range(5):
                     weights[j][k] += x[k] * (y - p) * float(C.MIX_RATE)
-                learned[slot] = int(following[own[slot] + 64 * y])
+                learned[slot] = (3 * own[slot] + 66 * y) >> 2
             own.update(learned)
         return total
 
@@ -154,7 +153,7 @@ def _first_byte(model, byte):
         high, y = byte >> (8 - j), byte >> (7 - j) & 1
         a, b = model.logit(model.three, b"", j, high) / 16, model.logit(model.word, 0, j, high) / 16
         sure = abs(model.logit(model.word, 0, 0, 0))
-        x = [a * (sure == 0), a * (sure > 0), b * (sure <= C.SURE), b * (sure > C.SURE), C._STATE_LOGIT[32], 1.0]
+        x = [a * (sure == 0), a * (sure > 0), b * (sure <= C.SURE), b * (sure > C.SURE), 0.0625]
         dot = float(sum(p * q for p, q in zip(C.WEIGHTS, x, strict=True)))
         middle = (int(min(max(dot, -7.99), 7.99) * 2 + C.BUCKETS / 2) - C.BUCKETS / 2 + 0.5) / 2
         final = (1 / (1 + math.exp(-dot)) + 1 / (1 + math.exp(-middle))) / 2
