@@ -8,9 +8,11 @@ States and transitions are compiled when a text first reaches them, and a worker
 
 A text is read in chunks of equal length, all chunks of a batch in step. Where a word begins the state does not
 depend on what came before, so a chunk's map from entry state to exit state is constant once a word begins in it:
-its part from there on is read first, from the start state. Then the maps are composed along the chunks, and the
-heads are read, again in step, from the entry states. Only a chunk inside one long word has a map that is not
-constant; it is evaluated at the state in which the chunks before it end.
+its part from there on is read first, from the start state. A chunk inside one long word has a map of several entries. It
+is read from the start state and from every state in which the chunk before can end, as its own map says, until no new
+state turns up; since a state remembers little, that is a round or two, all chunks of all texts at once. The maps are
+functions on numbered (chunk, state) pairs, composed along the chunks by doubling, so the pairs that the text really goes
+through are found in a logarithmic number of steps.
 """
 
 from __future__ import annotations
@@ -209,18 +211,57 @@ class Transducer:
         constant = head < end
         exits = np.full(len(begin), -1, dtype=np.int64)
         exits[constant] = self._read(kinds, reset, more, np.zeros(int(constant.sum()), np.int64), head[constant], end[constant])
-        # compose: the heads whose entry is known, until all are
-        todo = np.flatnonzero(head > begin)
-        while todo.size:
-            ready = todo[exits[todo - 1] >= 0]
-            out = self._read(kinds, reset, more, exits[ready - 1], begin[ready], head[ready])
-            open_end = ~constant[ready]
-            exits[ready[open_end]] = out[open_end]
-            done = np.zeros(len(begin), dtype=bool)
-            done[ready] = True
-            todo = todo[~done[todo]]
+        inside = np.flatnonzero(~constant & (begin > 0) & (head > begin))
+        extra = np.zeros(len(begin), dtype=np.int64)
+        if inside.size:
+            exits[inside], extra[inside] = self._scan(kinds, reset, begin, end, exits, inside)
+        # the heads of the others, whose entry is known now
+        rest = np.flatnonzero(constant & (head > begin))
+        self._read(kinds, reset, more, exits[rest - 1], begin[rest], head[rest])
         total = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])
-        return np.diff(total[first])
+        # a chunk inside one word belongs to one text
+        owner = np.searchsorted(first, begin[inside], "right") - 1
+        return np.diff(total[first]) + np.bincount(owner, weights=extra[inside], minlength=len(first) - 1).astype(np.int64)
+
+    def _scan(self, kinds: np.ndarray, reset: np.ndarray, begin: np.ndarray, end: np.ndarray, exits: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state and tokens of the chunks ``inside`` a word, entered as the chunks before them end; ``exits`` of those outside are known."""
+        open_ = np.zeros(len(begin), dtype=bool)
+        open_[inside] = True
+        leads = ~open_[inside - 1]
+        # numbered pairs of a chunk and an entry state: what they lead to, and the pair that follows
+        number: dict[tuple[int, int], int] = {}
+        chunk, exit_, tokens = (np.empty(0, dtype=np.int64) for _ in range(3))
+        todo_chunk, todo_state = inside, np.where(leads, exits[inside - 1], _START)
+        while todo_chunk.size:
+            new = len(number)
+            number.update(zip(zip(todo_chunk.tolist(), todo_state.tolist(), strict=True), range(new, new + len(todo_chunk)), strict=True))
+            out, count = self._lanes(kinds, reset, begin[todo_chunk], end[todo_chunk], todo_state)
+            chunk, exit_, tokens = np.append(chunk, todo_chunk), np.append(exit_, out), np.append(tokens, count)
+            following = np.flatnonzero(open_[np.minimum(todo_chunk + 1, len(begin) - 1)] & (todo_chunk + 1 < len(begin)))
+            pairs = {(c, s) for c, s in zip((todo_chunk[following] + 1).tolist(), out[following].tolist(), strict=True)} - number.keys()
+            fresh = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+            todo_chunk, todo_state = fresh[:, 0], fresh[:, 1]
+        jump = np.array([number.get(pair, -1) for pair in zip((chunk + 1).tolist(), exit_.tolist(), strict=True)], dtype=np.int64)
+        # where the text enters each run of chunks, and the pairs 1, 2, 4, ... chunks on
+        starts = inside[leads]
+        at = np.array([number[c, s] for c, s in zip(starts.tolist(), exits[starts - 1].tolist(), strict=True)], dtype=np.int64)
+        lengths = np.diff(np.append(np.flatnonzero(leads), len(inside)))
+        place = W.ragged(np.zeros(len(starts), dtype=np.int64), lengths)
+        node = np.repeat(at, lengths)
+        for k in range(int(place.max()).bit_length()):
+            far = (place >> k) & 1 == 1
+            node[far] = jump[node[far]]
+            jump = np.where(jump >= 0, jump[jump], -1)
+        return exit_[node], tokens[node]
+
+    def _lanes(self, kinds: np.ndarray, reset: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit states and tokens of chunks that may be the same for several entry states."""
+        lengths = end - begin
+        upto = np.cumsum(lengths)
+        copied = W.ragged(begin, lengths)
+        more = np.zeros(len(copied), dtype=np.int32)
+        out = self._read(kinds[copied], reset[copied], more, states, upto - lengths, upto)
+        return out, np.add.reduceat(more.astype(np.int64), upto - lengths)
 
 
 def count_texts(transducer: Transducer, column: pa.Array) -> np.ndarray:

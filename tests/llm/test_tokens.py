@@ -54,6 +54,24 @@ def test_transducer_counts_equal_the_library(library):
     assert transducer.count_texts(transducer.compiled(MODEL), pa.array([*texts, None])).tolist() == [*(len(library.encode(t)) for t in texts), 0]
 
 
+@pytest.mark.parametrize("letters", ["x", "ab", "etaoinshr", "éàß日", "01"])
+def test_long_words_are_scanned_in_a_few_rounds(library, letters, monkeypatch):
+    """Chunks without a word start are read at once, and again only from states that turn up; maps are composed by doubling."""
+    rng = random.Random(len(letters))
+    size = 1_000_000 if len(letters) < 3 else 60_000
+    texts = ["".join(rng.choices(letters, k=n)) for n in (size, 511, 512, 513, 1025)] + ["a b " + "".join(rng.choices(letters, k=3000)) + " c"]
+    rounds, real = [], transducer.Transducer._lanes
+
+    def counted(self, *args):
+        rounds.append(len(args[-1]))
+        return real(self, *args)
+
+    monkeypatch.setattr(transducer.Transducer, "_lanes", counted)
+    got = transducer.count_texts(transducer.compiled(MODEL), pa.array(texts))
+    assert got.tolist() == [len(library.encode(t)) for t in texts]
+    assert len(rounds) <= 20 and max(rounds) >= size // transducer.CHUNK - 2
+
+
 def test_transducer_starts_anew_when_full(library):
     texts = mixed(library, 200)
     small = transducer.Transducer(pieces.Pieces(MODEL), kept=500)
