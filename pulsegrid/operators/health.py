@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.joins import checked_broadcast
 from pulsegrid.operators.ordered import HOT_ROWS, with_previous
 
 # Fixed rule values.
@@ -52,6 +53,39 @@ def lost_records(sent: DataFrame, stored: DataFrame, keys: Sequence[str]) -> Dat
     return sent.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def bucket_sums(rows: DataFrame, keys: Sequence[str], by: Sequence[str], buckets: int) -> DataFrame:
+    """Per group and hash bucket of the keys: count, sum and exclusive or of the keys' hashes, whatever the order of the rows.
+
+    One small row per group and bucket, which can be kept beside a table and updated with every batch.
+    """
+    hashed = rows.select(*by, F.xxhash64(*keys).alias("_hash")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    return hashed.groupBy(*by, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("_hash").cast("decimal(20,0)")).alias("_sum"), F.bit_xor("_hash").alias("_xor")
+    )
+
+
+def lost_records_by_bucket(
+    sent: DataFrame, stored: DataFrame, keys: Sequence[str], by: Sequence[str] = ("dt",), buckets: int = 256, sums: DataFrame | None = None
+) -> DataFrame:
+    """``lost_records``, comparing rows only where the two sides' checksums differ.
+
+    Both sides have the columns ``by`` (the day, say), so a differing day prunes the partitions of the second read, and what
+    is shuffled is the rows of differing buckets and one row per bucket. ``sums`` are kept ``bucket_sums`` of the stored
+    side, if there are any. Buckets agree by 64-bit sums of hashes.
+    """
+    mine, names = bucket_sums(sent, keys, by, buckets), [*by, "_bucket"]
+    theirs = bucket_sums(stored, keys, by, buckets) if sums is None else sums
+    theirs = theirs.select(*[F.col(name).alias(f"{name}_") for name in (*names, "_n", "_sum", "_xor")])
+    same = [F.col(name).eqNullSafe(F.col(f"{name}_")) for name in (*names, "_n", "_sum", "_xor")]
+    differ = checked_broadcast(mine.join(theirs, same, "left_anti").select(*[F.col(name).alias(f"{name}_") for name in names]))
+
+    def suspects(rows: DataFrame) -> DataFrame:
+        placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+        return placed.join(differ, [F.col(name).eqNullSafe(F.col(f"{name}_")) for name in names], "left_semi").drop("_bucket")
+
+    return lost_records(suspects(sent), suspects(stored), keys)
+
+
 def throughput_delta(
     samples: DataFrame, keys: Sequence[str] = (), time: str = "sample_ts", count: str = "count",
     hot_rows: int | None = HOT_ROWS,

@@ -61,17 +61,18 @@ def kpis_wide(readings: DataFrame, keys: Sequence[str | Column] = KPI_KEYS) -> D
 
 
 # what is kept of a sensor's readings in a window; two such rows of one sensor and window are merged by ``merged_partials``
-PARTIAL = ("n", "mean", "spread", "squares", "low", "high", "first_at", "first_v", "last_at", "last_v")
+PARTIAL = ("n", "total", "mean", "spread", "squares", "low", "high", "first_at", "first_v", "last_at", "last_v")
 
 
 def partials(readings: DataFrame, keys: Sequence[str | Column] = KPI_KEYS) -> DataFrame:
-    """One row per key: count, mean, squared distance from the mean, sum of squares, bounds, first and last reading."""
+    """One row per key: count, sum, mean, squared distance from the mean, sum of squares, bounds, first and last reading."""
     v = F.col("v")
     return (
         readings.withColumn("_at", _order_key())
         .groupBy(*keys)
         .agg(
             F.count(v).alias("n"),
+            F.sum(v).alias("total"),
             F.avg(v).alias("mean"),
             (F.var_pop(v) * F.count(v)).alias("spread"),
             F.sum(v * v).alias("squares"),
@@ -94,7 +95,7 @@ def merged_partials(rows: DataFrame, keys: Sequence[str] = KPI_KEYS) -> DataFram
     lowest = rows.groupBy(*keys).agg(F.min("mean").alias("_pivot"))
     away = F.col("mean") - F.col("_pivot")
     grouped = rows.join(lowest, list(keys)).groupBy(*keys, "_pivot").agg(
-        F.sum("n").alias("n"), F.sum("spread").alias("_spread"), F.sum(F.col("n") * away).alias("_away"), F.sum(F.col("n") * away * away).alias("_squared"),
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("spread").alias("_spread"), F.sum(F.col("n") * away).alias("_away"), F.sum(F.col("n") * away * away).alias("_squared"),
         F.sum("squares").alias("squares"), F.min("low").alias("low"), F.max("high").alias("high"),
         F.min("first_at").alias("first_at"), F.min_by("first_v", "first_at").alias("first_v"), F.max("last_at").alias("last_at"), F.max_by("last_v", "last_at").alias("last_v"),
     )
@@ -111,7 +112,7 @@ def figures(rows: DataFrame) -> DataFrame:
     n, kind, rms = F.col("n"), F.col("sensor_type"), F.col("rms")
     return (
         rows.withColumn("sample_count", n)
-        .withColumn("avg", F.col("mean"))
+        .withColumn("avg", F.col("total") / n)
         .withColumn("min", F.col("low"))
         .withColumn("max", F.col("high"))
         .withColumn("count", n.cast("double"))
@@ -120,7 +121,7 @@ def figures(rows: DataFrame) -> DataFrame:
         .withColumn("rms", F.when(kind == "vibration", F.sqrt(F.col("squares") / n)))
         .withColumn("crest_factor", F.when(rms > 0, F.greatest(F.abs("low"), F.abs("high")) / rms))
         .withColumn("rate_of_change", F.when((kind == "temperature") & (n >= 2), F.col("last_v") - F.col("first_v")))
-        .withColumn("energy", F.when(kind == "power", F.col("mean") * n))
+        .withColumn("energy", F.when(kind == "power", F.col("total")))
         .drop(*PARTIAL)
     )
 

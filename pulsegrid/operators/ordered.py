@@ -53,12 +53,13 @@ def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
             f"lead(1, {depth}) OVER {_window(in_chunk, order)} IS NULL AS _tail",
         )
     )
-    # Rows beside a cut meet in one group per series, 2 * depth rows per chunk; the other rows stay in
-    # the group of their chunk and keep what they have.
-    regrouped = first.selectExpr("*", "if(_head OR _tail, -1, _chunk) AS _group")
-    second = regrouped.selectExpr("*", *_lags([*keys, "_group"], order, value, depth, "_edge_"))
-    found = [f"if(_head, _edge_{i}, {PREVIOUS}{i}) AS {PREVIOUS}{i}" for i in range(1, depth + 1)]
-    return second.selectExpr(*[f"`{name}`" for name in df.columns], *found)
+    # Only the rows beside a cut move once more: they meet per series, 2 * depth rows per chunk. The first rows of a chunk take
+    # from there what their chunk does not hold; all others have what they need. Both branches read the same exchange.
+    names = [f"`{name}`" for name in df.columns]
+    found = [f"_edge_{i} AS {PREVIOUS}{i}" for i in range(1, depth + 1)]
+    edges = first.where("_head OR _tail").selectExpr(*names, "_head", *_lags(keys, order, value, depth, "_edge_"))
+    inner = first.where("NOT _head").selectExpr(*names, *previous_columns(depth))
+    return inner.unionByName(edges.where("_head").selectExpr(*names, *found))
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:

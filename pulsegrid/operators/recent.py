@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.tables import DAY, file_system, read_table
+
 
 def newest(df: DataFrame, time: str = "time", tie: Sequence[str] = (), limit: int | None = None, **equal) -> DataFrame:
     """Rows matching ``column=value``, newest first; with ``limit`` a top-k that sorts nothing globally."""
@@ -18,6 +20,34 @@ def newest(df: DataFrame, time: str = "time", tie: Sequence[str] = (), limit: in
     return out.limit(limit) if limit is not None else out
 
 
+def day_folders(spark: SparkSession, path: str) -> list[str]:
+    """The days of a day-partitioned table, newest first, from the names of its folders alone."""
+    fs, at = file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at(path))]
+    return sorted((n.removeprefix(f"{DAY}=") for n in names if n.startswith(f"{DAY}=") and n[-1].isdigit()), reverse=True)
+
+
+def newest_stored(
+    spark: SparkSession, path: str, limit: int, time: str = "time", tie: Sequence[str] = (), where: Column | None = None,
+    rows: DataFrame | None = None,
+) -> DataFrame:
+    """The newest ``limit`` rows of a day-partitioned table, without opening days that cannot hold one.
+
+    A day's rows are all newer than those of the days before it. So days are taken from the newest on, twice as many each time,
+    until they hold ``limit`` rows that match; older folders are never read. ``rows`` is the table as read (through its
+    ledger, say); rows without time lie in no day and come last.
+    """
+    table = read_table(spark, path) if rows is None else rows
+    table = table if where is None else table.where(where)
+    days, taken, step = day_folders(spark, path), 0, 1
+    while taken < len(days):
+        taken, step = min(taken + step, len(days)), 2 * step
+        some = table.where(F.col(DAY) >= F.lit(days[taken - 1]).cast("date"))
+        if some.limit(limit).count() >= limit:
+            return newest(some, time, tie, limit)
+    return newest(table, time, tie, limit)
+
+
 def newest_per(
     df: DataFrame,
     keys: Sequence[str],

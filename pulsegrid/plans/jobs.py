@@ -127,7 +127,7 @@ def run_kpi_job(
 
 WINDOW = ("window_start", "window_end")
 STATE = (
-    "window_start TIMESTAMP, window_end TIMESTAMP, device_id STRING, device_type STRING, sensor_id STRING, sensor_type STRING, n BIGINT, mean DOUBLE, "
+    "window_start TIMESTAMP, window_end TIMESTAMP, device_id STRING, device_type STRING, sensor_id STRING, sensor_type STRING, n BIGINT, total DOUBLE, mean DOUBLE, "
     "spread DOUBLE, squares DOUBLE, low DOUBLE, high DOUBLE, first_at DECIMAL(38,0), first_v DOUBLE, last_at DECIMAL(38,0), last_v DOUBLE, dt DATE, batch_id BIGINT"
 )
 

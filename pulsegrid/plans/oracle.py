@@ -386,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
             FROM alerts WHERE NOT ({acknowledged})"""),
         "logs_select": _with(LINES, """SELECT event_id, ts, app, level, service FROM labelled WHERE namespace = 'plant-a'
             AND ts >= (SELECT max(ts) FROM b) - INTERVAL 1 HOUR"""),
+        "logs_by_label": _with(LINES, "SELECT event_id, ts, app, level, service FROM labelled WHERE namespace = 'plant-a' AND service = 'svc-3'"),
         "logs_late_reject": _with(LINES, "SELECT event_id, ts, pod FROM scanned WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 168 HOUR"),
         # joins
         "threshold_lookup": _with(alerts, """SELECT event_id, device_type, sensor_type, wl AS warning_low, wh AS warning_high,
@@ -434,6 +435,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT sample_ts, "count", "count" - coalesce(pc, 0) AS delta, round(CASE WHEN epoch_us(sample_ts) > epoch_us(pt)
             THEN ("count" - coalesce(pc, 0)) / ((epoch_us(sample_ts) - epoch_us(pt)) / 1000000.0::double) END, 6) AS per_second FROM s""",
         "top5_telemetry": _with(TELEMETRY, "SELECT event_id, time, device_id, sensor_id FROM telemetry ORDER BY time DESC, event_id DESC LIMIT 5"),
+        "top5_telemetry_stored": _with(TELEMETRY, "SELECT event_id, time, device_id, sensor_id FROM telemetry ORDER BY time DESC, event_id DESC LIMIT 5"),
+        "top10_unacked_alerts_stored": _with(alerts, f"""SELECT created_at, alert_id, device_id, alert_type, severity, round(value, 6) AS value
+            FROM alerts WHERE NOT ({acknowledged}) ORDER BY created_at DESC, alert_id DESC LIMIT 10"""),
         "top5_alerts": _with(alerts, """SELECT created_at, alert_id, device_id, alert_type, severity, round(value, 6) AS value
             FROM alerts ORDER BY created_at DESC, alert_id DESC LIMIT 5"""),
         "top10_kpis": _with(_tumbling("1 hour"), """SELECT window_start, device_id, sensor_id, kpi_name, kpi_value FROM tumbling
@@ -450,6 +454,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_landing": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers_17} FROM good"),
         "landing_compacted": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, cast(-1 AS integer) AS batch_id, {numbers_17} FROM good"),
         "landing_replayed_after_compaction": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, cast(-1 AS integer) AS batch_id, {numbers_17} FROM good"),
+        "landing_in_flushes": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers} FROM telemetry"),
+        "landing_resumed": _with(TELEMETRY, f"SELECT {columns}, cast(time AS date) AS dt, {numbers} FROM telemetry"),
+        "stream_fan_out": _with(POISON, """SELECT 'landing' AS consumer, device_type AS kind, count(*) AS records FROM good GROUP BY ALL
+            UNION ALL SELECT 'watching', error_type, count(*) FROM poison GROUP BY ALL"""),
         "telemetry_partitions": _with(TELEMETRY, """SELECT cast(time AS date) AS dt, count(*) AS "rows", min(time) AS first_time,
             max(time) AS last_time FROM telemetry GROUP BY ALL"""),
         "retention_30d": _with(TELEMETRY, """SELECT event_id, time, device_id FROM telemetry
@@ -466,6 +474,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (WHERE k % 25 IN (3, 7, 11, 13)) AS lost,
             round(count(*) FILTER (WHERE k % 25 NOT IN (3, 7, 11, 13)) / 60.0::double, 6) AS rate FROM telemetry GROUP BY ALL"""),
         "reconcile_lost": _with(TELEMETRY, "SELECT event_id, device_id AS key FROM telemetry WHERE k % 25 IN (3, 7, 11, 13)"),
+        "reconcile_lost_by_bucket": _with(TELEMETRY, "SELECT event_id, device_id AS key FROM telemetry WHERE k % 25 IN (3, 7, 11, 13)"),
         "bottleneck_class": _with(RUNS, """SELECT run_id, CASE WHEN database_cpu > 800 THEN 'database' WHEN worker_cpu > 800 THEN 'worker'
             WHEN ingestion_cpu > 800 THEN 'ingestion' WHEN errors > sent // 10 THEN 'ingestion' WHEN lag > 1000 THEN 'worker'
             ELSE 'none' END AS bottleneck FROM runs"""),

@@ -527,6 +527,15 @@ def logs_select(spark, sf_dir):
     return logs.select_logs(lines, latest, namespace="plant-a").select("event_id", "ts", "app", "level", "service")
 
 
+@query
+def logs_by_label(spark, sf_dir):
+    """Lines of one service in one namespace, from segments sorted by label."""
+    path = work_dir(spark, "segments")
+    logs.write_segments(logs.enrich(data.log_lines(spark, sf_dir), F.col("namespace")), path)
+    rows = tables.read_table(spark, path).where("namespace = 'plant-a' AND service = 'svc-3'")
+    return rows.select("event_id", "ts", "app", "level", "service")
+
+
 @query
 def logs_late_reject(spark, sf_dir):
     """Lines that are not older than a week at the given moment."""
@@ -746,6 +755,23 @@ def top5_telemetry(spark, sf_dir):
     return rows.select("event_id", "time", "device_id", "sensor_id")
 
 
+@query
+def top5_telemetry_stored(spark, sf_dir):
+    """Newest five rows of the table stored by day, opening the newest days only."""
+    path = work_dir(spark, "by-day")
+    tables.append_rows(data.telemetry(spark, sf_dir), path)
+    return recent.newest_stored(spark, path, 5, tie=("event_id",)).select("event_id", "time", "device_id", "sensor_id")
+
+
+@query
+def top10_unacked_alerts_stored(spark, sf_dir):
+    """Newest ten alerts that nobody has acknowledged, from the alert table stored by day."""
+    path = work_dir(spark, "alerts-by-day")
+    tables.append_rows(alert_table(spark, sf_dir), path, "created_at")
+    rows = recent.newest_stored(spark, path, 10, "created_at", ("alert_id",), ~F.col("acknowledged"))
+    return rows.select("created_at", "alert_id", "device_id", "alert_type", "severity", "value")
+
+
 @query
 def top5_alerts(spark, sf_dir):
     rows = recent.newest(all_alerts(spark, sf_dir), "created_at", ("alert_id",), 5)
@@ -806,6 +832,24 @@ def stream_landing(spark, sf_dir):
     return stored_numbers(ledger.read(spark, path)).drop(tables.BATCH)
 
 
+@query
+def landing_in_flushes(spark, sf_dir):
+    """Telemetry landed from a rate-limited topic in several flushes, the tail included."""
+    return stored_numbers(ledger.read(spark, stream_checks.landed_in_flushes(spark, sf_dir, work_dir(spark, "flushes")))).drop(tables.BATCH)
+
+
+@query
+def landing_resumed(spark, sf_dir):
+    """Telemetry landed by a stream that stops in the middle of the topic and goes on from its checkpoint."""
+    return stored_numbers(ledger.read(spark, stream_checks.landed_and_resumed(spark, sf_dir, work_dir(spark, "resumed")))).drop(tables.BATCH)
+
+
+@query
+def stream_fan_out(spark, sf_dir):
+    """Records by kind of two independent consumers of one topic: what one stored and what the other refused."""
+    return stream_checks.fanned_out(spark, sf_dir, work_dir(spark, "fan-out"))
+
+
 @query
 def telemetry_partitions(spark, sf_dir):
     return lifecycle.partitions(data.telemetry(spark, sf_dir))
@@ -882,6 +926,14 @@ def reconcile_lost(spark, sf_dir):
     return health.lost_records(sent, stored, ("event_id",))
 
 
+@query
+def reconcile_lost_by_bucket(spark, sf_dir):
+    """The sent records that were not stored, found in the buckets whose checksums differ."""
+    sent = data.telemetry(spark, sf_dir).select("event_id", F.col("device_id").alias("key"), F.to_date("time").alias("dt"))
+    stored = messages.good(messages.parse_telemetry(data.messages(spark, sf_dir, corrupt=True))).withColumn("dt", F.to_date("time"))
+    return health.lost_records_by_bucket(sent, stored, ("event_id",)).select("event_id", "key")
+
+
 @query
 def bottleneck_class(spark, sf_dir):
     return health.bottleneck(data.run_samples(spark, sf_dir)).select("run_id", "bottleneck")

@@ -57,6 +57,29 @@ def write_logs(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("namespace", "app").parquet(path)
 
 
+SEGMENT_ORDER = ("namespace", "app", "service", "level")
+
+
+def write_segments(rows: DataFrame, path: str, time: str = "ts", rows_per_group: int = 1 << 20) -> None:
+    """Append lines sorted by label and time, with Bloom filters on service and level.
+
+    A read by label opens the folders of its namespace and app, skips row groups by the bounds of service, level and time
+    and, where the bounds do not tell, by the filters. Range partitioning includes the time, so a service that logs most of
+    the lines is spread over several files.
+    """
+    order = (*SEGMENT_ORDER, time)
+    (
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode("append")
+        .option("parquet.bloom.filter.enabled#service", "true")
+        .option("parquet.bloom.filter.enabled#level", "true")
+        .option("parquet.block.row.count.limit", str(rows_per_group))
+        .partitionBy("namespace", "app")
+        .parquet(path)
+    )
+
+
 def select_logs(
     logs: DataFrame,
     as_of: datetime | Column,

@@ -18,6 +18,16 @@ DEFAULT_BATCH_RECORDS = 1_000_000
 DEFAULT_BATCH_BYTES = 256 * 1024 * 1024
 
 
+# Fixed rule values of the flush policy: this many records, or what came in this time.
+FLUSH_RECORDS = 1000
+FLUSH_DELAY = "150ms"
+
+
+def flush_options(records: int = FLUSH_RECORDS, delay: str = FLUSH_DELAY) -> dict[str, str]:
+    """A micro-batch starts once that many records wait, or once the first of them has waited that long."""
+    return {"minOffsetsPerTrigger": str(records), "maxTriggerDelay": delay}
+
+
 def kafka_options(servers: str, topic: str, extra: Mapping[str, str] | None = None) -> dict[str, str]:
     return {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", **(extra or {})}
 
@@ -45,13 +55,16 @@ def stream_topic(
     max_records: int = DEFAULT_BATCH_RECORDS,
     max_bytes: int = DEFAULT_BATCH_BYTES,
     max_files: int | None = None,
+    flush: tuple[int, str] | None = None,
 ) -> DataFrame:
     """Unbounded (key, value, sequence, arrived_at) from the earliest record on, rate limited per micro-batch.
 
-    Files are limited by size, or by number if ``max_files`` is given.
+    Files are limited by size, or by number if ``max_files`` is given. ``flush`` (records, delay) makes a Kafka micro-batch
+    wait for that many records or for that time, whichever is first, so that small batches do not make small files; the limit
+    above still holds. Use it with a trigger shorter than the delay. Files are complete when they appear and need no waiting.
     """
     if fmt == "kafka":
-        limits = {"maxOffsetsPerTrigger": str(max_records)}
+        limits = {"maxOffsetsPerTrigger": str(max_records), **(flush_options(*flush) if flush else {})}
     else:
         limits = {"maxFilesPerTrigger": str(max_files)} if max_files else {"maxBytesPerTrigger": str(max_bytes)}
     reader = spark.readStream.format(fmt).options(**{**limits, **(options or {})})

@@ -5,9 +5,11 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid import schemas
 from pulsegrid.operators import kpi
 from pulsegrid.plans import jobs
 from pulsegrid.schemas import TELEMETRY_TABLE
+from pulsegrid.sources import ledger
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -187,3 +189,97 @@ def test_a_third_run_leaves_windows_outside_the_lateness_alone(spark, control, t
     jobs.run_kpi_job(spark, telemetry(spark, [*rows, (9, at(1) - timedelta(minutes=5), one)]), out, control, as_of=at(3), lateness=timedelta(minutes=30))
     found = jobs.read_kpis(spark, out).where("kpi_name = 'temperature_count'").orderBy("window_start").collect()
     assert [r["kpi_value"] for r in found] == [1, 1, 1]
+
+
+def figures_of(rows):
+    return {(r.sensor_id, r.kpi_name): (r.kpi_value, r.sample_count) for r in rows.collect()}
+
+
+def test_merged_partials_equal_one_aggregate(spark):
+    """Whatever the parts; large values that lie close together keep their digits."""
+    rows = spark.range(4000).selectExpr(
+        "'d' AS device_id", "'m' AS device_type", "concat('s', id % 3) AS sensor_id", "element_at(array('temperature', 'vibration', 'power'), cast(id % 3 AS int) + 1) AS sensor_type",
+        "timestamp_seconds(1704067200 + (id * 7919) % 4000) AS time", "id AS event_id", "1e9 + (id * 31 % 101) / 10 AS v", "id % 7 AS part",
+    )
+    want = figures_of(kpi.kpis_long(rows))
+    parts = kpi.partials(rows, ("part", *schemas.KPI_KEYS))
+    got = figures_of(kpi.to_long(kpi.figures(kpi.merged_partials(parts))))
+    assert set(got) == set(want)
+    for key, (value, n) in want.items():
+        assert got[key][1] == n and got[key][0] == pytest.approx(value, rel=1e-7), key
+
+
+@pytest.fixture()
+def merging(spark, tmp_path):
+    """Runs of the job over rows (hour, value, hour of arrival)."""
+    paths = [str(tmp_path / name) for name in ("kpis", "state", "control")]
+    jobs.seed_control(spark, paths[2])
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+    def run(rows, hour):
+        layout = "device_id string, device_type string, sensor_id string, sensor_type string, time timestamp, event_id long, value string, arrived_at timestamp"
+        at = lambda h: start + timedelta(hours=h)
+        made = [("d", "m", "s", "power", at(t), i, f'{{"value": {v}}}', at(a)) for i, (t, v, a) in enumerate(rows)]
+        return jobs.run_merging_job(spark, spark.createDataFrame(made, layout), *paths, at(hour))
+
+    def energy():
+        found = jobs.read_kpis(spark, paths[0]).where("kpi_name = 'power_energy'").collect()
+        return {(r.window_end - start).total_seconds() / 3600 if r.window_end.tzinfo else (r.window_end - start.replace(tzinfo=None)).total_seconds() / 3600: (r.kpi_value, r.sample_count) for r in found}
+
+    run.energy, run.paths = energy, paths
+    return run
+
+
+def test_late_rows_join_their_window_without_a_newer_row(merging):
+    rows = [(1, 1.0, 1), (2, 2.0, 2)]
+    assert merging(rows, 3).advanced
+    rows += [(4, 4.0, 4), (5, 5.0, 5)]
+    merging(rows, 6)
+    assert merging.energy() == {2: (3.0, 2), 5: (9.0, 2)}
+    # one late row for each window, nothing new
+    rows += [(1.5, 10.0, 7), (3, 100.0, 7)]
+    assert not merging(rows, 8).advanced
+    assert merging.energy() == {2: (13.0, 3), 5: (109.0, 3)}
+    # nothing arrived: nothing changes
+    merging(rows, 9)
+    assert merging.energy() == {2: (13.0, 3), 5: (109.0, 3)}
+    # a row that is ahead of its time waits, whenever it arrived
+    rows += [(20, 7.0, 9.5)]
+    merging(rows, 10)
+    assert merging.energy() == {2: (13.0, 3), 5: (109.0, 3)}
+    merging(rows, 21)
+    assert merging.energy() == {2: (13.0, 3), 5: (109.0, 3), 20: (7.0, 1)}
+
+
+@pytest.mark.parametrize("dies_at", ["write_batch", "advance_watermark"])
+def test_a_merging_run_that_dies_counts_once(spark, merging, monkeypatch, dies_at):
+    merging([(1, 1.0, 1)], 2)
+    rows = [(1, 1.0, 1), (0.5, 5.0, 3), (3, 3.0, 3)]
+    real, calls = getattr(jobs, dies_at), []
+
+    def dying(*args, **kwargs):
+        calls.append(args)
+        # the last call of a run marks it as done
+        if dies_at == "write_batch" or len(calls) == 3:
+            raise RuntimeError("driver lost")
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(jobs, dies_at, dying)
+    with pytest.raises(RuntimeError):
+        merging(rows, 4)
+    monkeypatch.setattr(jobs, dies_at, real)
+    # the next run, later, first finishes that one; what came since is the turn of the run after it
+    rows += [(4.5, 40.0, 4.5)]
+    merging(rows, 5)
+    assert merging.energy() == {1: (6.0, 2), 3: (3.0, 1)}
+    merging(rows, 5)
+    assert merging.energy() == {1: (6.0, 2), 3: (3.0, 1), 4.5: (40.0, 1)}
+
+
+def test_only_what_arrived_is_read(spark, merging, tmp_path):
+    """The rows a run scans, by the filter that reaches the file."""
+    merging([(1, 1.0, 1)], 2)
+    assert ledger.read(spark, merging.paths[1], jobs.STATE).count() == 1
+    merging([(1, 1.0, 1), (3, 1.0, 3)], 4)
+    state = ledger.read(spark, merging.paths[1], jobs.STATE)
+    assert sorted(r.n for r in state.collect()) == [1, 1]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid import schemas
-from pulsegrid.operators import lifecycle
+from pulsegrid.operators import health, lifecycle, recent
 from pulsegrid.operators.upsert import deduplicate, merge_into, merge_upsert, read_keyed, upsert_latest
 from pulsegrid.sources import ledger, logs, messages, tables, topics
 
@@ -470,3 +470,68 @@ def test_latest_writes_need_no_sort_aggregate(spark, plan):
     changed = devices.apply_changes(datasets.devices(spark, sf), datasets.device_changes(spark, sf))
     for df in (changed, thresholds.resolve(datasets.threshold_revisions(spark, sf))):
         assert "SortAggregate" not in plan(df)
+
+
+def scanned_rows(df):
+    """Rows that the scans of a query that has run have read from their files."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_logs_by_label_skip_row_groups(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = spark.range(20_000).selectExpr(
+        "'plant' AS namespace", "'app' AS app", "concat('svc-', id % 40) AS service", "if(id % 100 = 0, 'error', 'info') AS level",
+        "timestamp_seconds(id) AS ts", "id AS n",
+    )
+    logs.write_segments(rows, path, rows_per_group=500)
+    for service, want in (("svc-7", 500), ("svc-77", 0)):
+        some = spark.read.parquet(path).where((F.col("namespace") == "plant") & (F.col("service") == service))
+        assert len(some.collect()) == want
+        assert scanned_rows(some) <= 4000
+
+
+def test_flush_by_count_or_age():
+    assert topics.flush_options() == {"minOffsetsPerTrigger": "1000", "maxTriggerDelay": "150ms"}
+    assert topics.flush_options(5, "2s") == {"minOffsetsPerTrigger": "5", "maxTriggerDelay": "2s"}
+
+
+def test_newest_rows_open_the_newest_days(spark, tmp_path, plan):
+    path = str(tmp_path / "t")
+    rows = spark.range(300).selectExpr("timestamp_seconds(1704067200 + id * 3600) AS time", "id AS n", "id % 50 = 1 AS odd")
+    tables.append_rows(rows, path)
+    assert [r.n for r in recent.newest_stored(spark, path, 3).collect()] == [299, 298, 297]
+    top = recent.newest_stored(spark, path, 3)
+    assert top.collect() and scanned_rows(top) == 12  # the last day alone
+    # three that match lie days apart
+    found = recent.newest_stored(spark, path, 3, where=F.col("odd"))
+    assert [r.n for r in found.collect()] == [251, 201, 151]
+    assert recent.newest_stored(spark, path, 1000).count() == 300
+    # rows without time come last, and only where the days hold too few
+    tables.append_rows(spark.createDataFrame([(None, 1000, False)], rows.schema), path)
+    assert [r.n for r in recent.newest_stored(spark, path, 301).collect()][-1] == 1000
+    assert recent.newest_stored(spark, path, 2).count() == 2
+
+
+def test_only_differing_buckets_are_compared(spark):
+    sent = spark.range(2000).selectExpr("id", "date_add(DATE'2024-01-01', cast(id % 5 AS int)) AS dt", "id * 2 AS n")
+    stored = sent.where("id not in (3, 1004)").unionByName(sent.where("id = 7"))
+    lost = health.lost_records_by_bucket(sent, stored, ("id",), buckets=16)
+    assert sorted(r.id for r in lost.collect()) == [3, 1004]
+    assert lost.columns == ["id", "dt", "n"]
+    # with the stored side's sums kept, as a table would have them
+    kept = health.bucket_sums(stored, ("id",), ("dt",), 16)
+    assert sorted(r.id for r in health.lost_records_by_bucket(sent, stored, ("id",), buckets=16, sums=kept).collect()) == [3, 1004]
+    assert health.lost_records_by_bucket(sent, sent, ("id",)).count() == 0
+    assert health.lost_records_by_bucket(sent, sent.limit(0), ("id",), buckets=4).count() == 2000
+    undated = sent.withColumn("dt", F.lit(None).cast("date"))
+    assert [r.id for r in health.lost_records_by_bucket(undated, undated.where("id > 0"), ("id",), buckets=4).collect()] == [0]
