@@ -517,7 +517,7 @@ def test_newest_rows_open_the_newest_days(spark, tmp_path, plan):
     assert [r.n for r in found.collect()] == [251, 201, 151]
     assert recent.newest_stored(spark, path, 1000).count() == 300
     # rows without time come last, and only where the days hold too few
-    tables.append_rows(spark.createDataFrame([(None, 1000, False)], rows.schema), path)
+    tables.append_rows(spark.createDataFrame([(None, 1000, False)], "time timestamp, n long, odd boolean"), path)
     assert [r.n for r in recent.newest_stored(spark, path, 301).collect()][-1] == 1000
     assert recent.newest_stored(spark, path, 2).count() == 2
 
