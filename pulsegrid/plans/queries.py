@@ -182,7 +182,7 @@ def upsert_by_bucket(spark, sf_dir):
     path, rows = f"{work_dir(spark, 'keyed')}/table", readings(spark, sf_dir)
     week = F.least(F.expr("(day(time) - 1) div 8"), F.lit(3))
     for batch in (0, 1, 2, 3, 3):
-        merge_into(spark, path, rows.where(week == batch), ("device_id", "sensor_id"), ("time", "event_id"), "telemetry", batch)
+        merge_into(spark, path, rows.where(week == batch), ("device_id", "sensor_id"), ("time", "event_id"), "telemetry", batch, buckets=16)
     return read_keyed(spark, path)
 
 
@@ -191,8 +191,8 @@ def alerts_upsert_by_bucket(spark, sf_dir):
     """The alert table and a second delivery of all its alerts merged by bucket: rows are replaced, acknowledgement stays."""
     path, keys = f"{work_dir(spark, 'keyed')}/table", ("alert_id", "created_at")
     again = all_alerts(spark, sf_dir).withColumn("message", F.concat(F.lit("again: "), F.col("message")))
-    merge_into(spark, path, alert_table(spark, sf_dir).withColumn("version", F.lit(0)), keys, ("version",), "alerts", 0)
-    merge_into(spark, path, alerts.to_rows(again).withColumn("version", F.lit(1)), keys, ("version",), "alerts", 1, keep=("acknowledged",))
+    merge_into(spark, path, alert_table(spark, sf_dir).withColumn("version", F.lit(0)), keys, ("version",), "alerts", 0, buckets=16)
+    merge_into(spark, path, alerts.to_rows(again).withColumn("version", F.lit(1)), keys, ("version",), "alerts", 1, keep=("acknowledged",), buckets=16)
     return read_keyed(spark, path).select("alert_id", "created_at", "device_id", "alert_type", "severity", "message", "threshold", "value", "acknowledged")
 
 
