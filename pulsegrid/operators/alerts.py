@@ -33,10 +33,11 @@ def with_series_context(
     hot_rows: int | None = HOT_ROWS,
     sizes: DataFrame | None = None,
     order: tuple[str, ...] = EVENT_ORDER,
+    scratch: str | None = None,
 ) -> DataFrame:
     """Adds ``prev_1`` (the sensor's previous reading) and ``stuck`` (the last readings are all equal)."""
     depth = stuck_readings - 1
-    context = with_previous(readings, SERIES_KEYS, order, "v", depth, hot_rows, sizes)
+    context = with_previous(readings, SERIES_KEYS, order, "v", depth, hot_rows, sizes, scratch)
     names = previous_columns(depth)
     equal = ~F.isnan("v")
     for name in names:
@@ -119,7 +120,7 @@ def detect(
 ) -> DataFrame:
     """All alerts of a table of readings (``v`` not null).
 
-    Rapid change and stuck sensor share one shuffle and sort by sensor. The thresholds are looked up
+    Rapid change and stuck sensor share one shuffle and sort by sensor; very long series are found when this is called. The thresholds are looked up
     after it, so that the limits do not travel through the shuffle. Threshold alerts alone do not
     shuffle at all.
     """

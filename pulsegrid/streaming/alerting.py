@@ -2,8 +2,7 @@
 
 ``stream_alerts`` keeps (last value, length of the run of equal values) per sensor in the state
 store. It touches only the sensors that report, which suits short triggers. A micro-batch hands all
-its rows of one sensor to one task; the rate limit of the source (``sources.topics.stream_topic``)
-bounds that number.
+its rows of one sensor to one task, which holds a bounded number of them (``streaming.series``).
 
 ``start_detecting`` runs the batch rules on each micro-batch together with the last readings of the
 sensors in it, kept in buckets of which a batch rewrites those it touches. It needs no Python on the executors and splits a sensor that
@@ -12,15 +11,12 @@ dominates a batch, which suits long triggers, backlogs and replays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.operators.alerts import KINDS, STUCK_READINGS, THRESHOLD, emit, to_rows, with_series_context
 from pulsegrid.operators.ordered import HOT_ROWS
@@ -28,57 +24,34 @@ from pulsegrid.operators.recent import newest_per
 from pulsegrid.operators.thresholds import lookup, resolve
 from pulsegrid.operators.upsert import BUCKET, BUCKETS, with_bucket
 from pulsegrid.schemas import SERIES_KEYS
+from pulsegrid.session import work_dir
 from pulsegrid.sources.messages import alert_messages, bad, good, parse_telemetry, with_reading
 from pulsegrid.sources.tables import BATCH, DAY, drop_folder, with_day, write_batch
 from pulsegrid.sources.topics import stream_to_topic
 from pulsegrid.streaming.landing import FLUSH_INTERVAL, start
+from pulsegrid.streaming.series import BLOCK_ROWS, HELD_ROWS, ROW, SeriesState, milliseconds, with_processor
 
-STATE = "last DOUBLE, run BIGINT"
 WORKER = "stream"
-# Times cross into Python as whole microseconds, which need no zone conversion per group.
-ROW = (
-    "device_id STRING, sensor_id STRING, device_type STRING, sensor_type STRING, "
-    "at BIGINT, event_id BIGINT, v DOUBLE"
-)
-
-
-def _series_update(stuck_readings: int) -> Callable:
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        order = np.lexsort((rows["event_id"].to_numpy(), rows["at"].to_numpy()))
-        if (order[1:] < order[:-1]).any():
-            rows = rows.take(order)
-        last, run = state.get if state.exists else (float("nan"), 0)
-        values = rows["v"].to_numpy(dtype=float)
-        previous = np.concatenate(([last], values[:-1]))
-        breaks = np.flatnonzero(values != previous)  # NaN breaks a run, as does a missing predecessor
-        position = np.arange(len(values))
-        # a run starts at the latest break; before the first one it goes on from the state
-        since = np.searchsorted(breaks, position, side="right") - 1
-        starts = np.where(since >= 0, breaks[since] if len(breaks) else 0, -run)
-        length = position - starts + 1
-        state.update((float(values[-1]), int(length[-1])))
-        yield rows.assign(prev_1=previous, stuck=length >= stuck_readings)
-
-    return update
-
-
-def with_series_state(readings: DataFrame, stuck_readings: int = STUCK_READINGS) -> DataFrame:
-    """Streaming counterpart of ``operators.alerts.with_series_context``."""
+
+
+def with_series_state(
+    readings: DataFrame,
+    stuck_readings: int = STUCK_READINGS,
+    forget_after: timedelta | None = None,
+    held_rows: int = HELD_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Streaming counterpart of ``operators.alerts.with_series_context``.
+
+    With ``forget_after`` the state of a sensor leaves the store that long after its last reading came, by the clock.
+    """
     names = [part.split()[0] for part in ROW.split(", ")]
     rows = (
         readings.withColumn("event_id", F.coalesce("event_id", F.lit(0)))
         .withColumn("at", F.unix_micros("time"))
         .select(*names)
     )
-    context = rows.groupBy(*SERIES_KEYS).applyInPandasWithState(
-        _series_update(stuck_readings),
-        f"{ROW}, prev_1 DOUBLE, stuck BOOLEAN",
-        STATE,
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    context = with_processor(rows, SeriesState(stuck_readings, milliseconds(forget_after), held_rows, block_rows))
     return context.withColumn("time", F.timestamp_micros("at")).drop("at")
 
 
@@ -88,10 +61,13 @@ def stream_alerts(
     created_at: Column | None = None,
     kinds: tuple[str, ...] = KINDS,
     resolve_mode: str = "last",
+    forget_after: timedelta | None = None,
     **rules,
 ) -> DataFrame:
     """Alerts of an unbounded table of readings. Threshold alerts alone need no state."""
-    context = readings if kinds == (THRESHOLD,) else with_series_state(readings, rules.get("stuck_readings", STUCK_READINGS))
+    context = readings
+    if kinds != (THRESHOLD,):
+        context = with_series_state(readings, rules.get("stuck_readings", STUCK_READINGS), forget_after)
     if THRESHOLD in kinds:
         context = lookup(context, resolve(thresholds, resolve_mode), source=thresholds)
     return emit(context, created_at, kinds, **rules)
@@ -159,7 +135,7 @@ def start_detecting(
     spark = readings.sparkSession
     columns = [part.split()[0] for part in TAIL.split(", ")]
     order = ("pos", "time", "event_id")
-    kept_tails = Tails(spark, tails)
+    kept_tails, scratch = Tails(spark, tails), work_dir(spark, "detecting")
 
     def detect(batch: DataFrame, batch_id: int) -> None:
         new = batch.withColumn("event_id", F.coalesce("event_id", F.lit(0))).withColumn("pos", F.lit(0)).select(*columns).persist()
@@ -168,7 +144,7 @@ def start_detecting(
             rows = kept_tails.before(batch_id, touched).unionByName(new)
             if forget_after is not None:
                 rows = _recent_series(rows, forget_after, buckets)
-            context = with_series_context(rows, stuck_readings, hot_rows, order=order).where(F.col("pos") == 0)
+            context = with_series_context(rows, stuck_readings, hot_rows, order=order, scratch=scratch).where(F.col("pos") == 0)
             found = emit(lookup(context, resolve(thresholds, resolve_mode), source=thresholds), created_at, stuck_readings=stuck_readings)
             write_batch(with_day(found, "created_at"), table, batch_id, (DAY,))
             last = newest_per(rows, SERIES_KEYS, stuck_readings - 1, order[0], order[1:])

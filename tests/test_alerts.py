@@ -145,6 +145,39 @@ def test_split_without_keys_spreads_over_tasks(spark, many_chunks):
     assert spread > 1
 
 
+@pytest.mark.parametrize("cached", [False, True])
+def test_chunks_are_cut_once(spark, many_chunks, cached):
+    # every sampling of the range partitions cuts elsewhere, so rows would be lost or doubled if the cuts were made twice
+    df = spark.range(20_000).selectExpr("CAST(id % 50 AS STRING) AS key", "hash(id) AS at", "id AS number", "CAST(id % 3 AS DOUBLE) AS v").repartition(7)
+    df = df.persist() if cached else df
+    want = with_previous(df, ("key",), ("at", "number"), "v", 4, None)
+    for _ in range(3):
+        out = with_previous(df, ("key",), ("at", "number"), "v", 4, 100)
+        assert out.count() == 20_000 and out.exceptAll(want.select(out.columns)).isEmpty()
+    df.unpersist()
+
+
+def test_a_hot_series_decodes_every_payload_once(spark, many_chunks):
+    rows = [("hot" if i % 3 else f"k{i}", i, '{"value": 1.5}') for i in range(300)] + [(None, i, '{"value": 2.5}') for i in range(300, 360)]
+    decoded = spark.sparkContext.accumulator(0)
+
+    def number(text):
+        decoded.add(1)
+        return float(text[10:-1])
+
+    raw = spark.createDataFrame(rows, "key string, at long, value string").repartition(3)
+    df = raw.withColumn("v", F.udf(number, "double")("value"))
+    out = with_previous(df, ("key",), ("at",), "v", 2, 50, sizes=raw)
+    got = {r["at"]: [r["prev_1"], r["prev_2"]] for r in out.collect()}
+    assert got == brute_force([(key, at, at, float(value[10:-1])) for key, at, value in rows], 2)
+    assert decoded.value == len(rows)
+
+
+def test_without_hot_series_one_shuffle(spark, plan):
+    text = plan(alerts.detect(readings(spark, [1.0, 2.0]), datasets.thresholds(spark), F.col("time")))
+    assert text.count("Exchange hashpartitioning(device_id") == 1 and "Exchange rangepartitioning" not in text and "Union" not in text
+
+
 def test_alerts_do_not_depend_on_the_split(spark, many_chunks):
     from pulsegrid.sources.messages import with_reading
 

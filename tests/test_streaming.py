@@ -1,9 +1,12 @@
 """Streams: parity with the batch operators, restarts, crash replay, fan-out."""
 
 import json
+import math
 import os
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from pulsegrid.operators import alerts
 from pulsegrid.operators.upsert import upsert_latest
 from pulsegrid.sources import tables, topics
 from pulsegrid.sources.messages import parse_telemetry, with_reading, good
-from pulsegrid.streaming import alerting, kpis, landing
+from pulsegrid.streaming import alerting, kpis, landing, series
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -156,34 +159,96 @@ def test_threshold_stream_needs_no_state(spark, tmp_path):
     assert keys(spark.read.parquet(f"{tmp_path}/out")) == expected
 
 
-def test_state_update_function():
-    import pandas as pd
+class Blocks(dict):
+    """Stands in for the map state."""
 
-    class State:
-        exists, value = False, None
+    most = 0
 
-        @property
-        def get(self):
-            return self.value
+    def updateValue(self, key, value):
+        self[key] = value
+        self.most = max(self.most, len(self))
 
-        def update(self, value):
-            self.exists, self.value = True, value
+    def getValue(self, key):
+        return self[key]
 
-    state, update = State(), alerting._series_update(3)
+    def removeKey(self, key):
+        del self[key]
+
+
+def series_rows(pairs):
+    return pd.DataFrame({"at": [t for t, _ in pairs], "event_id": 0, "v": [float(v) for _, v in pairs]})
+
+
+def test_state_goes_on_over_batches():
+    state = (float("nan"), 0)
 
     def feed(*batches):
-        frames = [pd.DataFrame({"at": [t for t, _ in b], "event_id": 0, "v": [float(v) for _, v in b]}) for b in batches]
-        (out,) = update(("d", "s"), iter(frames), state)
+        nonlocal state
+        (rows,) = series.in_order(map(series_rows, batches), Blocks())
+        out, *state = series.advance(rows, *state, 3)
         return list(zip(out["prev_1"].astype(object).where(out["prev_1"].notna(), None), out["stuck"].tolist()))
 
     nan = float("nan")
     assert feed([(2, 5), (1, 4)], [(3, 5)]) == [(None, False), (4.0, False), (5.0, False)]
-    assert state.value == (5.0, 2)
+    assert state == [5.0, 2]
     assert feed([(4, 5), (5, 5), (6, 1)]) == [(5.0, True), (5.0, True), (5.0, False)]
     assert [stuck for _, stuck in feed([(7, nan), (8, nan), (9, nan), (10, nan)])] == [False] * 4
     assert [stuck for _, stuck in feed([(11, 2), (12, 2), (13, 2)])] == [False, False, True]
 
 
+@pytest.mark.parametrize("span", [1, 7, 5000])
+@pytest.mark.parametrize("held_rows", [1, 64, 100, 1_000_000])
+def test_long_series_are_merged_from_blocks(span, held_rows):
+    random = np.random.default_rng(span)
+    rows = pd.DataFrame({"at": random.integers(0, span, 1000), "event_id": random.permutation(1000), "v": random.random(1000)})
+    blocks = Blocks()
+    frames = [rows.iloc[i:i + 50] for i in range(0, 1000, 50)]
+    pieces = list(series.in_order(frames, blocks, held_rows, 16))
+    want = rows.sort_values(["at", "event_id"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(pd.concat(pieces, ignore_index=True), want)
+    assert not blocks and bool(blocks.most) == (held_rows <= 1000)
+    if held_rows <= 1000:
+        assert max(map(len, pieces)) <= 16 * -(-1000 // max(held_rows, 50))  # one block of each run at most
+
+
+def test_no_rows_no_pieces():
+    assert list(series.in_order([], Blocks())) == []
+    assert list(series.in_order([series_rows([])], Blocks())) == []
+
+
+def stored_alerts(spark, tmp_path, batches, **options):
+    """Rapid changes and runs by the keyed state, one file a batch; ``batches`` are lists of (device, hour, value)."""
+    folder = str(tmp_path / "readings")
+    layout = "event_id long, time timestamp, device_id string, device_type string, sensor_id string, sensor_type string, v double"
+    progress = []
+    for n, batch in enumerate(batches):
+        rows = [(i, T0 + timedelta(hours=h), d, "motor", "s", "power", v) for i, (d, h, v) in enumerate(batch)]
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(folder)
+        context = alerting.with_series_state(spark.readStream.schema(layout).parquet(folder), **options)
+        progress.append(drain(write_stream(context, str(tmp_path))).recentProgress)
+    return spark.read.parquet(f"{tmp_path}/out"), progress
+
+
+def test_a_series_beyond_the_held_rows_equals_the_batch_rules(spark, tmp_path):
+    order = np.random.default_rng(3).permutation(400)
+    batches = [[("a", int(h), float(h // 6 % 4)) for h in order if h < 250] + [("b", 1, 2.0)], [("a", int(h), float(h // 6 % 4)) for h in order if h >= 250]]
+    found, progress = stored_alerts(spark, tmp_path, batches, held_rows=40, block_rows=8)
+    layout = "device_id string, sensor_id string, event_id long, time timestamp, v double"
+    whole = spark.createDataFrame([(d, "s", 0, T0 + timedelta(hours=h), v) for b in batches for d, h, v in b], layout)
+    want = alerts.with_series_context(whole, hot_rows=None)
+    columns = ["device_id", "time", "v", "prev_1", "stuck"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    # what is left of both batches is one row of state per sensor
+    assert progress[-1][-1].stateOperators[0].numRowsTotal == 2
+
+
+@pytest.mark.parametrize(("forget_after", "previous"), [(None, 1.0), (timedelta(milliseconds=1), None), (timedelta(hours=1), 1.0)])
+def test_state_of_silent_sensors_leaves_the_store(spark, tmp_path, forget_after, previous):
+    found, _ = stored_alerts(spark, tmp_path, [[("a", 0, 1.0)], [("a", 1, 50.0)]], forget_after=forget_after)
+    row = found.where("v = 50").first()
+    assert (None if row.prev_1 is None or math.isnan(row.prev_1) else row.prev_1) == previous
+
+
 def test_landing_and_quarantine(spark, tmp_path):
     folder = str(tmp_path / "in")
     rows = write_messages(spark, folder, 3)
