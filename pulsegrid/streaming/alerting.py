@@ -43,7 +43,8 @@ def with_series_state(
 ) -> DataFrame:
     """Streaming counterpart of ``operators.alerts.with_series_context``.
 
-    With ``forget_after`` the state of a sensor leaves the store that long after its last reading came, by the clock.
+    With ``forget_after`` the state of a sensor leaves the store that long after its last reading came, by the clock. Such a stream
+    runs empty batches to that end; to drain it with ``availableNow``, set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
     """
     names = [part.split()[0] for part in ROW.split(", ")]
     rows = (
