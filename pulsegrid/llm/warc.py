@@ -82,8 +82,10 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("id", F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(hexes, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">")))
     rows = rows.withColumn("frames", frames).withColumn("blocks", blocks)
     total = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b))
-    parts = rows.withColumn("total", total).select("*", F.posexplode("blocks").alias("at", "block"))
-    one, first, last = F.size("blocks") == 1, F.col("at") == 0, F.col("at") == F.size("blocks") - 1
+    # a segment's row has its own block alone: with all of them, rows would grow with the square of a page's length
+    rows = rows.withColumns({"total": total, "segments": F.size("blocks")})
+    parts = rows.select("page_id", "url", "digest", "first", "revisit", "id", "total", "segments", F.posexplode("blocks").alias("at", "block"))
+    one, first, last = F.col("segments") == 1, F.col("at") == 0, F.col("at") == F.col("segments") - 1
     kind = F.when(~first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")
     own_id = F.when(first, F.col("id")).otherwise(F.concat(F.expr("substring(id, 1, length(id) - 1)"), F.lit("/"), (F.col("at") + 1).cast("string"), F.lit(">")))
     head = F.concat(

@@ -78,3 +78,9 @@ def test_a_missing_segment_is_an_error(spark, pages, tmp_path):
     warc.records(pages).where("value not like '%WARC-Segment-Number: 2%'").write.option("lineSep", "\r\n\r\n").text(path)
     with pytest.raises(Exception, match="is not complete"):
         warc.read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)).collect()
+
+
+def test_segments_do_not_carry_the_whole_page(pages, plan):
+    """Of the columns beside the generated ones none is an array or text of a page's length."""
+    carried = [line.split("), ", 1)[1] for line in plan(warc.records(pages)).splitlines() if "Generate posexplode(blocks" in line]
+    assert carried and not any(name in line for line in carried for name in ("blocks#", "frames#", "html#"))
