@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ BLOCK_BITS = 13
 # bytes that are read before the online parts start anew
 SEGMENT = 4096
 # bytes of text of one pass, and segments that are read in step
-STEP_BYTES = 8 << 20
-LANES = 1024
+STEP_BYTES = 16 << 20
+LANES = 2048
 END = 0xFF
 # what a bit counts beyond its count, and the logits' unit and bound as they are sent
 PRIOR = 0.03
@@ -49,7 +50,14 @@ FIX_RATE = np.float32(0.03)
 LEAST = np.float32(1 / 8192)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SHIFTS = np.arange(8, 0, -1, dtype=np.uint32)[:, None]
+_BYTES = np.arange(256, dtype=np.uint32)[:, None]
+# of each byte its bits, what they teach a state (three quarters of it stay), and the hashed tree nodes before them: a 1 and the bits above
+_BITS = (_BYTES >> np.arange(7, -1, -1, dtype=np.uint32) & np.uint32(1)).astype(np.float32)
+_TEACH = (_BITS * 66).astype(np.int8)
+_SPREAD = np.uint32(0x85EBCA6B)
+_NODES = ((_BYTES + np.uint32(256)) >> np.arange(8, 0, -1, dtype=np.uint32)) * np.uint32(0x9E3779B1) * _SPREAD
+# lower case, and one kind of blank
+_PLAIN = bytes(0x20 if b in b"\t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END_WORD = W.mix(np.array([END], dtype=np.uint64))[0]
 
 # the text's own predictor: a slot's state is a logit of 64 steps of an eighth, each bit moves it a quarter of the way to the end
@@ -60,45 +68,50 @@ class Stream:
     """Lower-cased units of some texts: each word and the blank or, behind a text's last word, the end that follows it."""
 
     def __init__(self, column: pa.Array):
-        texts = W.Texts(column)
-        words = texts.words()
+        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
+        # a blank behind every text, so that no word reaches into the next one
+        texts = W.Texts(pc.binary_join_element_wise(pc.fill_null(column, ""), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
         self.n = texts.n
-        none = words.per_text == 0
-        starts = np.insert(words.starts, words.first[:-1][none], 0)
-        self.length = np.insert(words.ends - words.starts, words.first[:-1][none], 0) + 1
-        units = np.maximum(words.per_text, 1)
+        data = np.frombuffer(texts.data.tobytes().translate(_PLAIN), dtype=np.uint8)
+        blank = data == 0x20
+        kept = ~blank
+        # the blank behind each word, and that of a text without words
+        behind = np.flatnonzero(blank[1:] & kept[:-1]) + 1
+        per_text = np.diff(np.searchsorted(behind, texts.begin))
+        kept[behind] = True
+        kept[texts.begin[1:][per_text == 0] - 1] = True
+        units = np.maximum(per_text, 1)
         self.owner = np.repeat(np.arange(texts.n), units)
-        data = np.append(texts.data, np.uint8(0))[W.ragged(starts, self.length)]
-        data[(data >= 65) & (data <= 90)] += 32
-        ends = np.cumsum(self.length)
-        data[ends - 1] = 0x20
-        data[ends[np.cumsum(units) - 1] - 1] = END
-        self.data = data
-        self.begin = np.append(0, ends[np.cumsum(units) - 1])
-        hashes = W.mix(W.hash_segments(data, ends - self.length))
-        _, sample, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        data = data[kept]
+        ends = np.flatnonzero(data == 0x20) + 1
+        last = ends[np.cumsum(units) - 1]
+        data[last - 1] = END
+        self.data, self.begin, self.length = data, np.append(0, last), np.diff(ends, prepend=0)
         # the distinct units, one after the other
-        self.unit_length = self.length[sample]
-        self.unit_first = np.cumsum(self.unit_length) - self.unit_length
-        self.unit_data = data[W.ragged((ends - self.length)[sample], self.unit_length)]
+        spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)]).dictionary_encode()
+        self.which = spans.indices.to_numpy()
+        _, offsets, distinct = spans.dictionary.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[: len(spans.dictionary) + 1]
+        self.unit_length, self.unit_first = np.diff(offsets), offsets[:-1]
+        self.unit_data = np.frombuffer(distinct, dtype=np.uint8)[: offsets[-1]]
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """Per byte of the distinct units the keys of the two counted contexts: 48 bits of hash, then the byte."""
         data, length = self.unit_data, self.unit_length
         place = W.ragged(np.zeros(len(length), dtype=np.int64), length)
-        three = np.zeros(len(data), dtype=np.uint64)
+        three = np.zeros(len(data), dtype=np.uint32)
         for back in (3, 2, 1):
-            shifted = np.zeros(len(data), dtype=np.uint64)
-            shifted[back:] = data[:-back] if len(data) > back else 0
-            shifted[place < back] = 256
-            three = three << np.uint64(9) | shifted
-        value = W.byte_values(data, place % 4096)
+            shifted = np.full(len(data), 256, dtype=np.uint32)
+            np.copyto(shifted[back:], data[:-back], where=place[back:] >= back)
+            three <<= np.uint32(9)
+            three |= shifted
+        value = W.byte_values(data, place % 4096 if int(length.max(initial=0)) > 4096 else place)
         with np.errstate(over="ignore"):
             if int(length.max(initial=0)) > 4096:
                 value *= W.mix((place // 4096).astype(np.uint64)) | np.uint64(1)
             upto = np.cumsum(value) - value
             word = upto - np.repeat(upto[self.unit_first], length) + place.astype(np.uint64) * _ODD
-            return tuple(W.mix(context + np.uint64(k + 1) * _ODD) >> np.uint64(16) << np.uint64(8) | data for k, context in enumerate((three, word)))
+            return tuple(W.mix(context + np.uint64(k + 1) * _ODD) >> np.uint64(16) << np.uint64(8) | data for k, context in enumerate((three.astype(np.uint64), word)))
 
     def unit_words(self) -> np.ndarray:
         """Hash of the word of each distinct unit that has one."""
@@ -129,8 +142,18 @@ def _spread(data: bytes, kind, width: int, rising: bool = False) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if rising else values
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in rising order, and which one each key is; only the distinct ones are sorted."""
+    found = pa.array(keys).dictionary_encode()
+    unique = found.dictionary.to_numpy()
+    order = np.argsort(unique)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return unique[order], rank[found.indices.to_numpy()]
+
+
 def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, which = np.unique(keys, return_inverse=True)
+    unique, which = _distinct(keys)
     return unique, np.bincount(which, weights=counts, minlength=len(unique)).astype(np.int64)
 
 
@@ -206,7 +229,7 @@ def _answered(table: pa.Table) -> pa.Table:
     def summed(name: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [_spread(x, np.uint64, 8, True) for x in column[name]]
         given = np.concatenate([_spread(x, np.int64, 8) for x in column[counts]])
-        unique, which = np.unique(np.concatenate(parts), return_inverse=True)
+        unique, which = _distinct(np.concatenate(parts))
         total = np.bincount(which, weights=given, minlength=len(unique)).astype(np.int64)
         return unique, total, which, np.cumsum([0, *map(len, parts)])
 
@@ -225,113 +248,151 @@ def _answered(table: pa.Table) -> pa.Table:
     })
 
 
-def costs(rows: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+def costs(three: np.ndarray, word: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each segment ``data[begin:begin + length]``.
 
-    ``rows[place[i]]`` are the 16 logits (two predictors, eight bits) of byte i, ``recent[i]`` is the hash of the bytes before.
-    Segments of like length are read in step, as many as keep their tables in the processor's cache.
+    ``three[place[i]]`` and ``word[place[i]]`` are the eight logits of byte i that the two counted predictors give, as one number,
+    ``recent[i]`` is the hash of the bytes before. Segments of like length are read in step, as many as keep their tables in the
+    processor's cache.
     """
     out = np.empty(len(begin), dtype=np.float64)
     order = np.argsort(-length, kind="stable")
     for a in range(0, len(order), LANES):
         some = order[a : a + LANES]
-        out[some] = _in_step(rows, place, data, recent, begin[some], length[some])
+        out[some] = _in_step(three, word, place, data, recent, begin[some], length[some])
     return out
 
 
-def _in_step(rows: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _in_step(three: np.ndarray, word: np.ndarray, place: np.ndarray, data: np.ndarray, recent: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """``costs`` of a few segments, the longest first.
 
     All bits of a byte are mixed at once: each has weights of its own, and what the byte teaches is used from the next one on.
+    Arrays are by lane, then bit, so what depends on the byte alone is a row of a table. Logits are in ``UNIT``; the weights are
+    divided by it and have the other sign. Of a predictor's two sets of weights the one in use lies in ``weights``.
     """
-    lanes, inputs = len(begin), len(WEIGHTS)
-    total = np.zeros(lanes, dtype=np.float64)
-    own = np.full(lanes << SLOT_BITS, 32, dtype=np.uint8)
-    weights = np.empty((inputs, 8, lanes), dtype=np.float32)
-    weights[:] = np.array(WEIGHTS, dtype=np.float32)[:, None, None]
+    lanes = len(begin)
+    total, product = np.zeros(lanes, dtype=np.float64), np.ones(lanes, dtype=np.float64)
+    own = np.full(lanes << SLOT_BITS, 32, dtype=np.int8)
+    first = -np.array(WEIGHTS, dtype=np.float32) / np.float32(UNIT)
+    weights, unused = np.empty((3, lanes, 8), dtype=np.float32), np.empty((2, lanes, 8), dtype=np.float32)
+    weights[:], unused[:] = first[[1, 2, 4], None, None], first[[0, 3], None, None]
+    # eight weights as one value, to swap them
+    used, spare = weights[:2].view("V32").ravel(), unused.view("V32").ravel()
+    gates, gate = np.zeros((2, lanes), dtype=bool), np.zeros((2, lanes), dtype=bool)
     middle = (np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 2
-    fixed = np.repeat(np.tile(1 / (1 + np.exp(-middle)), 8).astype(np.float32), lanes)
-    lane = np.arange(lanes)
-    lane_slot, lane_bucket = lane << SLOT_BITS, lane + (np.arange(8) * BUCKETS * lanes)[:, None]
+    fixed = np.tile(1 / (1 + np.exp(-middle)), 8 * lanes).astype(np.float32)
+    lane_slot = np.repeat(np.arange(lanes, dtype=np.uint32) << np.uint32(SLOT_BITS), 8)
+    lane_bucket = np.arange(8 * lanes) * BUCKETS
+    # int8 logits and states, the same as floats, and what a step computes from them
+    read, inputs = np.empty((3, 8 * lanes), dtype=np.int8), np.empty((3, 8 * lanes), dtype=np.float32)
+    states, floats, places = np.empty(8 * lanes, dtype=np.int8), np.empty((4, 8 * lanes), dtype=np.float32), np.empty((2, 8 * lanes), dtype=np.int64)
     going = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), "left").tolist()
+    rate, half, one, sides, middle_bucket = MIX_RATE / np.float32(UNIT * UNIT), np.float32(0.5), np.float32(1), np.float32(-2), np.float32(BUCKETS / 2)
     m = -1
     for t, active in enumerate(going):
         if active != m:
-            m = active
-            x, w = np.empty((inputs, 8, m), dtype=np.float32), weights[:, :, :m]
+            m, n = active, 8 * active
+            r, x, w = read[:, :n], inputs[:, :n], weights.reshape(3, -1)[:, :n]
+            dot, p, q, error = floats[:, :n]
+            slot, where = places[:, :n]
+            state, new, certain = states[:n], gate[0, :m], gate[1, :m]
         at = begin[:m] + t
         byte = data.take(at)
-        bits = np.unpackbits(byte[None], axis=0)
-        y = bits.astype(np.float32)
-        counted = np.ascontiguousarray(rows.take(place.take(at), axis=0).T).reshape(2, 8, m)
-        # the tree node before each bit: a 1 and the bits above
-        slot = (byte.astype(np.uint32) + np.uint32(256)) >> _SHIFTS
-        slot *= np.uint32(0x9E3779B1)
-        slot += recent.take(at)
-        slot *= np.uint32(0x85EBCA6B)
-        slot >>= np.uint32(32 - SLOT_BITS)
-        slot = slot + lane_slot[:m]
-        state = own.take(slot)
-        sure = np.abs(counted[1, 0])
-        new, certain = (sure == 0) * np.float32(1 / UNIT), (sure > SURE) * np.float32(1 / UNIT)
-        np.multiply(counted[0], new, out=x[0])
-        np.multiply(counted[0], np.float32(1 / UNIT) - new, out=x[1])
-        np.multiply(counted[1], np.float32(1 / UNIT) - certain, out=x[2])
-        np.multiply(counted[1], certain, out=x[3])
-        np.multiply(state, np.float32(0.125), out=x[4])
-        x[4] -= np.float32(31.5 / 8)
-        dot = np.einsum("kbm,kbm->bm", w, x)
-        p = np.exp(-dot)
-        p += 1
+        y, teach, slots = (table.take(byte, axis=0).reshape(n) for table in (_BITS, _TEACH, _NODES))
+        unit = place.take(at)
+        three.take(unit, out=r[0].view(np.uint64), mode="clip")
+        word.take(unit, out=r[1].view(np.uint64), mode="clip")
+        slots += recent.take(at).repeat(8)
+        slots >>= np.uint32(32 - SLOT_BITS)
+        slots += lane_slot[:n]
+        slot[:] = slots
+        own.take(slot, out=state, mode="clip")
+        # an eighth of a logit for each state beyond the middle
+        np.add(state, state, out=r[2])
+        r[2] -= np.int8(63)
+        x[:] = r
+        sure = np.abs(r[1][::8])
+        np.equal(sure, 0, out=new)
+        np.greater(sure, SURE, out=certain)
+        turned = (gate != gates).ravel().nonzero()[0]
+        gates[:] = gate
+        kept = used.take(turned)
+        used[turned] = spare.take(turned)
+        spare[turned] = kept
+        np.einsum("kn,kn->n", w, x, out=dot)
+        np.exp(dot, out=p)
+        p += one
         np.reciprocal(p, out=p)
-        np.clip(dot, -7.99, 7.99, out=dot)
-        dot += np.float32(BUCKETS / 4)
-        dot *= 2
-        where = dot.astype(np.int64)
-        where *= lanes
-        where += lane_bucket[:, :m]
-        q = fixed.take(where)
-        final = (p + q) * np.float32(0.5)
-        final -= y
+        dot.clip(-7.99, 7.99, out=dot)
+        dot *= sides
+        dot += middle_bucket
+        where[:] = dot
+        where += lane_bucket[:n]
+        fixed.take(where, out=q, mode="clip")
+        np.add(p, q, out=dot)
+        dot *= half
+        dot -= y
         # the chance that the bit that came was given
-        chance = np.clip(1 - np.abs(final), LEAST, 1 - LEAST)
-        total[:m] += np.log(np.multiply.reduce(chance, axis=0).astype(np.float64))
-        fixed[where] = q + (y - q) * FIX_RATE
-        np.subtract(y, p, out=p)
-        p *= MIX_RATE
+        np.abs(dot, out=dot)
+        np.subtract(one, dot, out=dot)
+        dot.clip(LEAST, 1 - LEAST, out=dot)
+        product[:m] *= np.multiply.reduce(np.ascontiguousarray(dot.reshape(m, 8).T), axis=0)
+        # eight bytes of the least chances still are a number
+        if t % 8 == 7:
+            total += np.log(product)
+            product[:] = 1
+        np.subtract(y, q, out=error)
+        error *= FIX_RATE
+        error += q
+        fixed[where] = error
+        p -= y
+        p *= rate
         x *= p
         w += x
-        state *= np.uint8(3)
-        state += bits * np.uint8(66)
-        state >>= np.uint8(2)
+        teach -= state
+        teach >>= np.int8(2)
+        state += teach
         own[slot] = state
-    return total
+    return total + np.log(product)
 
 
 def _recent(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Hash of the four bytes before each byte, within its text."""
-    place = np.arange(len(data)) - np.repeat(begin[:-1], np.diff(begin))
-    out = np.zeros(len(data), dtype=np.uint32)
-    with np.errstate(over="ignore"):
-        for back in (1, 2, 3, 4):
-            shifted = np.zeros(len(data), dtype=np.uint32)
-            shifted[back:] = data[:-back] if len(data) > back else 0
-            out = out * np.uint32(0x01000193) + np.where(place >= back, shifted, np.uint32(256))
-        return out * np.uint32(0xC2B2AE35)
+    """Hash of the four bytes before each byte, within its text, spread as ``_NODES`` are."""
+
+    def hashed(before: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(before[0]), dtype=np.uint32)
+        for values in before:
+            out *= np.uint32(0x01000193)
+            out += values
+        out *= np.uint32(0xC2B2AE35)
+        out *= _SPREAD
+        return out
+
+    n = len(data)
+    padded = np.concatenate([np.zeros(4, dtype=np.uint8), data])
+    out = hashed([padded[4 - back : 4 - back + n] for back in (1, 2, 3, 4)])
+    # the bytes at the head of a text have others before them
+    length = np.minimum(np.diff(begin), 4)
+    head, place = W.ragged(begin[:-1], length), W.ragged(np.zeros(len(length), dtype=np.int64), length)
+    out[head] = hashed([np.where(place >= back, padded[head + 4 - back], np.uint32(256)) for back in (1, 2, 3, 4)])
+    return out
 
 
 def _score(texts: pa.Array, keys: np.ndarray, rows: np.ndarray, words: np.ndarray, word_counts: np.ndarray) -> dict[str, np.ndarray]:
     stream = Stream(texts)
-    table = np.empty((len(stream.unit_data), 2, 8), dtype=np.int8)
-    for k, asked in enumerate(stream.contexts()):
-        unique, which = np.unique(asked, return_inverse=True)
-        table[:, k] = rows[np.searchsorted(keys, unique)][which]
-    place = W.ragged(stream.unit_first[stream.which], stream.length)
+    tables = []
+    for asked in stream.contexts():
+        unique, which = _distinct(asked)
+        # the eight logits as one number
+        tables.append(rows.view(np.uint64).ravel()[np.searchsorted(keys, unique)][which])
+    begin = np.cumsum(stream.length) - stream.length
+    place = np.repeat((stream.unit_first[stream.which] - begin).astype(np.int32), stream.length)
+    place += np.arange(len(place), dtype=np.int32)
     sizes = np.diff(stream.begin)
     parts = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(stream.n), parts)
     inner = W.ragged(np.zeros(stream.n, dtype=np.int64), parts) * SEGMENT
-    cost = costs(table.reshape(-1, 16), place, stream.data, _recent(stream.data, stream.begin), stream.begin[owner] + inner, np.minimum(sizes[owner] - inner, SEGMENT))
+    cost = costs(*tables, place, stream.data, _recent(stream.data, stream.begin), stream.begin[owner] + inner, np.minimum(sizes[owner] - inner, SEGMENT))
     is_word = stream.unit_length > 1
     count = np.zeros(len(is_word), dtype=np.int64)
     count[is_word] = word_counts[np.searchsorted(words, stream.unit_words())]
