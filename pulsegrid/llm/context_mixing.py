@@ -33,9 +33,14 @@ from pulsegrid.llm.common import bounded_batches, store
 BLOCK_BITS = 13
 # bytes that are read before the online parts start anew
 SEGMENT = 4096
-# bytes of text of one pass, and segments that are read in step
+# bytes of text of one pass that counts and of one that scores, those of distinct units whose contexts are made at once, and
+# segments that are read in step
 STEP_BYTES = 16 << 20
-LANES = 2048
+READ_BYTES = 8 << 20
+PART_BYTES = 1 << 20
+LANES = 640
+# steps that are looked up at once, a multiple of 8
+AHEAD = 16
 END = 0xFF
 # what a bit counts beyond its count, and the logits' unit and bound as they are sent
 PRIOR = 0.03
@@ -64,30 +69,10 @@ _END_WORD = W.mix(np.array([END], dtype=np.uint64))[0]
 SLOT_BITS = 12
 
 
-class Stream:
-    """Lower-cased units of some texts: each word and the blank or, behind a text's last word, the end that follows it."""
+class Units:
+    """The distinct ones of units that lie one after the other and end at ``ends``; ``which`` says which one each is."""
 
-    def __init__(self, column: pa.Array):
-        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
-        # a blank behind every text, so that no word reaches into the next one
-        texts = W.Texts(pc.binary_join_element_wise(pc.fill_null(column, ""), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
-        self.n = texts.n
-        data = np.frombuffer(texts.data.tobytes().translate(_PLAIN), dtype=np.uint8)
-        blank = data == 0x20
-        kept = ~blank
-        # the blank behind each word, and that of a text without words
-        behind = np.flatnonzero(blank[1:] & kept[:-1]) + 1
-        per_text = np.diff(np.searchsorted(behind, texts.begin))
-        kept[behind] = True
-        kept[texts.begin[1:][per_text == 0] - 1] = True
-        units = np.maximum(per_text, 1)
-        self.owner = np.repeat(np.arange(texts.n), units)
-        data = data[kept]
-        ends = np.flatnonzero(data == 0x20) + 1
-        last = ends[np.cumsum(units) - 1]
-        data[last - 1] = END
-        self.data, self.begin, self.length = data, np.append(0, last), np.diff(ends, prepend=0)
-        # the distinct units, one after the other
+    def __init__(self, ends: np.ndarray, data: np.ndarray):
         spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(data)]).dictionary_encode()
         self.which = spans.indices.to_numpy()
         _, offsets, distinct = spans.dictionary.buffers()
@@ -95,9 +80,11 @@ class Stream:
         self.unit_length, self.unit_first = np.diff(offsets), offsets[:-1]
         self.unit_data = np.frombuffer(distinct, dtype=np.uint8)[: offsets[-1]]
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per byte of the distinct units the keys of the two counted contexts: 48 bits of hash, then the byte."""
-        data, length = self.unit_data, self.unit_length
+    def contexts(self, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Per byte of the distinct units, or of some, the keys of the two counted contexts: 48 bits of hash, then the byte."""
+        first, length = self.unit_first[some], self.unit_length[some]
+        begin = int(first[0]) if len(first) else 0
+        data, first = self.unit_data[begin : begin + int(length.sum())], first - begin
         place = W.ragged(np.zeros(len(length), dtype=np.int64), length)
         three = np.zeros(len(data), dtype=np.uint32)
         for back in (3, 2, 1):
@@ -110,7 +97,7 @@ class Stream:
             if int(length.max(initial=0)) > 4096:
                 value *= W.mix((place // 4096).astype(np.uint64)) | np.uint64(1)
             upto = np.cumsum(value) - value
-            word = upto - np.repeat(upto[self.unit_first], length) + place.astype(np.uint64) * _ODD
+            word = upto - np.repeat(upto[first], length) + place.astype(np.uint64) * _ODD
             return tuple(W.mix(context + np.uint64(k + 1) * _ODD) >> np.uint64(16) << np.uint64(8) | data for k, context in enumerate((three.astype(np.uint64), word)))
 
     def unit_words(self) -> np.ndarray:
@@ -122,6 +109,32 @@ class Stream:
         return W.hash_spans(masked, first, first + self.unit_length[some] - 1)
 
 
+class Stream(Units):
+    """Lower-cased units of some texts: each word and the blank or, behind a text's last word, the end that follows it."""
+
+    def __init__(self, column: pa.Array):
+        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_string())
+        # a blank behind every text, so that no word reaches into the next one
+        texts = W.Texts(pc.binary_join_element_wise(pc.fill_null(column, ""), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
+        self.n = texts.n
+        data = np.frombuffer(texts.data.tobytes().translate(_PLAIN), dtype=np.uint8)
+        blank = data == 0x20
+        kept = ~blank
+        # the blank behind each word, and that of a text without words
+        behind = np.flatnonzero(blank[1:] & kept[:-1]) + 1
+        per_text = np.diff(np.searchsorted(behind, texts.begin))
+        kept[behind] = True
+        kept[texts.begin[1:][per_text == 0] - 1] = True
+        units = np.maximum(per_text, 1)
+        self.owner = np.repeat(np.arange(texts.n), units)
+        data = data[kept]
+        ends = np.flatnonzero(data == 0x20) + 1
+        last = ends[np.cumsum(units) - 1]
+        data[last - 1] = END
+        self.data, self.begin, self.length = data, np.append(0, last), np.diff(ends, prepend=0)
+        super().__init__(ends, data)
+
+
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -159,30 +172,54 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _asked(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Distinct contexts and words of each block with their counts in its training documents, by shard."""
-    block, held = None, []
+    block, held, units = None, [], []
     for batch in W.passes(batches, limit=STEP_BYTES):
         numbers = batch.column("block").to_numpy()
         cuts = np.flatnonzero(np.diff(numbers)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
             if block is not None and numbers[a] != block:
-                yield _sent(block, held, shards)
-                held = []
+                yield _sent(block, [*held, *_counted(units)], shards)
+                held, units = [], []
             block = int(numbers[a])
             part = batch.slice(a, b - a)
             stream = Stream(part.column("text"))
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
             count = np.bincount(stream.which, weights=train[stream.owner], minlength=len(stream.unit_length)).astype(np.int64)
-            weight = np.repeat(count, stream.unit_length)
-            found = [_sums(keys, weight) for keys in stream.contexts()]
-            words = np.append(stream.unit_words(), _END_WORD)
-            counts = np.append(count[stream.unit_length > 1], int(train.sum()))
-            held.append((*(np.concatenate(x) for x in zip(*found, strict=True)), *_sums(words, counts)))
+            units.append((stream.unit_data, stream.unit_length, count, int(train.sum())))
+            # contexts are made once of what several batches have
+            if sum(len(data) for data, *_ in units) >= STEP_BYTES:
+                held += _counted(units)
+                units = []
     if block is not None:
-        yield _sent(block, held, shards)
+        yield _sent(block, [*held, *_counted(units)], shards)
+
+
+def _counted(found: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct contexts and words with their counts, if any, of the units that some batches have, how often, and their texts' ends."""
+    if not found:
+        return
+    data, length, count = (np.concatenate([f[i] for f in found]) for i in range(3))
+    units = Units(np.cumsum(length), data)
+    count = np.bincount(units.which, weights=count, minlength=len(units.unit_length)).astype(np.int64)
+    words, word_counts = np.append(units.unit_words(), _END_WORD), np.append(count[units.unit_length > 1], sum(f[3] for f in found))
+    cuts = sorted({0, *np.searchsorted(units.unit_first, np.arange(PART_BYTES, len(units.unit_data), PART_BYTES)).tolist(), len(count)})
+    parts = [_sums(np.concatenate(units.contexts(slice(a, b))), np.tile(np.repeat(count[a:b], units.unit_length[a:b]), 2)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    yield (*_merged(parts), *_sums(words, word_counts))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the sums of some parts; their keys are distinct within a part, so sorting beats a dictionary."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[starts], np.add.reduceat(counts[order], starts)
 
 
 def _sent(block: int, held: list, shards: int) -> pa.RecordBatch:
-    (keys, sums), (words, word_sums) = (_sums(np.concatenate([h[i] for h in held]), np.concatenate([h[i + 1] for h in held])) for i in (0, 2))
+    (keys, sums), (words, word_sums) = _merged([h[:2] for h in held]), _merged([h[2:] for h in held])
     bits, shard = shards.bit_length() - 1, np.arange(shards, dtype=np.uint64)
     a, b = (np.append(np.searchsorted(x, shard << np.uint64(size - bits)), len(x)) for x, size in ((keys, 56), (words, 64)))
     some = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
@@ -267,93 +304,107 @@ def _in_step(three: np.ndarray, word: np.ndarray, place: np.ndarray, data: np.nd
     """``costs`` of a few segments, the longest first.
 
     All bits of a byte are mixed at once: each has weights of its own, and what the byte teaches is used from the next one on.
-    Arrays are by lane, then bit, so what depends on the byte alone is a row of a table. Logits are in ``UNIT``; the weights are
-    divided by it and have the other sign. Of a predictor's two sets of weights the one in use lies in ``weights``.
+    Arrays are by lane, then bit, so what depends on the byte alone is a row of a table. What does not depend on the bytes before
+    is looked up for ``AHEAD`` steps at once, and their probabilities are added up together; a lane that ends among these steps
+    goes on to the last of them, but what it reads there costs nothing. Logits are in ``UNIT``; the weights are divided by it and
+    have the other sign. Of a predictor's two sets of weights the one in use lies in ``weights``.
     """
     lanes = len(begin)
-    total, product = np.zeros(lanes, dtype=np.float64), np.ones(lanes, dtype=np.float64)
+    total = np.zeros(lanes, dtype=np.float64)
     own = np.full(lanes << SLOT_BITS, 32, dtype=np.int8)
     first = -np.array(WEIGHTS, dtype=np.float32) / np.float32(UNIT)
     weights, unused = np.empty((3, lanes, 8), dtype=np.float32), np.empty((2, lanes, 8), dtype=np.float32)
     weights[:], unused[:] = first[[1, 2, 4], None, None], first[[0, 3], None, None]
     # eight weights as one value, to swap them
     used, spare = weights[:2].view("V32").ravel(), unused.view("V32").ravel()
-    gates, gate = np.zeros((2, lanes), dtype=bool), np.zeros((2, lanes), dtype=bool)
+    # the gates of the step before and of the steps ahead
+    gates = np.zeros((AHEAD + 1, 2, lanes), dtype=bool)
     middle = (np.arange(BUCKETS) - BUCKETS / 2 + 0.5) / 2
     fixed = np.tile(1 / (1 + np.exp(-middle)), 8 * lanes).astype(np.float32)
     lane_slot = np.repeat(np.arange(lanes, dtype=np.uint32) << np.uint32(SLOT_BITS), 8)
-    lane_bucket = np.arange(8 * lanes) * BUCKETS
-    # int8 logits and states, the same as floats, and what a step computes from them
-    read, inputs = np.empty((3, 8 * lanes), dtype=np.int8), np.empty((3, 8 * lanes), dtype=np.float32)
-    states, floats, places = np.empty(8 * lanes, dtype=np.int8), np.empty((4, 8 * lanes), dtype=np.float32), np.empty((2, 8 * lanes), dtype=np.int64)
-    going = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), "left").tolist()
-    rate, half, one, sides, middle_bucket = MIX_RATE / np.float32(UNIT * UNIT), np.float32(0.5), np.float32(1), np.float32(-2), np.float32(BUCKETS / 2)
-    m = -1
-    for t, active in enumerate(going):
-        if active != m:
-            m, n = active, 8 * active
-            r, x, w = read[:, :n], inputs[:, :n], weights.reshape(3, -1)[:, :n]
-            dot, p, q, error = floats[:, :n]
-            slot, where = places[:, :n]
-            state, new, certain = states[:n], gate[0, :m], gate[1, :m]
-        at = begin[:m] + t
-        byte = data.take(at)
-        y, teach, slots = (table.take(byte, axis=0).reshape(n) for table in (_BITS, _TEACH, _NODES))
-        unit = place.take(at)
-        three.take(unit, out=r[0].view(np.uint64), mode="clip")
-        word.take(unit, out=r[1].view(np.uint64), mode="clip")
-        slots += recent.take(at).repeat(8)
+    lane_bucket = np.arange(8 * lanes, dtype=np.int32) * np.int32(BUCKETS)
+    ahead, sets = np.arange(AHEAD)[:, None], np.arange(AHEAD + 1) * 2 * lanes
+    # a step's states, its logits, their products with the weights, and what is computed from them
+    states, buckets, places = np.empty(8 * lanes, dtype=np.int8), np.empty(8 * lanes, dtype=np.int32), np.empty(8 * lanes, dtype=np.int64)
+    inputs, products, floats = (np.empty((k, 8 * lanes), dtype=np.float32) for k in (3, 3, 4))
+    steps = np.arange(0, int(length[0]) if lanes else 0, AHEAD)
+    going, whole = np.searchsorted(-length, -steps, "left").tolist(), np.searchsorted(-length, -steps - AHEAD, "right").tolist()
+    rate, half, one = MIX_RATE / np.float32(UNIT * UNIT), np.float32(0.5), np.float32(1)
+    sides, furthest, middle_bucket = np.float32(-2), np.float32(7.99) * np.float32(2), np.float32(BUCKETS / 2)
+    for t, m, through in zip(steps.tolist(), going, whole, strict=True):
+        n = 8 * m
+        at = begin[:m] + (ahead + t)
+        byte = data.take(at, mode="clip").astype(np.intp)
+        bits, teach, slots = (table.take(byte, axis=0).reshape(AHEAD, n) for table in (_BITS, _TEACH, _NODES))
+        slots += recent.take(at, mode="clip").repeat(8).reshape(AHEAD, n)
         slots >>= np.uint32(32 - SLOT_BITS)
         slots += lane_slot[:n]
-        slot[:] = slots
-        own.take(slot, out=state, mode="clip")
-        # an eighth of a logit for each state beyond the middle
-        np.add(state, state, out=r[2])
-        r[2] -= np.int8(63)
-        x[:] = r
-        sure = np.abs(r[1][::8])
-        np.equal(sure, 0, out=new)
-        np.greater(sure, SURE, out=certain)
-        turned = (gate != gates).ravel().nonzero()[0]
-        gates[:] = gate
-        kept = used.take(turned)
-        used[turned] = spare.take(turned)
-        spare[turned] = kept
-        np.einsum("kn,kn->n", w, x, out=dot)
-        np.exp(dot, out=p)
-        p += one
-        np.reciprocal(p, out=p)
-        dot.clip(-7.99, 7.99, out=dot)
-        dot *= sides
-        dot += middle_bucket
-        where[:] = dot
-        where += lane_bucket[:n]
-        fixed.take(where, out=q, mode="clip")
-        np.add(p, q, out=dot)
-        dot *= half
-        dot -= y
-        # the chance that the bit that came was given
-        np.abs(dot, out=dot)
-        np.subtract(one, dot, out=dot)
-        dot.clip(LEAST, 1 - LEAST, out=dot)
-        product[:m] *= np.multiply.reduce(np.ascontiguousarray(dot.reshape(m, 8).T), axis=0)
+        slots = slots.astype(np.intp)
+        unit = place.take(at, mode="clip").astype(np.intp)
+        read = np.empty((AHEAD, 3, n), dtype=np.int8)
+        read.view(np.uint64)[:, 0], read.view(np.uint64)[:, 1] = three.take(unit), word.take(unit)
+        sure = np.abs(read[:, 1, ::8])
+        gates[0] = gates[AHEAD]
+        np.equal(sure, 0, out=gates[1:, 0, :m])
+        np.greater(sure, SURE, out=gates[1:, 1, :m])
+        gates[1:, :, m:] = gates[0, :, m:]
+        turned = (gates[1:] != gates[:-1]).ravel().nonzero()[0]
+        cuts = np.searchsorted(turned, sets).tolist()
+        turned %= 2 * lanes
+        chances = np.empty((AHEAD, n), dtype=np.float32)
+        w, x, product = weights.reshape(3, -1)[:, :n], inputs[:, :n], products[:, :n]
+        state, bucket, where = states[:n], buckets[:n], places[:n]
+        dot, p, q, error = floats[:, :n]
+        for s in range(AHEAD):
+            r, y, slot, lesson = read[s], bits[s], slots[s], teach[s]
+            own.take(slot, out=state, mode="clip")
+            # an eighth of a logit for each state beyond the middle
+            np.add(state, state, out=r[2])
+            r[2] -= np.int8(63)
+            x[:] = r
+            turn = turned[cuts[s] : cuts[s + 1]]
+            kept = used.take(turn)
+            used[turn] = spare.take(turn)
+            spare[turn] = kept
+            np.multiply(w, x, out=product)
+            np.add(product[0], product[1], out=dot)
+            dot += product[2]
+            np.exp(dot, out=p)
+            p += one
+            np.reciprocal(p, out=p)
+            dot *= sides
+            np.maximum(dot, -furthest, out=dot)
+            np.minimum(dot, furthest, out=dot)
+            dot += middle_bucket
+            bucket[:] = dot
+            bucket += lane_bucket[:n]
+            where[:] = bucket
+            fixed.take(where, out=q, mode="clip")
+            np.add(p, q, out=chances[s])
+            np.subtract(y, q, out=error)
+            error *= FIX_RATE
+            error += q
+            fixed[where] = error
+            p -= y
+            p *= rate
+            x *= p
+            w += x
+            lesson -= state
+            lesson >>= np.int8(2)
+            state += lesson
+            own[slot] = state
+        # the chances that the bits that came were given
+        chances *= half
+        chances -= bits
+        np.abs(chances, out=chances)
+        np.subtract(one, chances, out=chances)
+        chances.clip(LEAST, 1 - LEAST, out=chances)
+        chance = np.multiply.reduce(np.ascontiguousarray(chances.reshape(AHEAD * m, 8).T), axis=0).reshape(AHEAD, m)
+        chance[:, through:][ahead + t >= length[through:m]] = 1
         # eight bytes of the least chances still are a number
-        if t % 8 == 7:
-            total += np.log(product)
-            product[:] = 1
-        np.subtract(y, q, out=error)
-        error *= FIX_RATE
-        error += q
-        fixed[where] = error
-        p -= y
-        p *= rate
-        x *= p
-        w += x
-        teach -= state
-        teach >>= np.int8(2)
-        state += teach
-        own[slot] = state
-    return total + np.log(product)
+        for some in np.log(np.multiply.reduce(chance.reshape(-1, 8, m), axis=1, dtype=np.float64)):
+            total[:m] += some
+    return total
 
 
 def _recent(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -432,11 +483,15 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     order, word_order = np.argsort(keys, kind="stable"), np.argsort(words, kind="stable")
     keys, rows, words, word_counts = keys[order], rows[order], words[word_order], word_counts[word_order]
     out = []
-    for piece in W.passes(docs.to_batches(), limit=STEP_BYTES):
+    # over the batches' ends, so that all lanes have something to read
+    sizes = pc.fill_null(pc.binary_length(docs.column("text")), 0).to_numpy()
+    cuts = (np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // READ_BYTES)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, docs.num_rows], strict=True):
+        piece = docs.slice(a, b - a)
         figures = _score(piece.column("text"), keys, rows, words, word_counts)
         zero = np.zeros(piece.num_rows, dtype=np.int64)
-        out.append(pa.record_batch({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), **figures, "tokens": zero, "vocabulary": zero}, schema=schema))
-    return pa.Table.from_batches(out, schema)
+        out.append(pa.table({"doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"), **figures, "tokens": zero, "vocabulary": zero}, schema=schema))
+    return pa.concat_tables(out)
 
 
 def mixed_scores(docs: DataFrame, held_out: Column) -> DataFrame:

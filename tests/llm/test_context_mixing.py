@@ -141,6 +141,66 @@ def test_units_are_sorted_only_where_distinct(monkeypatch):
     assert (unique.tolist(), sums.tolist()) == ([0, 3, 5, 1 << 63], [5, 5, 3, 2])
 
 
+def test_contexts_are_made_once_of_the_units_of_a_block(monkeypatch):
+    """Also where the block comes in several batches; blocks with more units than a pass has bytes are added up from parts."""
+    made = []
+    monkeypatch.setattr(C.W, "byte_values", lambda data, place, f=C.W.byte_values: made.append(len(data)) or f(data, place))
+    texts = some_texts(5) + [None, "", "É日 b"]
+    batch = pa.record_batch({"block": pa.array([0] * len(texts), pa.int64()), "held_out": pa.array([i % 7 == 2 for i in range(len(texts))]), "text": pa.array(texts)})
+    other = pa.record_batch({"block": pa.array([1, 1], pa.int64()), "held_out": pa.array([False, True]), "text": pa.array(["a b", "c"])})
+    units = {u for x in map(words, texts) for u in [*(w + b" " for w in x[:-1]), (x[-1] if x else b"") + b"\xff"]}
+
+    def asked():
+        out = {}
+        for r in (r for sent in C._asked(iter([batch.slice(0, 20), batch.slice(20), batch.slice(0, 30), other]), 16) for r in sent.to_pylist()):
+            for names, kinds in ((r["keys"], r["counts"]), (r["words"], r["word_counts"])):
+                out |= {(r["block"], key): n for key, n in zip(C._spread(names, np.uint64, 8, True).tolist(), C._spread(kinds, np.int64, 8).tolist(), strict=True)}
+        return out
+
+    once = asked()
+    assert made == [sum(map(len, units)), len(b"a b\xffc\xff")]
+    monkeypatch.setattr(C, "PART_BYTES", 40)
+    assert asked() == once and sum(made[2:]) == sum(made[:2]) and len(made) > 6
+    monkeypatch.setattr(C, "STEP_BYTES", 50)
+    assert asked() == once
+    ends = {block: once[block, int(C._END_WORD)] for block in (0, 1)}
+    assert ends == {0: sum(i % 7 != 2 for i in [*range(len(texts)), *range(30)]), 1: 1}
+
+
+def test_passes_that_score_go_over_batches(monkeypatch):
+    """A block's batches of few bytes are read together, and never more than a pass and a text."""
+    texts = [t or "" for t in some_texts(6)]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "held_out": pa.array([False] * len(texts)), "block": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts)})
+    batches = docs.to_batches(max_chunksize=7)
+    answers = C._answered(pa.Table.from_batches(C._asked(iter(batches), 1))).slice(0, 1)
+    read = []
+    monkeypatch.setattr(C, "_score", lambda column, *a, f=C._score: read.append(pa.compute.sum(pa.compute.binary_length(column)).as_py()) or f(column, *a))
+    once = C._scored(pa.Table.from_batches(batches), answers).to_pydict()
+    assert read == [sum(len(t.encode()) for t in texts)] and once["doc_id"] == [*range(len(texts))]
+    monkeypatch.setattr(C, "READ_BYTES", 9000)
+    parts = C._scored(pa.Table.from_batches(batches), answers).to_pydict()
+    assert parts == once and len(read) > 4 and max(read[1:]) <= 9000 + max(len(t.encode()) for t in texts)
+
+
+def test_chances_do_not_depend_on_the_steps_looked_up_at_once(monkeypatch):
+    """Lanes that end among these steps, or at their last one, cost what their own bytes cost."""
+    rng = np.random.default_rng(2)
+    data, recent = rng.integers(97, 101, 600).astype(np.uint8), rng.integers(0, 1 << 32, 600).astype(np.uint32)
+    three, word = (rng.integers(-127, 128, (50, 8)).astype(np.int8) for _ in range(2))
+    word[:20, 0] = 0
+    place, begin, length = rng.integers(0, 50, 600).astype(np.int32), np.array([0, 1, 9, 17, 56, 96, 599]), np.array([1, 8, 8, 39, 40, 503, 1])
+
+    def costs(ahead, lanes):
+        monkeypatch.setattr(C, "AHEAD", ahead)
+        monkeypatch.setattr(C, "LANES", lanes)
+        return C.costs(three.view(np.uint64).ravel(), word.view(np.uint64).ravel(), place, data, recent, begin, length)
+
+    alone = costs(8, 1)
+    assert (alone < 0).all() and alone[5] < alone[3] < alone[0]
+    for ahead, lanes in ((8, 7), (16, 7), (64, 3)):
+        assert costs(ahead, lanes).tolist() == pytest.approx(alone.tolist(), rel=1e-9)
+
+
 @pytest.mark.parametrize(("bits", "lanes"), [(3, 4), (13, 512)])
 def test_scores_do_not_depend_on_blocks(spark, monkeypatch, many_chunks, bits, lanes):
     monkeypatch.setattr(C, "BLOCK_BITS", bits)
